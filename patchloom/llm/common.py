@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +62,25 @@ def keep(df: DataFrame, label: str = "kept", **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to Spark once a session's context, so that workers import it wherever they run."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parents[1]
+    at = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="patchloom-")), "patchloom-package.zip")
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(at)
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
     """``mapInArrow`` with batches of at most ``rows`` rows."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(fn, schema)
 

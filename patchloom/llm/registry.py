@@ -6,11 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from patchloom.llm.langid import op7_langid
+from patchloom.llm.packing import op6_packing
+from patchloom.llm.pii import op4_pii
 from patchloom.llm.simhash import op1_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op4_pii": op4_pii,
+        "op6_packing": op6_packing,
+        "op7_langid": op7_langid,
+        "pipeline": pipeline,
+    }
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def oracle_sql() -> dict[str, str]:
