@@ -144,9 +144,8 @@ def _calibrate(model: LanguageModel, z: np.ndarray, want: np.ndarray) -> None:
     model.accuracy = float(right.mean())
     if right.any():
         low = np.sort(p.max(axis=1)[right])
-        chance = 1 / max(1, len(model.languages))
-        # Never over midway between chance and certainty: a clean text needs no better score to be kept.
-        model.least = float(min(low[int(REJECT_SHARE * len(low))], chance + 0.5 * (1 - chance)))
+        # Never over one half: from there on one language outweighs all others, and a clean text needs no more to be kept.
+        model.least = float(min(low[int(REJECT_SHARE * len(low))], 0.5))
 
 
 def held_out() -> F.Column:

@@ -6,18 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from patchloom.llm.embedding_dedup import op8_embedding_dedup
 from patchloom.llm.langid import op7_langid
+from patchloom.llm.lexicon import op5_bpe
+from patchloom.llm.licences import op10_licences
 from patchloom.llm.packing import op6_packing
 from patchloom.llm.pii import op4_pii
+from patchloom.llm.preferences import OP3_SQL, op3_preferences
 from patchloom.llm.simhash import op1_simhash
+from patchloom.llm.token_files import op2_token_files
+from patchloom.llm.topk import op9_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_token_files": op2_token_files,
+        "op3_preferences": op3_preferences,
         "op4_pii": op4_pii,
+        "op5_bpe": op5_bpe,
         "op6_packing": op6_packing,
         "op7_langid": op7_langid,
+        "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_topk": op9_topk,
+        "op10_licences": op10_licences,
         "pipeline": pipeline,
     }
 
@@ -30,4 +42,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_preferences": OP3_SQL}
