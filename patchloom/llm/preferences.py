@@ -57,10 +57,15 @@ def segments(turns: Column) -> Column:
 
 
 def mask(pieces: Column) -> Column:
-    """array<struct<start, end, train>> over the joined pieces."""
-    lengths = F.transform(pieces, lambda p: F.length(p["text"]))
-    ends = F.transform(lengths, lambda n, k: F.aggregate(F.slice(lengths, F.lit(1), k + 1), F.lit(0), lambda s, v: s + v))
-    return F.transform(pieces, lambda p, k: F.struct((F.get(ends, k) - F.length(p["text"])).alias("start"), F.get(ends, k).alias("end"), p["train"].alias("train")))
+    """array<struct<start, end, train>> over the joined pieces, in one pass over them."""
+    run = "struct<start int, end int, train boolean>"
+    none = F.struct(F.array().cast(f"array<{run}>").alias("runs"), F.lit(0).alias("at"))
+
+    def add(s: Column, p: Column) -> Column:
+        end = s["at"] + F.length(p["text"])
+        return F.struct(F.array_append(s["runs"], F.struct(s["at"].alias("start"), end.alias("end"), p["train"].alias("train"))).alias("runs"), end.alias("at"))
+
+    return F.aggregate(pieces, none, add, lambda s: s["runs"])
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:
