@@ -174,22 +174,30 @@ class LexiconEncoder(PieceEncoder):
         self.transducer, self.merges = transducer, Merges(path)
         self.token = {i: t for t, i in self.merges.vocab.items()} | {i: t for t, i in self.specials.items()}
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
         self.looked_up = self.merged = 0
 
     def learn(self, pieces: set[str]) -> None:
-        """Look up all pieces that aren't known yet."""
+        """Look up all pieces that aren't known yet; what one generation of them has not used again is forgotten."""
         if len(self.words) > MEMO:
-            self.words.clear()
-        new = [p for p in pieces if p not in self.words]
+            self.old, self.words = self.words, {}
+        words, old = self.words, self.old
+        new = []
+        for p in pieces:
+            if p not in words:
+                if p in old:
+                    words[p] = old[p]
+                else:
+                    new.append(p)
         raw = [p.encode("utf-8") for p in new]
-        for p, b, rank in zip(new, raw, self.transducer.ranks(raw).tolist(), strict=True):
+        for p, rank in zip(new, self.transducer.ranks(raw).tolist(), strict=True):
             if rank >= 0:
                 ids = self.transducer.ids_of(rank)
                 self.looked_up += 1
             else:
-                ids = self.merges.encode("".join([self.symbols[x] for x in b]))
+                ids = self.merges.encode(self.shown_bytes(p))
                 self.merged += 1
-            self.words[p] = (array("I", ids).tobytes(), self.decode(ids))
+            words[p] = (array("I", ids).tobytes(), self.decode(ids))
 
     def decode(self, ids) -> str:
         """Tokens joined by blanks: the file names no decoder, and special tokens stay."""
@@ -198,8 +206,8 @@ class LexiconEncoder(PieceEncoder):
     def encode_decode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """(ids, decoded text) of each text; words of all texts are looked up together."""
         cuts = [self.cut(t) if t else [] for t in texts]
-        known = self.words
         self.learn({p for c in cuts if c for p in c})
+        known = self.words
         out = []
         for text, pieces in zip(texts, cuts, strict=True):
             if pieces is None:
@@ -251,8 +259,8 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
 def build(docs: DataFrame, path: str, words: int = WORDS) -> bytes:
     """The compiled automaton of the most frequent words of all documents; at most ``words`` of them reach the driver."""
     top = word_counts(docs, path).where(F.length("word") <= 64).orderBy(F.desc("count"), "word").limit(words).toPandas()["word"]
-    merges, symbols = Merges(path), encoder(path).symbols
-    return compile_words({(raw := w.encode("utf-8")): merges.encode("".join([symbols[b] for b in raw])) for w in top})
+    merges, shown = Merges(path), encoder(path).shown_bytes
+    return compile_words({w.encode("utf-8"): merges.encode(shown(w)) for w in top})
 
 
 def distribute(spark: SparkSession, compiled: bytes) -> str:

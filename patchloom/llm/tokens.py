@@ -15,8 +15,8 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept by a worker at most; then it starts anew.
-MEMO = 400_000
+#: Pieces that a worker keeps in each of two generations.
+MEMO = 200_000
 #: Characters of texts that the patterns here cut; others go to the library.
 PLAIN_END = 0x300
 _SPACE = "\\t-\\r\\x20\\x85\\xa0"
@@ -41,6 +41,24 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(rest)) for b in range(256)]
 
 
+class Memo(dict):
+    """What a function gives for a key, kept for two generations: keys that come again move on, others are forgotten."""
+
+    def __init__(self, function, most: int = MEMO):
+        super().__init__()
+        self.function, self.most, self.old = function, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class PieceEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids`` without truncation and padding."""
 
@@ -63,12 +81,16 @@ class PieceEncoder:
         self.beyond = re.compile(f"[^\x00-{chr(PLAIN_END - 1)}]")
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.symbols = byte_symbols()
-        self.memo: dict[str, bytes] = {}
+        self.shown = {b: c for b, c in enumerate(self.symbols) if chr(b) != c}
+        self.memo = Memo(lambda piece: array("I", self.encode_piece(piece)).tobytes())
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece."""
-        symbols = self.symbols
-        return tuple(t.id for t in self.tokenizer.model.tokenize("".join([symbols[b] for b in piece.encode("utf-8")])))
+        return tuple([t.id for t in self.tokenizer.model.tokenize(self.shown_bytes(piece))])
+
+    def shown_bytes(self, piece: str) -> str:
+        """The bytes of a piece as byte symbols."""
+        return piece.encode("utf-8").decode("latin-1").translate(self.shown)
 
     def cut(self, text: str) -> list[str] | None:
         """The pieces of a text, or None if only the library can tell."""
@@ -83,17 +105,7 @@ class PieceEncoder:
         pieces = self.cut(text)
         if pieces is None:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        memo = self.memo
-        try:
-            return b"".join([memo[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(memo) > MEMO:
-            memo.clear()
-        for p in pieces:
-            if p not in memo:
-                memo[p] = array("I", self.encode_piece(p)).tobytes()
-        return b"".join([memo[p] for p in pieces])
+        return b"".join(map(self.memo.__getitem__, pieces))
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
