@@ -23,11 +23,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import load, map_arrow
+from patchloom.llm.common import keep, load, map_arrow
 from patchloom.llm.tokens import MEMO, PieceEncoder, encoder, public_path
 
 #: Words in the automaton, and distinct words a task counts before it passes its counts on.
-WORDS, COUNTED = 1 << 16, 200_000
+WORDS, COUNTED = 100_000, 200_000
 _ARRAYS = (("ptr", "<u4"), ("label", "u1"), ("target", "<u4"), ("out", "<u4"), ("final", "u1"), ("id_ptr", "<u4"), ("ids", "<u4"))
 
 
@@ -47,22 +47,18 @@ class Merges:
         if not parts:
             return ()
         parts[-1] += self.end
-        ranks, none = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:], strict=False), key=lambda p: ranks.get(p, none))
-            if best not in ranks:
-                break
-            a, b = best
-            merged, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and parts[k] == a and parts[k + 1] == b:
-                    merged.append(a + b)
-                    k += 2
-                else:
-                    merged.append(parts[k])
-                    k += 1
-            parts = merged
-        return tuple(self.vocab[p] for p in parts if p in self.vocab)
+        rank, none = self.ranks.get, len(self.ranks)
+        ranks = [rank(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < none:
+            k = ranks.index(least)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank((parts[k - 1], parts[k]), none)
+            if k < len(ranks):
+                ranks[k] = rank((parts[k], parts[k + 1]), none)
+        vocab = self.vocab
+        return tuple([vocab[p] for p in parts if p in vocab])
 
 
 def compile_words(words: dict[bytes, tuple[int, ...]]) -> bytes:
@@ -256,11 +252,22 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
     return map_arrow(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("count"))
 
 
+def frequent(counts: DataFrame, words: int = WORDS) -> list[str]:
+    """The most frequent words, at most so many: (word, count) is cut at a step of a fixed scale of counts, so no more than that reaches the driver."""
+    step = F.floor(F.log2("count") * 16).cast("int").alias("step")
+    kept = keep(counts.where((F.col("count") > 1) & (F.length("word") <= 64)).select("word", step), "words")
+    room, least = words, None
+    for row in kept.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 16 steps for each doubling
+        if row["count"] > room:
+            break
+        room, least = room - row["count"], row["step"]
+    return [] if least is None else [r["word"] for r in kept.where(F.col("step") >= least).select("word").toLocalIterator()]
+
+
 def build(docs: DataFrame, path: str, words: int = WORDS) -> bytes:
-    """The compiled automaton of the most frequent words of all documents; at most ``words`` of them reach the driver."""
-    top = word_counts(docs, path).where(F.length("word") <= 64).orderBy(F.desc("count"), "word").limit(words).toPandas()["word"]
+    """The compiled automaton of the most frequent words of all documents."""
     merges, shown = Merges(path), encoder(path).shown_bytes
-    return compile_words({w.encode("utf-8"): merges.encode(shown(w)) for w in top})
+    return compile_words({w.encode("utf-8"): merges.encode(shown(w)) for w in frequent(word_counts(docs, path), words)})
 
 
 def distribute(spark: SparkSession, compiled: bytes) -> str:

@@ -16,7 +16,7 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a worker keeps in each of two generations.
-MEMO = 200_000
+MEMO = 300_000
 #: Characters of texts that the patterns here cut; others go to the library.
 PLAIN_END = 0x300
 _SPACE = "\\t-\\r\\x20\\x85\\xa0"
@@ -82,14 +82,19 @@ class PieceEncoder:
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.symbols = byte_symbols()
         self.shown = {b: c for b, c in enumerate(self.symbols) if chr(b) != c}
-        self.memo = Memo(lambda piece: array("I", self.encode_piece(piece)).tobytes())
+        self.memo = Memo(self.encode_bytes)
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece."""
         return tuple([t.id for t in self.tokenizer.model.tokenize(self.shown_bytes(piece))])
 
+    def encode_bytes(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(self.shown_bytes(piece))]).tobytes()
+
     def shown_bytes(self, piece: str) -> str:
         """The bytes of a piece as byte symbols."""
+        if piece.isascii() and piece.isprintable():  # of these bytes, only the blank has a stand-in
+            return piece.replace(" ", self.symbols[32])
         return piece.encode("utf-8").decode("latin-1").translate(self.shown)
 
     def cut(self, text: str) -> list[str] | None:
