@@ -43,7 +43,7 @@ def _header_paths(line: Column) -> Column:
 def _named(line: Column, start: str) -> Column:
     """The path after ``--- `` or ``+++ ``: null for /dev/null, without its a/ or b/."""
     rest = F.substring(line, len(start) + 1, 1 << 30)
-    return F.when(F.startswith(rest, F.lit("/dev/null")), F.lit(None)).otherwise(F.regexp_replace(F.regexp_replace(rest, r"\t.*$", ""), "^[ab]/", ""))
+    return F.when(F.startswith(rest, F.lit("/dev/null")), F.lit(None)).otherwise(F.regexp_replace(rest, "^[ab]/", ""))
 
 
 def marked_lines(diffs: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def diff_files(diffs: DataFrame) -> DataFrame:
         return F.max(F.when((F.col("kind") == "meta") & F.startswith("line", F.lit(start)), value))
 
     quoted = F.col("line").contains('"')
-    line = F.when(quoted, _unquoted_line(F.col("line"))).otherwise(F.col("line"))
+    line = F.when(quoted, _unquoted_line(F.col("line"))).otherwise(F.regexp_replace("line", r"^((?:---|\+\+\+) [^\t]*)\t.*$", "$1"))
     rows = rows.withColumn("line", line)
     head = _header_paths(F.col("line"))
     found = rows.groupBy("diff_id", "file_no").agg(

@@ -17,21 +17,22 @@ def bound_names(imports: DataFrame) -> DataFrame:
     """One row for each name that an import binds: its columns and ``bound``.
 
     Imports: file_id, ord, module, names array<string> (null for a whole module), alias, name_aliases array<struct<original, alias>>.
-    Named imports bind their aliases, else their names; a whole module binds its alias, else its first part and its last.
+    Named imports bind their names and the aliases of these; a whole module binds its alias, else itself, its first part and its last.
     """
     aliases = F.coalesce("name_aliases", F.array().cast("array<struct<original:string,alias:string>>"))
-    named = F.transform("names", lambda n: F.coalesce(F.get(F.filter(aliases, lambda a: a["original"] == n), F.lit(0))["alias"], n))
+    named = F.concat("names", F.transform(aliases, lambda a: a["alias"]))
     parts = F.split("module", r"[./:\\]+")
-    module = F.when(F.col("alias").isNotNull(), F.array("alias")).otherwise(F.array(F.get(parts, F.lit(0)), F.element_at(parts, -1)))
+    module = F.when(F.col("alias").isNotNull(), F.array("alias")).otherwise(F.array(F.col("module"), F.get(parts, F.lit(0)), F.element_at(parts, -1)))
     return imports.withColumn("bound", F.explode(F.array_distinct(F.coalesce(named, module))))
 
 
 def resolved_imports(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """(file_id, symbol) with the first import in source order that binds it: module, ord, and the original name behind an alias."""
-    bound = bound_names(imports).select("file_id", F.col("bound").alias("symbol"), F.struct("ord", "module", "name_aliases").alias("i"))
+    more = [c for c in ("is_relative", "level") if c in imports.columns]
+    bound = bound_names(imports).select("file_id", F.col("bound").alias("symbol"), F.struct("ord", "module", "name_aliases", *more).alias("i"))
     first = symbols.join(bound, ["file_id", "symbol"]).groupBy("file_id", "symbol").agg(F.min_by("i", "i.ord").alias("i"))
     original = F.get(F.filter(F.coalesce("i.name_aliases", F.array().cast("array<struct<original:string,alias:string>>")), lambda a: a["alias"] == F.col("symbol")), F.lit(0))["original"]
-    return first.select("file_id", "symbol", "i.module", "i.ord", F.coalesce(original, F.col("symbol")).alias("original"))
+    return first.select("file_id", "symbol", "i.module", "i.ord", *[f"i.{c}" for c in more], F.coalesce(original, F.col("symbol")).alias("original"))
 
 
 def first_existing(wanted: DataFrame, candidates: Column, files: DataFrame, keys: list[str]) -> DataFrame:
