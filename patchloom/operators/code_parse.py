@@ -342,7 +342,7 @@ SPECS: dict[str, Spec] = {
     ),
     "go": Spec(
         _C_COMMENTS,
-        [("method", r"^(?P<at>func)\s*\([^)]*\)\s*(?P<name>\w+)\s*(?:\[[^\]]*\])?\([^{]*(?=\{)"), ("function", r"^(?P<at>func)\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?\([^{]*(?=\{)"), ("function", r"(?P<at>\bfunc)\s*\([^{]*(?=\{)")],
+        [("method", r"^(?P<at>func)\s*\([^)]*\)\s*(?P<name>\w+)\s*(?:\[[^\]]*\])?\([^{]*(?=\{)"), ("function", r"^(?P<at>func)\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?\([^{]*(?=\{)"), ("function", r"(?<=[^\n])(?P<at>\bfunc)\s*\([^{]*(?=\{)")],
         _go_imports,
         [r"([\w, ]+?)\s*:=", r"\b(?:var|const)\s+(\w+)", r"\bfunc\s*(?:\((\w+)[^)]*\)\s*)?(\w+)?", r"\btype\s+(\w+)", r"\bfunc\b[^(]*(?:\([^)]*\)\s*\w+)?\(([^)]*)\)"],
         keywords="break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var", strings=r'"(?:\\.|[^"\\\n])*"|`[^`]*`|\'(?:\\.|[^\'\\\n])*\'',

@@ -68,11 +68,9 @@ def _git(repo: str, *args: str) -> str:
 
 
 def source_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, lines, error) of files: a NUL byte near the start makes a file binary, an error without text; bytes that are no UTF-8 are replaced."""
+    """(path, text, lines, error) of files: a NUL byte near the start makes a file binary, an error without text; bytes that are no UTF-8 are replaced. Spark leaves out empty files, of which there is nothing to review."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    is_binary = F.instr(F.hex(F.substring("content", 1, SNIFF)), "00") > 0
-    nul = F.exists(F.sequence(F.lit(1), F.least(F.greatest(F.octet_length("content"), F.lit(1)), F.lit(SNIFF))), lambda i: F.hex(F.substring(F.col("content"), i, F.lit(1))) == "00")
-    is_binary = is_binary & nul  # hex digits of two bytes may also meet as "00"
+    is_binary = F.hex(F.substring("content", 1, SNIFF)).rlike("^(..)*?00")
     text = F.when(~is_binary, F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^﻿", ""))
     rows = rows.withColumn("text", text).withColumn("error", F.when(is_binary, F.lit("binary file")))
     return rows.select("path", "text", lines("text").alias("lines"), "error")
@@ -173,8 +171,10 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
             return spark.createDataFrame([], ENTRY)
         raise
     data = F.from_json("value", _ENTRIES)
-    good = F.col("d.entries").isNotNull()
-    rows = text.where(F.trim("value") != "").select(data.alias("d")).select(F.when(good, F.col("d.entries")).otherwise(F.raise_error(F.lit("not a baseline"))).alias("e"))
+    entries = data["entries"]
+    none = F.array().cast("array<struct<" + ",".join(f"{c.split()[0]}:{c.split()[1]}" for c in ENTRY.split(", ")) + ">>")
+    blank = F.regexp_replace("value", r"\s", "") == ""  # in the expression itself: a filter before it may be evaluated after it
+    rows = text.select(F.when(blank, none).when(entries.isNotNull(), entries).otherwise(F.raise_error(F.lit("not a baseline"))).alias("e"))
     rows = rows.select(F.inline("e"))
     complete = F.lit(True)
     for c in ("finding_id", "cwe_id", "code_hash", "reason", "added_at"):
