@@ -124,8 +124,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     and are their own component. Repeated rows are vectors of their own, linked to each other; a row with a null vec_id is returned with
     its links counted but no component of its own. Other columns are ignored; an empty table gives no rows.
     """
-    rows = vectors.select("vec_id", F.when(usable(), F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0))).alias("vector"))
-    rows = rows.withColumn("digest", F.when(F.col("vector").isNotNull(), F.sha2(F.to_binary(F.concat_ws("", F.transform("vector", lambda v: F.lpad(F.hex(F.xxhash64(v)), 16, "0")), F.lit("")), F.lit("hex")), 256)))
+    element = vectors.schema["embedding"].dataType.elementType  # cosines are taken in double precision whatever it is
+    rows = vectors.select("vec_id", F.when(usable(), F.transform("embedding", lambda v: v + F.lit(0).cast(element))).alias("vector"))  # -0.0 becomes 0.0
+    hashed = F.array_join(F.transform("vector", lambda v: F.hex(F.xxhash64(v.cast("double")))), ",")
+    rows = rows.withColumn("digest", F.when(F.col("vector").isNotNull(), F.sha2(hashed, 256)))
     # Equal vectors have an equal digest; a shared one joins vectors that are equal in all components, as hashing a double is one to one.
     rows = keep(rows.select("vec_id", "digest", "vector"), "vectors")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
@@ -143,3 +145,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all embeddings."""
     return near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.z) = len(b.z) AND list_inner_product(a.z, b.z) / sqrt(list_inner_product(a.z, a.z)) / sqrt(list_inner_product(b.z, b.z)) >= {COSINE}
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), parts AS (
+  SELECT a, least(a, min(b)) AS part FROM reach GROUP BY a
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, coalesce(part, e.vec_id) AS component_id, e.vec_id = coalesce(part, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN parts p ON p.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchloom.llm.embedding_dedup import op8_embedding_dedup
+from patchloom.llm.embedding_dedup import OP8_SQL, op8_embedding_dedup
 from patchloom.llm.langid import op7_langid
 from patchloom.llm.lexicon import op5_bpe
 from patchloom.llm.licences import op10_licences
@@ -15,7 +15,7 @@ from patchloom.llm.pii import op4_pii
 from patchloom.llm.preferences import OP3_SQL, op3_preferences
 from patchloom.llm.simhash import op1_simhash
 from patchloom.llm.token_files import op2_token_files
-from patchloom.llm.topk import op9_topk
+from patchloom.llm.topk import OP9_SQL, op9_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -42,4 +42,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preferences": OP3_SQL}
+    return {"op3_preferences": OP3_SQL, "op8_embedding_dedup": OP8_SQL, "op9_topk": OP9_SQL}

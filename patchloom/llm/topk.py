@@ -158,3 +158,16 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact nearest vectors of every twentieth embedding."""
     return nearest(load(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS z FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.z, c.z) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND c.vec_id <> q.vec_id AND len(c.z) = len(q.z)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM scored
+)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM ranked WHERE k <= {K}
+"""
