@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import itertools
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from patchloom.shared import keep, new_path, remove, shared_dir
+from patchloom.shipping import ship
+
+__all__ = ["ARROW_ROWS", "keep", "load", "map_arrow", "new_path", "remove", "shared_dir", "ship", "star_edges", "whole_groups"]
+
 #: Rows in an Arrow batch. Texts can be long, so the default of 10,000 would need much memory in a Python worker.
 ARROW_ROWS = 512
 
@@ -24,60 +23,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset (tests, one machine), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="patchloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table through Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/patchloom/{label}-{uuid.uuid4().hex}"
-
-    def clean() -> None:
-        try:
-            remove(spark, path)
-        except Exception:  # the session may have ended already
-            pass
-
-    atexit.register(clean)
-    return path
-
-
-def keep(df: DataFrame, label: str = "kept", **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Hand this package to Spark once a session's context, so that workers import it wherever they run."""
-    if spark.sparkContext.applicationId in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parents[1]
-    at = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="patchloom-")), "patchloom-package.zip")
-    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(at)
-    _SHIPPED.add(spark.sparkContext.applicationId)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
     """``mapInArrow`` with batches of at most ``rows`` rows."""
     ship(df.sparkSession)
