@@ -29,6 +29,8 @@ from patchloom.llm.tokens import encoder, public_path
 LENGTH, END, UNIT = 4096, 2, 16
 #: One tail in so many may be cut to fill sequences, and in tables of under FEW_DOCS rows, one in FEW_POOL.
 POOL, FEW_DOCS, FEW_POOL = 16, 20_000, 4
+#: Words that a worker keeps in each of two generations.
+WORDS_KEPT = 120_000
 #: Rows that one task adds up in a running total.
 RUN = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -39,7 +41,7 @@ def cut(docs: DataFrame, path: str, pool: int) -> DataFrame:
     """One row per document: its length, the checksums of whole pieces and of the tail, and the tail's place among those of its class in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, pos, full, nth = encoder(path), TaskContext.get().partitionId(), 0, 0, Counter()
+        enc, part, pos, full, nth = encoder(path, WORDS_KEPT), TaskContext.get().partitionId(), 0, 0, Counter()
         end = END.to_bytes(4, "little")
         for batch in batches:
             rows = []

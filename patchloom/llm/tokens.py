@@ -62,7 +62,7 @@ class Memo(dict):
 class PieceEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids`` without truncation and padding."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -82,7 +82,7 @@ class PieceEncoder:
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.symbols = byte_symbols()
         self.shown = {b: c for b, c in enumerate(self.symbols) if chr(b) != c}
-        self.memo = Memo(self.encode_bytes)
+        self.memo = Memo(self.encode_bytes, memo)
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece."""
@@ -113,14 +113,15 @@ class PieceEncoder:
         return b"".join(map(self.memo.__getitem__, pieces))
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder a process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memo: int = MEMO) -> PieceEncoder:
+    """One encoder a process and file; another file or size takes its place, so a worker holds one memo."""
+    if (path, memo) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, memo] = PieceEncoder(path, memo)
+    return _ENCODERS[path, memo]
 
 
 def public_path(name: str) -> str:
