@@ -60,7 +60,6 @@ def line_range(value: Column) -> Column:
 
     a, b = end("$[0]", "start"), end("$[1]", "end")
     both = a.isNotNull() & b.isNotNull()
-    x, y = F.expr("0"), F.expr("0")
     x, y = a.try_cast("int"), b.try_cast("int")
     bad = both & (x.isNull() | y.isNull() | (x < 0) | (y < 0))
     good = both & ~bad
@@ -112,9 +111,9 @@ def cwe_table(spark: SparkSession) -> DataFrame:
 
 def rated(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Findings with the severity that the rules give their weakness (else their own); a Low confidence caps it at Medium."""
-    rules = cwe_table(findings.sparkSession) if rules is None else rules
+    rules = F.broadcast(cwe_table(findings.sparkSession)) if rules is None else rules  # other rules may be of any size
     names = F.array(*[F.lit(s) for s in C.SEVERITIES])
-    out = findings.join(F.broadcast(rules) if rules is not None else rules, "cwe_id", "left")
+    out = findings.join(rules, "cwe_id", "left")
     rank = F.array_position(names, F.coalesce("mapped", "severity")).cast("int")
     rank = F.when(F.col("confidence") == "Low", F.greatest(rank, F.lit(C.SEVERITIES.index("Medium") + 1))).otherwise(rank)
     return out.withColumn("severity", F.get(names, rank - 1)).select(*findings.columns)

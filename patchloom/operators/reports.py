@@ -74,9 +74,10 @@ def table_rows(findings: DataFrame, width: int = 60) -> DataFrame:
 
 def status(findings: DataFrame, errors: DataFrame, fail_on_error: bool = True, overrides: dict[str, str] | None = None) -> DataFrame:
     """One row: exit_code, 2 for errors, 1 for a blocking finding, 0 otherwise."""
-    failed = errors.agg((F.count("*") > 0).alias("failed"))
-    both = R.blocks(findings, overrides).join(F.broadcast(failed))  # one row each
-    return both.select(F.when(F.col("failed") & F.lit(fail_on_error), 2).when(F.col("should_block"), 1).otherwise(0).alias("exit_code"))
+    rows = findings.select(F.coalesce(R.action("severity", overrides) == "block", F.lit(False)).alias("block"), F.lit(False).alias("failed"))
+    rows = rows.unionByName(errors.select(F.lit(False).alias("block"), F.lit(fail_on_error).alias("failed")))
+    code = F.when(F.bool_or("failed"), 2).when(F.bool_or("block"), 1).otherwise(0)
+    return rows.agg(code.alias("exit_code"))
 
 
 def write_baseline(entries: DataFrame, path: str) -> None:
