@@ -140,7 +140,7 @@ def path_shortened(path: Column | str, most: int) -> Column:
 
 def snake_case(name: Column | str) -> Column:
     """``HTTPServer::Main`` becomes ``http_server/main``."""
-    out = F.regexp_replace(F.replace(_col(name), F.lit("::"), F.lit("/")), r"([A-Z]+)([A-Z][a-z])", "$1_$2")
+    out = F.regexp_replace(F.replace(_col(name), F.lit("::"), F.lit("/")), r"([A-Z0-9]+)([A-Z][a-z])", "$1_$2")
     return F.lower(F.regexp_replace(out, r"([a-z0-9])([A-Z])", "$1_$2"))
 
 

@@ -80,10 +80,11 @@ def is_builtin(language: Column, symbol: Column) -> Column:
 
 # --- where an import leads ------------------------------------------------------------------------------------------------------------
 
+# Suffixes that an import may leave out, and folders that frameworks load classes from.
 JS_ENDS = (".js", ".mjs", ".cjs", ".jsx")
 TS_ENDS = (".ts", ".tsx", ".mts", ".cts", *JS_ENDS)
 LARAVEL_FOLDERS = ("app/Models", "app/Http/Controllers", "app/Http/Middleware", "app/Services", "app/Providers", "app/Jobs", "app/Events", "app/Listeners", "app/Mail")
-RAILS_FOLDERS = ("app/models", "app/controllers", "app/services", "app/jobs", "app/helpers", "app/mailers", "app/channels", "app/policies", "lib")
+RAILS_FOLDERS = ("app/models", "app/controllers", "app/mailers", "app/jobs", "app/helpers", "app/services", "app/channels", "app/serializers", "app/components", "app/policies", "app/decorators", "app/validators", "app")
 
 
 def normal_path(path: Column) -> Column:
@@ -192,7 +193,10 @@ def is_first_party(language: Column, module: Column, is_relative: Column, exists
     head = F.get(F.split(module, r"\."), F.lit(0))
     python = ~head.isin(*sorted(code_names.python_modules())) & exists & ~vendored
     script = (module == package) | F.array_contains(spaces, module) | F.startswith(module, F.concat(package, F.lit("/")))
-    java = ~(F.startswith(module, F.lit(code_names.JAVA_PREFIXES[0])) | F.startswith(module, F.lit(code_names.JAVA_PREFIXES[1]))) & (F.startswith(module, F.concat(package, F.lit("."))) | exists)
+    platform = F.lit(False)
+    for p in code_names.JAVA_PREFIXES:
+        platform = platform | F.startswith(module, F.lit(p))
+    java = ~platform & (F.startswith(module, F.concat(package, F.lit("."))) | exists)
     go = F.contains(module, F.lit(".")) & ~vendored & ((module == package) | F.startswith(module, F.concat(package, F.lit("/"))))
     ruby = ~module.isin(*code_names.RUBY_MODULES.split()) & ~vendored & ~F.array_contains(deps, module) & exists
     php = ~vendored & F.exists(spaces, lambda s: F.startswith(module, s))

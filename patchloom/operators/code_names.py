@@ -47,7 +47,7 @@ RUBY_MODULES = (
     "net/imap net/pop net/smtp nkf observer open-uri open3 openssl optparse ostruct pathname pp prettyprint prime pstore psych racc rdoc readline reline resolv ripper rss securerandom set shellwords singleton socket stringio "
     "strscan syslog tempfile time timeout tmpdir tsort un uri weakref webrick yaml zlib"
 )
-JAVA_PREFIXES = ("java.", "javax.")
+JAVA_PREFIXES = ("java.", "javax.", "jdk.", "com.sun.", "sun.", "org.w3c.", "org.xml.", "org.omg.")
 
 
 def names(language: str) -> frozenset[str]:

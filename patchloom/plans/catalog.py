@@ -510,7 +510,7 @@ def q_symbol_import(spark: SparkSession, d: str) -> DataFrame:
 # --- text functions -------------------------------------------------------------------------------------------------------------------
 
 
-@_query(r"""SELECT p_partkey, lower(regexp_replace(regexp_replace(replace(n, '::', '/'), '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake,
+@_query(r"""SELECT p_partkey, lower(regexp_replace(regexp_replace(replace(n, '::', '/'), '([A-Z0-9]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake,
  array_to_string(list_transform(string_split(lower(replace(p_type, ' ', '_')), '_'), lambda x: upper(x[1]) || lower(x[2:])), '') AS camel, replace(p_brand || '.' || p_type, '.', '/') AS path FROM (SELECT *, replace(p_name, ' ', '') || '::HTTP' || p_brand AS n FROM part)""")
 def q_case_convert(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")

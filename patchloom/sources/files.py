@@ -243,7 +243,7 @@ def mix_dependencies(text: Column) -> Column:
 # Marks of frameworks: a file that must be there, and what its text must hold.
 FRAMEWORK_MARKS = {
     "django": (("manage.py", None),), "flask": tuple((f, "Flask(__name__)") for f in ("app.py", "wsgi.py", "application.py")), "fastapi": tuple((f, "FastAPI(") for f in ("main.py", "app.py", "asgi.py")),
-    "rails": (("config/application.rb", None),), "laravel": (("artisan", None),), "wordpress": (("wp-config.php", None), ("wp-login.php", None)), "phoenix": (("mix.exs", "{:phoenix,"),),
+    "rails": (("config/application.rb", None),), "laravel": (("artisan", None),), "wordpress": (("wp-config.php", None), ("*.php", "Plugin Name:"), ("style.css", "Theme Name:")), "phoenix": (("mix.exs", "{:phoenix,"),),
 }
 
 
@@ -253,12 +253,24 @@ def frameworks(files: DataFrame) -> DataFrame:
     for name, marks in FRAMEWORK_MARKS.items():
         test = F.lit(False)
         for path, mark in marks:
-            here = F.col("path") == path
+            here = F.col("path").rlike(r"^[^/]+\.php$") if path == "*.php" else F.col("path") == path
             test = test | (here & F.contains(F.left("text", F.lit(4096)), F.lit(mark)) if mark else here)
         flags.append(F.coalesce(F.bool_or(test), F.lit(False)).alias(name))
     return files.groupBy("project").agg(*flags)
 
 
+# Files that make a package a Django app.
+DJANGO_APP_FILES = ("models.py", "views.py", "admin.py", "forms.py", "urls.py", "apps.py", "serializers.py")
+
+
+def django_apps(files: DataFrame) -> DataFrame:
+    """(project, path, ...) to (project, app): packages at the top or one level below it that hold a file of an app, with dots between levels."""
+    name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", "/?[^/]+$", "")
+    near = files.select("project", name.alias("name"), folder.alias("folder")).where("folder <> '' AND size(split(folder, '/')) <= 2")
+    found = near.groupBy("project", "folder").agg(F.bool_or(F.col("name") == "__init__.py").alias("package"), F.bool_or(F.col("name").isin(*DJANGO_APP_FILES)).alias("app"))
+    return found.where("package AND app").select("project", F.replace("folder", F.lit("/"), F.lit(".")).alias("app"))
+
+
 def glob_matches(path: str, pattern: str) -> bool:
     """The driver's own test of a path against a glob, as the column functions have it."""
     low, pattern = path.lower(), pattern.lower()

@@ -90,6 +90,10 @@ def test_manifests(spark):
     projects = spark.createDataFrame([("p", "manage.py", ""), ("p", "app.py", "app = Flask(__name__)"), ("q", "main.py", "x")], "project string, path string, text string")
     got = {r.project: r for r in S.frameworks(projects).collect()}
     assert got["p"].django and got["p"].flask and not got["p"].rails and not got["q"].fastapi
+    wp = spark.createDataFrame([("p", "my.php", "/* Plugin Name: x */"), ("q", "style.css", "none"), ("q", "inc/my.php", "Plugin Name: x")], "project string, path string, text string")
+    assert {r.project: r.wordpress for r in S.frameworks(wp).collect()} == {"p": True, "q": False}
+    tree = ["shop/__init__.py", "shop/models.py", "apps/blog/__init__.py", "apps/blog/views.py", "a/b/c/__init__.py", "a/b/c/models.py", "lib/__init__.py", "manage.py"]
+    assert {r.app for r in S.django_apps(spark.createDataFrame([("p", t) for t in tree], "project string, path string")).collect()} == {"shop", "apps.blog"}
 
 
 def test_reports(spark, tmp_path):
