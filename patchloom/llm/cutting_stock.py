@@ -50,6 +50,21 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """Inverse by elimination with pivoting. The library's own routine starts threads, which was seen to hang in a driver."""
+    n = len(a)
+    both = np.concatenate([a, np.eye(n)], axis=1)
+    for k in range(n):
+        row = k + int(np.abs(both[k:, k]).argmax())
+        if row != k:
+            both[[k, row]] = both[[row, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k][None, :]
+    return both[:, n:]
+
+
 def solve(demand: dict[int, int], capacity: int, most: int = 4000) -> Basis:
     """Column generation with a revised simplex; ``demand`` maps a class (its size in units) to a count."""
     sizes = np.array(sorted(c for c, n in demand.items() if n > 0), dtype=np.int64)
@@ -61,7 +76,7 @@ def solve(demand: dict[int, int], capacity: int, most: int = 4000) -> Basis:
     rounds = 0
     while m and rounds < most:
         rounds += 1
-        y = cost @ inverse
+        y = np.einsum("i,ij->j", cost, inverse)
         low = int(y.argmin())
         if y[low] < -1e-9:
             column, price = np.zeros(m), 0.0
@@ -72,7 +87,7 @@ def solve(demand: dict[int, int], capacity: int, most: int = 4000) -> Basis:
             price = 1.0
             if value <= 1 + 1e-9 or (y @ d) / value >= (1 - GAP) * (cost @ x):
                 break
-        u = inverse @ column
+        u = np.einsum("ij,j->i", inverse, column)
         rows = np.flatnonzero(u > 1e-9)
         if not len(rows):
             break
@@ -87,8 +102,8 @@ def solve(demand: dict[int, int], capacity: int, most: int = 4000) -> Basis:
             inverse = inverse - np.outer(u, row)
             inverse[out] = row
         else:  # against rounding errors
-            inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ d, 0)
+            inverse = inverted(columns)
+            x = np.maximum(np.einsum("ij,j->i", inverse, d), 0)
     return Basis(sizes, inverse, columns, cost > 0, rounds)
 
 
@@ -98,7 +113,7 @@ def round_patterns(basis: Basis, demand: dict[int, int], capacity: int) -> list[
     out: list[tuple[dict[int, int], int]] = []
     if len(basis.classes):
         d = np.array([left.get(int(c), 0) for c in basis.classes], dtype=np.float64)
-        x = np.floor(np.maximum(basis.inverse @ d, 0) + 1e-6).astype(np.int64)
+        x = np.floor(np.maximum(np.einsum("ij,j->i", basis.inverse, d), 0) + 1e-6).astype(np.int64)
         for k in np.argsort(-x, kind="stable"):
             pattern = {int(basis.classes[i]): int(basis.columns[i, k]) for i in np.flatnonzero(basis.columns[:, k] > 0)}
             if basis.is_pattern[k] and pattern and (n := min([int(x[k]), *(left[c] // a for c, a in pattern.items())])) > 0:

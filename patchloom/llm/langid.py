@@ -23,8 +23,8 @@ from patchloom.llm.common import load, map_arrow
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
 #: The sample for training: about so many rows of each language, chosen by a hash of the id, each whole and of at most SAMPLE_CHARS characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 800, 20_000
-#: Languages learned at most, the most frequent ones.
-LANGUAGES = 200
+#: Languages learned at most, the most frequent ones, and rows of the sample in all, so that it fits the driver whatever the table.
+LANGUAGES, SAMPLE_TOTAL = 200, 8_000
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: At most this share of the rightly recognised calibration rows may fall under the rejection bound.
 REJECT_SHARE = 0.001
@@ -154,11 +154,15 @@ def held_out() -> F.Column:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Train on a bounded sample of labelled rows that aren't held out: about ``rows`` of each language, chosen by a hash of the id."""
+    """Train on a bounded sample of labelled rows that aren't held out: about ``rows`` of each language, chosen by a hash of the id, and SAMPLE_TOTAL in all."""
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(F.length("text") <= SAMPLE_CHARS)
-    sizes = F.broadcast(usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES))
-    share = usable.select("doc_id", "lang", "text").join(sizes, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) < (F.lit(float(1 << 40)) * rows / F.col("count")))
-    found = share.select("doc_id", "lang", "text").toPandas().sort_values("doc_id")
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return train([], [])
+    each = min(rows, SAMPLE_TOTAL // len(sizes))
+    range_ = 1 << 40
+    below = F.try_element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, each / r["count"]) * range_))]), F.col("lang"))
+    found = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(range_)) < below).select("doc_id", "lang", "text").toPandas().sort_values("doc_id", kind="stable")
     return train(found["text"].tolist(), found["lang"].tolist())
 
 
