@@ -27,18 +27,23 @@ BUCKET = 1024
 CROWD = 0.25
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned SimHash of a whole text; null, empty and blank texts give 0."""
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of all shingles of a whole text, in order; a text of fewer words is one shingle, one without words has none."""
     words = (text or "").encode("utf-8").lower().split()  # on bytes: only A-Z change, only ASCII white space splits
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     ends = ends.tolist()
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned SimHash of a whole text; null, empty and blank texts give 0."""
+    hashes = shingles(text, shingle)
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):  # a long text needs no more memory than a block of shingles
         part = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -136,7 +141,11 @@ def one_of_each_group(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     Rows with a null doc_id can't be told apart and stay.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), distance)
+    return leaders(docs, near_duplicates(docs.select("doc_id", "text"), distance))
+
+
+def leaders(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents that have the id of their group in (doc_id, component_id), or no id; of repeated ids one row stays."""
     go = keep(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "gone")
     out = docs.join(go, docs["doc_id"] == go["gone"], "left_anti")
     if groups.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
