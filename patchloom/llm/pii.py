@@ -2,8 +2,8 @@
 
 The field labels whole segments: a segment of up to ``LONGEST`` tokens is scored as email, ip, card or phone by features of the whole span
 (shape of its parts, digit counts, check digit, words before it), a token outside all spans scores nothing, and bounded-entity dynamic
-programming chooses boundaries and kinds together. Every feature fires only in segments with a digit or an at sign, so the dynamic
-programming runs on the stretches around those; elsewhere the best labelling is known to be empty. Weights are trained by gradient on the
+programming chooses boundaries and kinds together. A segment holds a digit, an at sign or a word for one, so the dynamic programming runs
+on the stretches around all of those; elsewhere there are no segments and the labelling is empty. Weights are trained by gradient on the
 conditional likelihood of generated sentences, whose forms (written-out emails, local and 00-prefixed phones, bracketed addresses) and
 counter-examples (hashes, dates, versions, prices, long ids) come from a seeded generator. A span is added if its posterior reaches ``SURE``.
 """
@@ -87,8 +87,10 @@ _CUES = {
 }
 #: Characters that a segment has at most, and so the reach of a stretch around a digit or an at sign.
 REACH = 96
-#: What a segment must hold: a digit, an at sign, or an address written out as in "name at place dot com".
-_SIGNAL = re.compile(r"[0-9@]+|\b(?:at|arroba|arobase)\b[)\]]? ?[\w-]+(?: ?[(\[]?(?:dot|punkt|point|punto)[)\]]? ?|\.)[A-Za-z]{2,6}\b")
+#: What a segment must hold: a digit, an at sign, or a word for one that is a whole token, in either case.
+_SIGNAL = re.compile(r"[0-9]+|@|(?<![^\W\d_])(?:at|arroba|arobase)(?![^\W\d_])", re.IGNORECASE)
+#: Tokens before a segment that its features read.
+BEFORE = 3
 
 
 def _is_number(token: str) -> bool:
@@ -153,7 +155,7 @@ def features(text: str, toks: list[tuple[int, int, str]], i: int, j: int) -> lis
         out.append("joined-left" + ("" if before.isalnum() else before))
     if after and (after.isalnum() or after in "@_-/=%€$\"'"):
         out.append("joined-right" + ("" if after.isalnum() else after))
-    near = {t.lower() for _, _, t in toks[max(0, i - 3) : i]}
+    near = {t.lower() for _, _, t in toks[max(0, i - BEFORE) : i]}
     out += [f"cue-{kind}" for kind, cues in _CUES.items() if near & cues]
     return out
 
@@ -238,7 +240,7 @@ class Field:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text around every signal, as far as a segment can reach, widened to whole words and cut at ends of lines."""
+    """Parts of a text around every signal, as far as a segment can reach, widened to whole words, cut at ends of lines, and with the tokens before that features read."""
     out: list[tuple[int, int]] = []
     for m in _SIGNAL.finditer(text):
         line = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
@@ -246,6 +248,7 @@ def stretches(text: str) -> list[tuple[int, int]]:
         end = min(len(text) if line[1] < 0 else line[1], m.end() + REACH)
         while begin > line[0] and m.start() - begin < 2 * REACH and not text[begin - 1].isspace():
             begin -= 1
+        begin = _earlier(text, begin)
         while end < len(text) and end - m.end() < 2 * REACH and not text[end].isspace():
             end += 1
         if out and begin <= out[-1][1]:
@@ -255,6 +258,17 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _earlier(text: str, at: int) -> int:
+    """Where the last BEFORE tokens before a place start."""
+    width = 64
+    while True:
+        low = max(0, at - width)
+        toks = tokens(text, low, at)
+        if not low or len(toks) > BEFORE:  # the first token may be cut
+            return toks[max(0, len(toks) - BEFORE)][0] if toks else at
+        width *= 4
+
+
 def _viterbi(n: int, found: list[tuple[int, int]], s: np.ndarray) -> list[tuple[int, int]]:
     """The best labelling: (segment, kind) pairs, none overlapping."""
     best, back, ending = [0.0] * (n + 1), [None] * (n + 1), {}
