@@ -1,6 +1,7 @@
 """Operator 10, licence scans: a trained paragraph classifier, with DataFrame functions only on the main path.
 
-A paragraph is a line of a text. One that holds a word that licence notices are made of is a candidate; its word n-grams (one to three words)
+A paragraph is a run of consecutive lines, so hard-wrapped notices are judged whole; it ends at a line without words (comment marks aside),
+after a line that ends a sentence, around an SPDX tag, and before a line that begins as a template does. One that holds a word that licence notices are made of is a candidate; its word n-grams (one to three words)
 are looked up in a table of trained weights, of fixed size and so broadcast, and their sums are the logits of a multinomial logistic
 regression over "none" and the licence families. Probabilities are taken at a calibrated temperature; a candidate whose best family stays
 under the calibrated bound is "unknown" (if "none" does not lead). A prediction counts as confirmed when enough of the two-word shingles of one
@@ -42,6 +43,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 FAMILIES = tuple(TEMPLATES)
 #: What a candidate must hold, in lower case.
 ANCHOR = r"licen[cs]|copyright|permission|public domain|unencumbered|redistribution|gnu|spdx|apache|creative commons|cc0|cc[ -]by|mozilla|\bmit\b|\bbsd\b|\bisc\b"
+#: Comment marks and blanks at the start of a line, and between two words of a wrapped anchor.
+MARKS = r"[ \t/*#;%!>|<-]*"
+WRAPPED = ANCHOR.replace("public domain", r"public[\s/*#;%!>|<-]+domain").replace("creative commons", r"creative[\s/*#;%!>|<-]+commons").replace("cc[ -]by", r"cc[\s/*#;%!>|<-]+by")
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: The share of a template's shingles that confirms it, and the share of right predictions that the bound on scores may cost.
 CONFIRM, LOSE, SEED = 0.6, 0.01, 3
@@ -141,11 +145,24 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, of(2), of(3)))
 
 
+def paragraphs(low: Column) -> Column:
+    """The paragraphs of a text in lower case, each on one line."""
+    begins = sorted({" ".join(t.split()[:2]) for ts in TEMPLATES.values() for t in ts if not t.startswith("under the")} | {"this work is", "this program is", "this library is", "this file is", "copyright"})
+    end = "\x01"
+    steps = (
+        (r"\r\n?", "\n"), (rf"(^|\n){MARKS}(?:dnl|rem)\b", "$1"), (r"\n[\s/*#;%!>|<-]*\n", end), (r"([.!?][\"')\]]*[ \t]*(?:\*+/|-->)?[ \t]*)\n", f"$1{end}"),
+        (r"(spdx-license-identifier[^\n\x01]*)\n", f"$1{end}"), (rf"\n(?={MARKS}(?:{'|'.join(b.replace('-', '.') for b in begins)}))", end), (rf"\n{MARKS}", " "),
+    )
+    for pattern, new in steps:
+        low = F.regexp_replace(low, pattern, new)
+    return F.split(low, end)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """One row for each candidate paragraph (doc_id, doc, paragraph, words), and one with a null paragraph for a document without any; doc numbers the rows of ``docs``."""
     text = F.coalesce("text", F.lit(""))
     low = F.lower(text)
-    lines = F.when(low.rlike(ANCHOR), F.filter(F.transform(F.split(low, "\n"), lambda line, k: F.struct(k.alias("paragraph"), line.alias("line"))), lambda p: p["line"].rlike(ANCHOR)))
+    lines = F.when(low.rlike(WRAPPED), F.filter(F.transform(paragraphs(low), lambda line, k: F.struct(k.alias("paragraph"), line.alias("line"))), lambda p: p["line"].rlike(ANCHOR)))
     numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("doc"))
     rows = numbered.select("doc_id", "doc", F.explode_outer(lines).alias("p"))
     return rows.select("doc_id", "doc", "p.paragraph", F.expr(f"regexp_extract_all(p.line, '{TOKEN}', 0)").alias("words"))
