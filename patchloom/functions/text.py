@@ -1,11 +1,9 @@
-"""Column functions on texts: ids, fingerprints, normal forms, shortening. All run in the JVM unless the docstring says otherwise."""
+"""Column functions on texts: ids, fingerprints, normal forms, shortening. All run in the JVM."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 HASH_LENGTH = 16
 
@@ -52,43 +50,26 @@ def is_finding_id(value: Column | str) -> Column:
     return _col(value).rlike("^[a-z]+[0-9]*-[0-9a-f]{16}$")
 
 
-def without_comment(line: str) -> str:
-    """A line up to the first ``#`` outside quotes; a backslash hides the next character."""
-    quote, hidden = "", False
-    for k, c in enumerate(line):
-        if hidden:
-            hidden = False
-        elif c == "\\":
-            hidden = True
-        elif quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c == "#":
-            return line[:k]
-    return line
+#: A line up to the first ``#`` outside quotes; a backslash hides the next character, and an open quote reaches to the end of the line.
+#: Possessive, so a line of any length is matched in a loop, without a deep stack.
+UNCOMMENTED = r"""^(?:[^"'\\#]++|\\.|\\$|"(?:[^"\\]++|\\.|\\$)*+(?:"|$)|'(?:[^'\\]++|\\.|\\$)*+(?:'|$))*+"""
+#: White space of any kind.
+_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-def _cleaned(code: str) -> str:
-    kept = (without_comment(x).strip() for x in code.splitlines())
-    return "\n".join(x for x in kept if x)
-
-
-@F.pandas_udf(T.StringType())
-def _without_comments(code: pd.Series) -> pd.Series:
-    return code.map(_cleaned, na_action="ignore")
+def stripped(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(F.regexp_replace(text, rf"^{_BLANK}++", ""), rf"(?<!{_BLANK}){_BLANK}++$", "")
 
 
 def code_normalized(code: Column | str, comments: bool = True) -> Column:
-    """Code without triple-quoted strings, comments, outer blanks and blank lines.
-
-    Comments are found by a scan over characters in a pandas UDF; with ``comments=False`` the rest is done in the JVM.
-    """
+    """Code without triple-quoted strings, comments (unless ``comments`` is false), outer blanks and blank lines; null stays null."""
     plain = F.regexp_replace(_col(code), r'"""[\s\S]*?"""', "")
     plain = F.regexp_replace(plain, r"'''[\s\S]*?'''", "")
+    kept = lines(plain)
     if comments:
-        return _without_comments(plain)
-    return F.array_join(F.filter(F.transform(lines(plain), F.trim), lambda x: x != ""), "\n")
+        kept = F.transform(kept, lambda x: F.regexp_extract(x, f"(?s){UNCOMMENTED}", 0))
+    return F.array_join(F.filter(F.transform(kept, stripped), lambda x: x != ""), "\n")
 
 
 def fingerprint(code: Column | str, cwe: Column | str, comments: bool = True) -> Column:

@@ -60,11 +60,11 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").selectExpr("doc_id", f"{CWE} AS cwe_id", f"{SEVERITY} AS severity", f"{CONFIDENCE} AS confidence", f"{FILE} AS file_path", f"{START} AS line_start", "substring(text, 1, 40) AS what")
+    return table(spark, d, "documents").selectExpr("doc_id", f"{CWE} AS cwe_id", f"{SEVERITY} AS severity", f"{CONFIDENCE} AS confidence", f"{FILE} AS file_path", f"{START} AS line_start", "text AS what")
 
 
 SQL_PATHS = f"paths AS (SELECT doc_id, {_sql(PATH)} AS path, text, doc_id % 19 = 0 AS is_binary, doc_id % 23 = 0 AS is_deleted FROM documents)"
-SQL_FINDINGS = f"f AS (SELECT doc_id, {_sql(CWE)} AS cwe_id, {SEVERITY} AS severity, {CONFIDENCE} AS confidence, {_sql(FILE)} AS file_path, {START} AS line_start, substring(text, 1, 40) AS what FROM documents)"
+SQL_FINDINGS = f"f AS (SELECT doc_id, {_sql(CWE)} AS cwe_id, {SEVERITY} AS severity, {CONFIDENCE} AS confidence, {_sql(FILE)} AS file_path, {START} AS line_start, text AS what FROM documents)"
 SQL_ID = "replace(lower(coalesce(cwe_id, 'unknown')), '-', '')"
 SQL_FINDING_ID = f"{SQL_ID} || '-' || substr(sha256(CASE WHEN file_path IS NULL AND line_start IS NULL THEN {SQL_ID} || ':' || what ELSE concat_ws(':', {SQL_ID}, file_path, CAST(line_start AS VARCHAR)) END), 1, 16)"
 SQL_RULES = "rules(cwe_id, mapped) AS (VALUES " + ", ".join(f"('{c}', '{s}')" for c, s in C.cwe_severities()) + ")"
@@ -233,17 +233,17 @@ def q_region_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scopes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where("event_id % 5 = 0").selectExpr("user_id", "event_type AS scope_type", "concat('s', event_id) AS name", "CAST(event_id AS INT) AS start_line", "CAST(event_id + event_id % 700 AS INT) AS end_line", "CAST(event_id % 4 AS INT) AS depth")
+    return table(spark, d, "events").selectExpr("user_id", "event_type AS scope_type", "concat('s', event_id) AS name", "CAST(event_id + 1 AS INT) AS start_line", "CAST(event_id + 1 + event_id % 700 AS INT) AS end_line", "CAST(event_id % 4 AS INT) AS depth")
 
 
-SQL_SCOPED = """s AS (SELECT user_id, event_type AS scope_type, 's' || event_id AS name, CAST(event_id AS INT) AS start_line, CAST(event_id + event_id % 700 AS INT) AS end_line, CAST(event_id % 4 AS INT) AS depth FROM events WHERE event_id % 5 = 0),
- l AS (SELECT user_id, CAST(event_id AS INT) AS line_num FROM events WHERE event_id % 3 = 1),
+SQL_SCOPED = """s AS (SELECT user_id, event_type AS scope_type, 's' || event_id AS name, CAST(event_id + 1 AS INT) AS start_line, CAST(event_id + 1 + event_id % 700 AS INT) AS end_line, CAST(event_id % 4 AS INT) AS depth FROM events),
+ l AS (SELECT user_id, CAST(event_id + 1 AS INT) AS line_num FROM events),
  ranked AS (SELECT l.user_id, line_num, scope_type, name, start_line, end_line, depth, row_number() OVER (PARTITION BY l.user_id, line_num ORDER BY depth DESC, start_line DESC) AS k FROM l JOIN s ON l.user_id = s.user_id AND line_num BETWEEN start_line AND end_line)"""
 
 
 @_query(f"WITH {SQL_SCOPED} SELECT user_id, line_num, scope_type, name, start_line, end_line, depth FROM ranked WHERE k = 1")
 def q_innermost_scope(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "events").where("event_id % 3 = 1").selectExpr("user_id", "CAST(event_id AS INT) AS line_num")
+    lines = table(spark, d, "events").selectExpr("user_id", "CAST(event_id + 1 AS INT) AS line_num")
     return regions.innermost(lines, _scopes(spark, d), ["user_id"])
 
 
@@ -302,14 +302,16 @@ def q_finding_id(spark: SparkSession, d: str) -> DataFrame:
 SQL_QUOTES = "repeat(chr(34), 3)"
 
 
-@_query(rf"""WITH c AS (SELECT doc_id, text, regexp_replace('x = 1' || chr(10) || {SQL_QUOTES} || ' doc ' || chr(10) || {SQL_QUOTES} || chr(10) || text, {SQL_QUOTES} || '[\s\S]*?' || {SQL_QUOTES}, '', 'g') AS code FROM documents),
- n AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(code, chr(10)), lambda x: trim(regexp_replace(x, '#.*$', ''), ' ')), lambda x: x <> ''), chr(10)) AS code FROM c WHERE position(chr(34) IN text) = 0 AND position(chr(39) IN text) = 0 AND position(chr(92) IN text) = 0)
+SQL_UNCOMMENTED = r"""regexp_extract(x, '^([^"''\\#]|\\.|\\$|"([^"\\]|\\.|\\$)*("|$)|''([^''\\]|\\.|\\$)*(''|$))*')"""
+
+
+@_query(rf"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace('x = 1' || chr(10) || {SQL_QUOTES} || ' doc ' || chr(10) || {SQL_QUOTES} || chr(10) || coalesce(text, ''), {SQL_QUOTES} || '[\s\S]*?' || {SQL_QUOTES}, '', 'g'), '\x27{{3}}[\s\S]*?\x27{{3}}', '', 'g') AS code FROM documents),
+ n AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(code, chr(10)), lambda x: trim({SQL_UNCOMMENTED}, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> ''), chr(10)) AS code FROM c)
  SELECT doc_id, 'cwe' || doc_id || '-' || substr(sha256('cwe' || doc_id || ':' || code), 1, 16) AS fingerprint FROM n""")
 def q_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """Fingerprints of texts without quotes, each after a doc string; comments go."""
-    rows = table(spark, d, "documents").where(~F.col("text").rlike(r"""["'\\]"""))
-    code = F.concat(F.lit('x = 1\n""" doc \n"""\n'), F.col("text"))
-    return rows.select("doc_id", X.fingerprint(code, F.concat(F.lit("CWE-"), F.col("doc_id").cast("string"))).alias("fingerprint"))
+    """Fingerprints of all texts, each after a doc string; doc strings and comments go, quoted number signs stay."""
+    code = F.concat(F.lit('x = 1\n""" doc \n"""\n'), F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", X.fingerprint(code, F.concat(F.lit("CWE-"), F.col("doc_id").cast("string"))).alias("fingerprint"))
 
 
 @_query("""SELECT doc_id, CASE WHEN regexp_full_match(trim(raw), '(?i)(CWE-)?[0-9]+') THEN 'CWE-' || regexp_extract(trim(raw), '([0-9]+)$', 1) WHEN trim(raw) <> '' THEN trim(raw) END AS cwe_id

@@ -1,6 +1,8 @@
 """Filters, regions, findings, prompts and text functions on small fixtures."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +138,31 @@ def test_normalised_code(spark, code, want):
     assert one(spark, X.code_normalized(F.lit(code))) == want
 
 
+def _scanned(line):
+    quote, hidden = "", False
+    for k, c in enumerate(line):
+        if hidden:
+            hidden = False
+        elif c == "\\":
+            hidden = True
+        elif quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c == "#":
+            return line[:k]
+    return line
+
+
+def test_comments_are_found_as_by_a_scan_over_characters(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab'\"\\#\n \t\xa0x") for _ in range(rng.randint(0, 40))) for _ in range(500)] + ["a" * 300_000 + "#x", "'\\" * 100_000, 'a "' * 100_000 + " #", " " * 300_000 + "x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.code_normalized("t").alias("got")).collect()
+    for r in rows:
+        plain = re.sub(r"\'\'\'[\s\S]*?\'\'\'", "", re.sub(r'"""[\s\S]*?"""', "", r.t))
+        assert r.got == "\n".join(x for x in (_scanned(line).strip() for line in plain.splitlines()) if x)
+
+
 def test_ids(spark):
     same = [one(spark, X.fingerprint(F.lit(c), F.lit("CWE-89"))) for c in ("a = 1 # x", "  a = 1\n\n")]
     assert same[0] == same[1]
