@@ -1,14 +1,23 @@
-"""Near copies for the pipeline: word sets of five-word shingles, MinHash candidates, exact similarity, components.
+"""Near copies for the pipeline: operator 1 with wide fingerprints of five-word shingles, and an exact check of what it brings together.
 
-Two texts are linked if their sets of shingles have a Jaccard similarity of ``SIMILAR`` or more, which is counted exactly for every candidate
-pair. Candidates share one of ``BANDS`` keys of ``ROWS`` MinHash values: a pair at the very bound is missed with probability
-(1 - 0.8^5)^30 = 7e-6, closer pairs less often. Texts with equal sets are one row before any join, and keys with the same members are one bucket.
-A bucket is cut into chunks by the shingles it holds, each pair of chunks is its own group, and only a spanning star of verified links is emitted.
+Two texts are linked if their sets of shingles have a Jaccard similarity of ``SIMILAR`` or more. At 0.8, signs of SimHash differ in 15 % of all
+places: about 10 of 64, so no few blocks of 64 bits are sure to agree. Fingerprints here have ``BITS`` bits, split into blocks again and
+again after another shuffle of the bits (the first split's blocks bring any pair together that differs in fewer bits than it has blocks); the
+number of blocks is what a pair at the very bound shares one of with probability ``RECALL`` (closer pairs: almost surely). Pairs
+in a block are held against Hamming bounds that lose a pair at 0.8 with probability 5e-5. What is left is components of
+candidates, and inside each of them the similarity is counted exactly on the sets themselves, each of which moves once.
+
+Texts with equal sets are one row from the start. A large group (a block or a component that a third of all rows may share) is cut into chunks.
+First each chunk is checked by itself, with a few members of the whole group as guests, which joins the copies of one text whatever the
+chunk. Any link still missing has a member outside the group's largest component, so only those members are then
+held against all chunks. Of a chunk only a spanning star of verified links is emitted, never all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +31,14 @@ from patchloom.llm.simhash import leaders, shingles
 
 #: SIMILAR is a fraction, so that the test is exact in whole numbers.
 SHINGLE, SIMILAR, SEED = 5, (4, 5), 7
-BANDS, ROWS = 30, 5
-#: Shingles in a chunk of a bucket; a group has two chunks at most.
-FILL = 1 << 21
+#: Bits of a fingerprint, and bounds on differing bits in its first 64 and its first 128.
+BITS, FIRST, BOTH = 256, 22, 36
+RECALL, CROWD, BLOCKS_AT_MOST = 0.999, 512, 1024
+#: Members of a chunk of a block, shingles in a chunk of a component, and guests in each chunk.
+BUCKET, FILL, GUESTS = 1024, 1 << 21, 8
 _RNG = np.random.default_rng(SEED)
-_FACTORS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDED = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
-_MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = _RNG.integers(0, 1 << 63, (1, BITS // 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SECOND = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -41,14 +51,40 @@ def similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int)
     return common * sum(SIMILAR) >= SIMILAR[0] * (a + b)
 
 
-def band_keys(members: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set; none for an empty one."""
-    if not len(members):
-        return np.empty(0, dtype=np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+def wide_fingerprint(members: np.ndarray) -> np.ndarray:
+    """BITS signs (0 or 1) of a set: each member has a pseudo-random weight of -128 to 127 for each bit, and the sign is that of the sum."""
+    sums = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(members), 1 << 10):
-        np.minimum(least, (_FACTORS * members[i : i + (1 << 10)] + _ADDED).min(axis=1), out=least)
-    return (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
+        x = members[i : i + (1 << 10), None] * _FACTORS
+        x ^= x >> np.uint64(31)
+        x *= _SECOND
+        sums += (x ^ (x >> np.uint64(29))).view(np.int8).sum(axis=0, dtype=np.int64)
+    return (2 * sums + len(members) > 0).astype(np.uint8)  # the mean weight is -1/2
+
+
+@cache
+def blocks_for(n: int) -> tuple[int, int]:
+    """(bits of a block, blocks) for n distinct sets: blocks hold about CROWD of them, and a pair at the bound shares one with probability RECALL."""
+    differ = math.acos(2 * SIMILAR[0] / sum(SIMILAR)) / math.pi  # sets of equal sizes are the farthest at one similarity
+    d = np.arange(BITS + 1)
+    weight = np.array([math.comb(BITS, k) * differ**k * (1 - differ) ** (BITS - k) for k in d.tolist()])
+    bits = max(4, round(math.log2(max(1, n / CROWD))))
+    while True:
+        share = np.array([math.comb(BITS - k, bits) / math.comb(BITS, bits) for k in d.tolist()])
+        blocks = 1
+        while float(weight @ (1 - share) ** blocks) > 1 - RECALL and blocks <= BLOCKS_AT_MOST:
+            blocks += 1
+        if blocks <= BLOCKS_AT_MOST or bits == 4:
+            return bits, blocks
+        bits -= 1
+
+
+@cache
+def places(bits: int, blocks: int) -> np.ndarray:
+    """The places of each block's bits: (blocks, bits). Each split of the shuffled bits gives as many disjoint blocks as fit."""
+    rng, each = np.random.default_rng([SEED, bits]), BITS // bits
+    splits = [rng.permutation(BITS)[: each * bits].reshape(each, bits) for _ in range(-(-blocks // each))]
+    return np.concatenate(splits)[:blocks]
 
 
 def _identity(members: np.ndarray) -> int:
@@ -57,18 +93,29 @@ def _identity(members: np.ndarray) -> int:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column("text")]
-        same = np.array([_identity(s) for s in sets], dtype=np.uint64).view(np.int64)
-        keys = [band_keys(s).view(np.int64) for s in sets]
-        n = pa.array([len(s) for s in sets], type=pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same), n, pa.array(keys, type=pa.list_(pa.int64()))], ["doc_id", "same", "n", "keys"])
+        rows = []
+        for t in batch.column("text"):
+            members = shingle_set(t.as_py())
+            rows.append((_identity(members), len(members), np.packbits(wide_fingerprint(members)).tobytes()))
+        same = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same), pa.array([r[1] for r in rows], type=pa.int64()), pa.array([r[2] for r in rows], type=pa.binary())], ["doc_id", "same", "n", "fp"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column("text")]
-        same = np.array([_identity(s) for s in sets], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(same), pa.array([s.tobytes() for s in sets], type=pa.binary())], ["same", "members"])
+def _blocked(bits: int, blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, power = places(bits, blocks), 1 << np.arange(bits, dtype=np.int64)
+        first = np.arange(blocks, dtype=np.int64) << bits
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
+            ones = np.unpackbits(raw, axis=1)
+            words = np.ascontiguousarray(raw[:, :16]).view(np.int64)
+            groups = ones[:, at.ravel()].reshape(-1, blocks, bits).astype(np.int64) @ power + first
+            each = lambda x: pa.array(np.repeat(x, blocks))
+            yield pa.RecordBatch.from_arrays([pa.array(groups.ravel()), each(batch.column("rep").to_numpy()), each(words[:, 0]), each(words[:, 1])], ["g", "rep", "a", "b"])
+
+    return run
 
 
 def reached(sets: list[np.ndarray]) -> np.ndarray:
@@ -94,46 +141,143 @@ def reached(sets: list[np.ndarray]) -> np.ndarray:
     return label
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for cols, starts in whole_groups(batches, ("key", "i", "j")):
-        src, dst = [], []
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            sets = [np.frombuffer(m.as_buffer(), dtype=np.uint64) for m in cols["members"].slice(a, b - a)]
-            label = reached(sets)
-            moved = np.flatnonzero(label != np.arange(b - a))
-            src.append(cols["rep"][a:b][moved])
-            dst.append(cols["rep"][a:b][label[moved]])
-        if src and any(map(len, src)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
+def _rooted(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The least member that each of n members reaches by the links (p, q)."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        low = np.minimum(label[p], label[q])
+        np.minimum.at(new, p, low)
+        np.minimum.at(new, q, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _close(cols: dict, a: int, b: int) -> np.ndarray:
+    """The least row of a group of fingerprints, rows a to b, that each of its rows reaches within the Hamming bounds."""
+    x, y = (cols[w][a:b].view(np.uint64) for w in ("a", "b"))
+    found = []
+    for i in range(0, b - a, 256):
+        bits = np.bitwise_count(x[i : i + 256, None] ^ x[None, i:])
+        p, q = np.nonzero(bits <= FIRST)
+        keep_ = p < q
+        p, q = p[keep_], q[keep_]
+        near = bits[p, q] + np.bitwise_count(y[i + p] ^ y[i + q]) <= BOTH
+        found.append((i + p[near], i + q[near]))
+    return _rooted(b - a, *[np.concatenate(z) for z in zip(*found, strict=True)])
+
+
+def _alike(cols: dict, a: int, b: int) -> np.ndarray:
+    """The same for a group of shingle sets and their exact similarity."""
+    return reached([np.frombuffer(m.as_buffer(), dtype=np.uint64) for m in cols["members"].slice(a, b - a)])
+
+
+def _verified(label_of: Callable):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, starts in whole_groups(batches, ("g", "i", "j")):
+            src, dst = [], []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if b - a > 1:
+                    label = label_of(cols, a, b)
+                    moved = np.flatnonzero(label != np.arange(b - a))
+                    src.append(cols["rep"][a:b][moved])
+                    dst.append(cols["rep"][a:b][label[moved]])
+            if src and any(map(len, src)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
+
+    return run
+
+
+def joined(members: DataFrame, fill: int, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(g, rep, load, ...), rep unique in g, to (rep, component): components of all links that ``check`` finds between members of one g.
+
+    ``check`` takes rows with a group (g, i, j) and gives (src, dst) with the components of each group. Groups whose loads add up to
+    more than ``fill`` are cut into chunks.
+    """
+    total = members.groupBy("g").agg(F.sum("load").alias("total")).where(F.col("total") > fill)
+    large = keep(total.select("g", F.ceil(F.col("total") / fill).cast("int").alias("chunks")), "large")
+    rest = [c for c in members.columns if c != "g"]
+    zero = F.lit(0).cast("int")
+    if large.isEmpty():
+        found = check(members.select("g", zero.alias("i"), zero.alias("j"), *rest))
+        return connected_components(found)
+
+    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    rows = members.join(large, "g", "left").withColumn("i", F.coalesce(own, zero))
+    cut = keep(rows.where("chunks IS NOT NULL"), "cut")
+    picked = cut.groupBy("g", "chunks").agg(*[F.min(F.struct(F.xxhash64("rep", F.lit(s)).alias("h"), "i", *rest)).alias(f"p{s}") for s in range(GUESTS)])
+    guests = picked.select("g", "chunks", F.explode(F.array_distinct(F.array(*[F.col(f"p{s}").dropFields("h") for s in range(GUESTS)]))).alias("p")).select("g", "p.*", "chunks")
+    guests = guests.withColumn("j", F.explode(F.sequence(zero, F.col("chunks") - 1))).where("i <> j").drop("i").withColumnRenamed("j", "i")
+    first = rows.drop("chunks").unionByName(guests.drop("chunks"))
+    found = keep(check(first.select("g", "i", zero.alias("j"), *rest)), "first")
+    parts = keep(connected_components(found), "parts")
+
+    # What is still missing links a member outside its group's largest component to some other member.
+    known = cut.join(parts, cut["rep"] == parts["node"], "left").withColumn("of", F.coalesce("component", "rep")).drop("node", "component")
+    counts = known.groupBy("g", "of").agg(F.count("*").alias("n"), F.sum("load").alias("load"))
+    most = counts.groupBy("g").agg(F.max(F.struct("n", "of")).alias("m"), F.sum("load").alias("all"))
+    most = most.join(counts.select("g", F.col("of").alias("mine"), F.col("load").alias("held")), (most["g"] == counts["g"]) & (F.col("m.of") == F.col("mine"))).select(most["g"], F.col("mine").alias("top"), (F.col("all") - F.col("held")).alias("open"))
+    most = keep(most.where("open > 0").select("g", "top", F.ceil(F.col("open") / fill).cast("int").alias("sides")), "most")
+    if most.isEmpty():
+        return parts.select("node", "component")
+    known = known.join(most, "g")
+    few = known.where(F.col("of") != F.col("top"))
+    side = F.pmod(F.xxhash64("rep", F.lit(SEED)), F.col("sides")).cast("int")
+    asks = few.withColumn("j", side + 1).drop("i").withColumn("i", F.explode(F.sequence(zero, F.col("chunks") - 1)))
+    told = known.withColumn("j", F.explode(F.sequence(zero + 1, F.col("sides")))).where((F.col("of") == F.col("top")) | (F.col("j") != side + 1))
+    both = asks.unionByName(told, allowMissingColumns=True).select("g", "i", "j", *rest)
+    more = check(both.dropDuplicates(["g", "i", "j", "rep"]))
+    return connected_components(keep(more, "more").unionByName(parts.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
+
+
+def _dealt(rows: DataFrame, label_of: Callable, rows_at_once: int) -> DataFrame:
+    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "rep")
+    return map_arrow(rows, _verified(label_of), "src long, dst long", rows_at_once)
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """(rep, fp, n), one row per distinct set, to (node, component): components of fingerprints that share a block and keep the Hamming bounds."""
+    wide = reps.where("n > 0").select("rep", "fp")
+    bits, blocks = blocks_for(wide.count())
+    rows = map_arrow(wide, _blocked(bits, blocks), "g long, rep long, a long, b long", 2048).withColumn("load", F.lit(1).cast("long"))
+    return joined(rows, BUCKET, lambda r: _dealt(r.select("g", "i", "j", "rep", "a", "b"), _close, 8192))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t.as_py()) for t in batch.column("text")]
+        same = np.array([_identity(s) for s in sets], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(same), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([s.tobytes() for s in sets], type=pa.binary())], ["rep", "load", "members"])
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(same, rep, n, keys), one row per distinct set, to (src, dst): edges over rep with the components of all similar pairs."""
-    rows = reps.select("same", "rep", "n", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("count"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("same")).alias("who")).where("count > 1")
-    sizes = sizes.groupBy("count", "shingles", "who").agg(F.min("key").alias("key"))
-    full = keep(sizes.select("key", F.ceil(F.col("shingles") / FILL).cast("int").alias("chunks")), "buckets")
-    rows = keep(rows.join(full, "key").select("key", "same", "rep", "chunks"), "members")
-    ids = rows.select(F.col("rep").alias("doc_id")).distinct()
-    sets = map_arrow(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), _sets, "same long, members binary").dropDuplicates(["same"])
-    own = F.pmod(F.xxhash64("same"), F.col("chunks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    rows = rows.select("key", "same", "rep", own.alias("own"), other)
-    rows = rows.select("key", "same", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(sets, "same").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "same")
-    return map_arrow(rows.select("key", "i", "j", "rep", "members"), _verified, "src long, dst long")
+    """(same, doc_id, n, fp), one row per distinct set, to (node, component) over same: components of all pairs of sets that are similar, found among candidates and counted exactly."""
+    parts = candidates(reps.select(F.col("same").alias("rep"), "n", "fp"))
+    groups = parts.select(F.col("component").alias("g"), F.col("node").alias("rep"))
+    groups = keep(groups.unionByName(groups.select("g", F.col("g").alias("rep")).distinct()), "groups")
+    ids = reps.join(groups, reps["same"] == groups["rep"], "left_semi").select("doc_id")
+    sets = map_arrow(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), _sets, "rep long, load long, members binary")
+    sets = keep(sets.join(groups, "rep").dropDuplicates(["rep"]).select("g", "rep", "load", "members"), "sets")
+    return joined(sets, FILL, lambda r: _dealt(r.select("g", "i", "j", "rep", "members"), _alike, 256))
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id): the smallest doc_id reachable by links of similarity SIMILAR or more. Texts without words are alike; rows with a null doc_id are left out."""
-    sketches = keep(map_arrow(docs.select("doc_id", "text"), _sketches, "doc_id long, same long, n long, keys array<long>").where("doc_id is not null"), "sketches")
-    reps = sketches.groupBy("same").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r"))
-    reps = keep(reps.select("same", F.col("r.doc_id").alias("rep"), "r.n", "r.keys"), "reps")
-    parts = connected_components(links(docs, reps))
-    reps = reps.join(parts, reps["rep"] == parts["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    sketches = keep(map_arrow(docs.select("doc_id", "text"), _sketches, "doc_id long, same long, n long, fp binary").where("doc_id is not null"), "sketches")
+    reps = sketches.groupBy("same").agg(F.min(F.struct("doc_id", "n", "fp")).alias("r"))
+    reps = keep(reps.select("same", "r.doc_id", "r.n", "r.fp"), "reps")
+    parts = links(docs, reps)
+    reps = reps.join(parts, reps["same"] == parts["node"], "left").select("same", "doc_id", F.coalesce("component", "same").alias("c"))
+    least = reps.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    reps = reps.join(least, "c").select("same", "component_id")
     return sketches.select("doc_id", "same").join(reps, "same").select("doc_id", "component_id")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the smallest of their group, all columns kept; of repeated ids one row stays, and so do rows with a null doc_id."""
+    """The documents whose id is the smallest of their group, all columns kept; of repeated ids one row stays, and so do rows with a null doc_id.
+
+    An empty table gives no rows, long texts are read whole, and other columns, whatever their names, pass through.
+    """
     return leaders(docs, groups(docs))

@@ -1,5 +1,8 @@
 """The pipeline's near-duplicate stage against exact similarity of five-word shingles."""
 
+import random
+
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -52,3 +55,61 @@ def test_copies_at_the_bound(spark, fill, monkeypatch):
     docs = spark.createDataFrame([*texts, (9, "a b")], "doc_id long, text string")
     kept = sorted((r.doc_id or 0) for r in near_copies.one_of_each_group(docs).collect())
     assert kept == [0, 1, 3, 4, 9]
+
+
+def _copies(seed=4, texts=6, copies=25):
+    """Groups of near copies: each a base text with some words changed, on both sides of the bound, and chains of them."""
+    rng, out = random.Random(seed), []
+    for t in range(texts):
+        words = [f"t{t}w{k}" for k in range(rng.choice((12, 60, 150)))]
+        for c in range(copies):
+            mine = list(words if rng.random() < 0.7 or not out else out[-1].split())
+            for _ in range(rng.randint(0, max(1, len(mine) // 40))):
+                mine[rng.randrange(len(mine))] = f"c{t}x{c}x{rng.randrange(9)}"
+            out.append(" ".join(mine))
+    return [*out, *out[:10], "", " ", "one", "one two"]
+
+
+@pytest.mark.parametrize(("bucket", "fill"), [(1024, 1 << 21), (8, 400), (3, 90)])
+def test_chunks_lose_no_link(spark, monkeypatch, bucket, fill):
+    monkeypatch.setattr(near_copies, "BUCKET", bucket)
+    monkeypatch.setattr(near_copies, "FILL", fill)
+    docs = spark.createDataFrame(list(enumerate(_copies())), "doc_id long, text string")
+    kept = [r.doc_id for r in near_copies.one_of_each_group(docs).collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == _leaders(docs.collect())
+
+
+def test_links_outside_the_largest_component_are_found(spark):
+    """Chunks and guests see few links here: pairs of one group whose members lie in different chunks."""
+    rng = random.Random(1)
+    pairs = [(int(a), int(b)) for a, b in (rng.sample(range(200), 2) for _ in range(150))]
+
+    def check(rows):
+        seen = {}
+        for r in rows.collect():
+            seen.setdefault((r.g, r.i, r.j), set()).add(r.rep)
+        found = {(a, b) for members in seen.values() for a, b in pairs if a in members and b in members}
+        return spark.createDataFrame(sorted(found), "src long, dst long")
+
+    members = spark.range(200).selectExpr("0L AS g", "id AS rep", "1L AS load")
+    got = {r.node: r.component for r in near_copies.joined(members, 20, check).collect()}
+    p, q = (np.array(x) for x in zip(*pairs, strict=True))
+    want = near_copies._rooted(200, p, q)
+    assert got == {k: int(v) for k, v in enumerate(want) if v != k}
+
+
+def test_number_of_blocks():
+    assert near_copies.blocks_for(10) == near_copies.blocks_for(1000)
+    bits, blocks = near_copies.blocks_for(10_000_000)
+    assert bits == 14 and blocks < 200 and near_copies.places(bits, blocks).shape == (blocks, bits)
+    assert all(len(set(block)) == bits for block in near_copies.places(bits, blocks).tolist())
+
+
+def test_odd_tables(spark):
+    schema = "doc_id long, text string, same long, component_id string"
+    assert near_copies.one_of_each_group(spark.createDataFrame([], schema)).count() == 0
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(1, None, 1, "a"), (2, "", 2, "b"), (None, "x", 3, "c"), (None, "x", 4, "d"), (5, long, 5, "e"), (4, long + " end", 6, "f"), (7, "a b c d e f", 7, "g"), (7, "quite another text than that", 8, "h"), (9, "quite another text than that", 9, "i")]
+    out = near_copies.one_of_each_group(spark.createDataFrame(rows, schema))
+    assert out.columns == ["doc_id", "text", "same", "component_id"]
+    assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 0, 1, 4, 7]
