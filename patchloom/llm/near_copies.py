@@ -35,7 +35,7 @@ SHINGLE, SIMILAR, SEED = 5, (4, 5), 7
 BITS, FIRST, BOTH = 256, 22, 36
 RECALL, CROWD, BLOCKS_AT_MOST = 0.999, 512, 1024
 #: Members of a chunk of a block, shingles in a chunk of a component, and guests in each chunk.
-BUCKET, FILL, GUESTS = 1024, 1 << 21, 8
+BUCKET, FILL, GUESTS = 1024, 1 << 18, 8
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(0, 1 << 63, (1, BITS // 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SECOND = np.uint64(0x9E3779B97F4A7C15)

@@ -70,7 +70,7 @@ def _copies(seed=4, texts=6, copies=25):
     return [*out, *out[:10], "", " ", "one", "one two"]
 
 
-@pytest.mark.parametrize(("bucket", "fill"), [(1024, 1 << 21), (8, 400), (3, 90)])
+@pytest.mark.parametrize(("bucket", "fill"), [(1024, 1 << 18), (8, 400), (3, 90)])
 def test_chunks_lose_no_link(spark, monkeypatch, bucket, fill):
     monkeypatch.setattr(near_copies, "BUCKET", bucket)
     monkeypatch.setattr(near_copies, "FILL", fill)
