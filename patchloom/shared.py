@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset (tests, one machine), a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one on one machine, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="patchloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -25,6 +27,18 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file through Spark's own file systems."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        for k in range(0, len(data), 1 << 22):
+            out.write(bytearray(data[k : k + (1 << 22)]))
+    finally:
+        out.close()
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/patchloom/{label}-{uuid.uuid4().hex}"
