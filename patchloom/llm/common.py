@@ -9,13 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from patchloom.shared import keep, new_path, remove, shared_dir
+from patchloom.shared import keep, new_path, remove, shared_dir, write_bytes
 from patchloom.shipping import ship
 
-__all__ = ["ARROW_ROWS", "keep", "load", "map_arrow", "new_path", "remove", "shared_dir", "ship", "star_edges", "whole_groups"]
+__all__ = ["ARROW_ROWS", "keep", "load", "map_arrow", "new_path", "remove", "shared_dir", "ship", "star_edges", "whole_groups", "write_bytes"]
 
-#: Rows in an Arrow batch. Texts can be long, so the default of 10,000 would need much memory in a Python worker.
-ARROW_ROWS = 512
+#: Rows and bytes that a function gets at once. Texts can be long, and what Python makes of them needs more memory than their Arrow batch.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``rows`` rows."""
+    """``mapInArrow`` over slices of at most ``rows`` rows and about ARROW_BYTES; the session's own settings stay as they are."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(itertools.chain.from_iterable(map(sliced, batches)))
+
+    def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        each = max(1, min(rows, int(batch.num_rows * ARROW_BYTES / max(1, batch.nbytes))))
+        for at in range(0, max(1, batch.num_rows), each):
+            yield batch.slice(at, each)
+
+    return df.mapInArrow(run, schema)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:

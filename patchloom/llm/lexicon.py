@@ -9,10 +9,10 @@ batch at once, one byte a step. Words that it does not accept are merged by the
 from __future__ import annotations
 
 import hashlib
+import heapq
+import itertools
 import json
 import mmap
-import os
-import tempfile
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -23,12 +23,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm.common import keep, load, map_arrow
+from patchloom.llm.common import keep, load, map_arrow, new_path, write_bytes
 from patchloom.llm.tokens import MEMO, PieceEncoder, encoder, public_path
 
 #: Words in the automaton, and distinct words a task counts before it passes its counts on.
 WORDS, COUNTED = 100_000, 200_000
-_ARRAYS = (("ptr", "<u4"), ("label", "u1"), ("target", "<u4"), ("out", "<u4"), ("final", "u1"), ("id_ptr", "<u4"), ("ids", "<u4"))
+#: Symbols from which a word is merged with a heap.
+LONG = 48
+#: arcs: state * 256 + byte, ascending; ptr: where each state's arcs begin.
+_ARRAYS = (("ptr", "<u4"), ("arcs", "<i8"), ("target", "<u4"), ("out", "<u4"), ("final", "u1"), ("id_ptr", "<u4"), ("ids", "<u4"))
 
 
 class Merges:
@@ -47,6 +50,8 @@ class Merges:
         if not parts:
             return ()
         parts[-1] += self.end
+        if len(parts) > LONG:
+            return self._merged_by_heap(parts)
         rank, none = self.ranks.get, len(self.ranks)
         ranks = [rank(pair, none) for pair in zip(parts, parts[1:], strict=False)]
         while ranks and (least := min(ranks)) < none:
@@ -61,6 +66,29 @@ class Merges:
         return tuple([vocab[p] for p in parts if p in vocab])
 
 
+    def _merged_by_heap(self, parts: list[str]) -> tuple[int, ...]:
+        """The same for a long word, in time n log n: a heap of ranked places over a linked list of parts."""
+        rank, n = self.ranks.get, len(parts)
+        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\1") * n
+        heap = [(r, k) for k, pair in enumerate(itertools.pairwise(parts)) if (r := rank(pair)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            if not alive[k] or (nxt := after[k]) >= n or rank((parts[k], parts[nxt])) != r:
+                continue  # one of the two is merged already
+            parts[k] += parts[nxt]
+            alive[nxt] = 0
+            after[k] = far = after[nxt]
+            if far < n:
+                before[far] = k
+                if (r := rank((parts[k], parts[far]))) is not None:
+                    heapq.heappush(heap, (r, k))
+            if (low := before[k]) >= 0 and (r := rank((parts[low], parts[k]))) is not None:
+                heapq.heappush(heap, (r, low))
+        vocab = self.vocab
+        return tuple([vocab[p] for k, p in enumerate(parts) if alive[k] and p in vocab])
+
+
 def compile_words(words: dict[bytes, tuple[int, ...]]) -> bytes:
     """The minimal automaton of the words, with their ids, as one byte string.
 
@@ -94,19 +122,19 @@ def compile_words(words: dict[bytes, tuple[int, ...]]) -> bytes:
     root = settle(path[0])
 
     accepts = np.zeros(len(shapes), dtype=np.int64)  # targets always come before their states
-    ptr, label, target, out = [0], [], [], []
+    ptr, labelled, target, out = [0], [], [], []
     for k, (final, arcs) in enumerate(shapes):
         n = int(final)
         for byte, to in arcs:
-            label.append(byte)
+            labelled.append(k << 8 | byte)
             target.append(to)
             out.append(n)
             n += int(accepts[to])
         accepts[k] = n
-        ptr.append(len(label))
+        ptr.append(len(labelled))
     id_ptr = np.cumsum([0, *[len(words[w]) for w in ordered]])
     ids = [i for w in ordered for i in words[w]]
-    data = {"ptr": ptr, "label": label, "target": target, "out": out, "final": [f for f, _ in shapes], "id_ptr": id_ptr, "ids": ids}
+    data = {"ptr": ptr, "arcs": labelled, "target": target, "out": out, "final": [f for f, _ in shapes], "id_ptr": id_ptr, "ids": ids}
     raw = {n: np.asarray(data[n], dtype=t).tobytes() for n, t in _ARRAYS}
     head = json.dumps({"root": root, "sizes": {n: len(raw[n]) for n, _ in _ARRAYS}}).encode()
     body = b"".join(raw[n] + bytes(-len(raw[n]) % 8) for n, _ in _ARRAYS)
@@ -126,8 +154,11 @@ class Transducer:
             setattr(self, name, np.frombuffer(buffer, dtype=kind, count=size // np.dtype(kind).itemsize, offset=at))
             at += size + -size % 8
         self.root = head["root"]
-        states = np.repeat(np.arange(len(self.ptr) - 1, dtype=np.int64), np.diff(self.ptr.astype(np.int64)))
-        self.arcs = states << 8 | self.label  # ascending: arcs of a state are in order of their bytes
+
+    @property
+    def label(self) -> np.ndarray:
+        """The byte of each arc."""
+        return self.arcs & 255
 
     @classmethod
     def mapped(cls, path: str) -> Transducer:
@@ -187,7 +218,9 @@ class LexiconEncoder(PieceEncoder):
                     new.append(p)
         raw = [p.encode("utf-8") for p in new]
         for p, rank in zip(new, self.transducer.ranks(raw).tolist(), strict=True):
-            if rank >= 0:
+            if p in self.specials:
+                ids = (self.specials[p],)
+            elif rank >= 0:
                 ids = self.transducer.ids_of(rank)
                 self.looked_up += 1
             else:
@@ -202,36 +235,17 @@ class LexiconEncoder(PieceEncoder):
     def encode_decode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """(ids, decoded text) of each text; words of all texts are looked up together."""
         cuts = [self.cut(t) if t else [] for t in texts]
-        self.learn({p for c in cuts if c for p in c})
+        self.learn({p for c in cuts for p in c})
         known = self.words
         out = []
-        for text, pieces in zip(texts, cuts, strict=True):
-            if pieces is None:
-                ids = self._beyond(text)
-                out.append((array("I", ids).tobytes(), self.decode(ids)))
-            else:
-                found = [known[p] for p in pieces]
-                out.append((b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])))
+        for pieces in cuts:
+            found = [known[p] for p in pieces]
+            out.append((b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])))
         return out
 
-    def _beyond(self, text: str) -> list[int]:
-        """Ids of a text with special tokens or characters outside the plain range: special tokens are cut out first, the library normalises and splits the rest."""
-        ids: list[int] = []
-        at = 0
-        for m in [*(self.special.finditer(text) if self.special else ()), None]:
-            part = text[at : m.start() if m else len(text)]
-            if part:
-                plain = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
-                for symbols, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain):
-                    ids += self.merges.encode(symbols)
-            if m:
-                ids.append(self.specials[m[0]])
-                at = m.end()
-        return ids
-
 
 def word_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(word, count) over all plain texts; a task adds up its own words before anything is shuffled."""
+    """(word, count) over all texts; a task adds up its own words before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, counts = encoder(path), Counter()
@@ -242,7 +256,7 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for t in batch.column("text"):
                 if text := t.as_py():
-                    counts.update(enc.cut(text) or ())
+                    counts.update(enc.cut(text))
             if len(counts) > COUNTED:
                 yield flush()
                 counts.clear()
@@ -253,30 +267,40 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
 
 
 def frequent(counts: DataFrame, words: int = WORDS) -> list[str]:
-    """The most frequent words, at most so many: (word, count) is cut at a step of a fixed scale of counts, so no more than that reaches the driver."""
+    """The most frequent words, at most so many, ties in order of a hash of the word.
+
+    (word, count) is cut at a step of a fixed scale of counts; of the step that no longer fits as a whole, only the rows with the
+    least hashes are ordered, so little more than ``words`` rows move, however many tie.
+    """
     step = F.floor(F.log2("count") * 16).cast("int").alias("step")
-    kept = keep(counts.where((F.col("count") > 1) & (F.length("word") <= 64)).select("word", step), "words")
-    room, least = words, None
+    kept = keep(counts.where((F.col("count") > 1) & (F.length("word") <= 64)).select("word", "count", step), "words")
+    room, least, over = words, None, None
     for row in kept.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 16 steps for each doubling
         if row["count"] > room:
+            over = row
             break
         room, least = room - row["count"], row["step"]
-    return [] if least is None else [r["word"] for r in kept.where(F.col("step") >= least).select("word").toLocalIterator()]
+    found = [] if least is None else [r["word"] for r in kept.where(F.col("step") >= least).select("word").toLocalIterator()]
+    if over and room:
+        range_, hashed = 1 << 40, F.xxhash64("word")
+        part = kept.where(F.col("step") == over["step"])
+        share = min(1.0, 1.2 * room / over["count"] + 1000 / over["count"])
+        part = part.where(F.pmod(hashed, F.lit(range_)) <= int(share * range_))
+        found += [r["word"] for r in part.orderBy(F.pmod(hashed, F.lit(range_)), "word").select("word").limit(room).collect()]
+    return found
 
 
 def build(docs: DataFrame, path: str, words: int = WORDS) -> bytes:
     """The compiled automaton of the most frequent words of all documents."""
-    merges, shown = Merges(path), encoder(path).shown_bytes
-    return compile_words({w.encode("utf-8"): merges.encode(shown(w)) for w in frequent(word_counts(docs, path), words)})
+    merges, enc = Merges(path), encoder(path)
+    return compile_words({w.encode("utf-8"): merges.encode(enc.shown_bytes(w)) for w in frequent(word_counts(docs, path), words) if w not in enc.specials})
 
 
 def distribute(spark: SparkSession, compiled: bytes) -> str:
-    """Hand the file to Spark, which brings it to every machine, later ones too; returns its name there."""
+    """Hand the file to Spark by way of the shared folder; it brings it to every machine, later ones too. Returns its name there."""
     name = f"lexicon-{hashlib.sha256(compiled).hexdigest()[:24]}.bin"
-    at = os.path.join(os.path.realpath(tempfile.gettempdir()), name)
-    with open(f"{at}.{os.getpid()}", "wb") as f:
-        f.write(compiled)
-    os.replace(f.name, at)
+    at = f"{new_path(spark, 'lexicon')}/{name}"
+    write_bytes(spark, at, compiled)
     spark.sparkContext.addFile(at)
     return name
 

@@ -2,7 +2,8 @@
 
 Both tokenizer kinds cut a text into pieces by a pattern and encode each piece on its own, so ids are kept per distinct piece. Texts whose
 characters all lie below U+0300 are cut by a pattern here (they are in NFC already, and lower case is one character to one); any other text
-and any special token go through the tokenizers library itself.
+is normalised and cut by the tokenizers library itself, which is slower. The pieces of both are the same and go the same way. Special
+tokens are pieces of their own.
 """
 
 from __future__ import annotations
@@ -82,14 +83,22 @@ class PieceEncoder:
         self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.symbols = byte_symbols()
         self.shown = {b: c for b, c in enumerate(self.symbols) if chr(b) != c}
+        self.byte_of = {ord(c): b for b, c in enumerate(self.symbols)}
         self.memo = Memo(self.encode_bytes, memo)
+        self.raw = Memo(self.raw_piece, memo // 4)
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece."""
+        if piece in self.specials:
+            return (self.specials[piece],)
         return tuple([t.id for t in self.tokenizer.model.tokenize(self.shown_bytes(piece))])
 
     def encode_bytes(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(self.shown_bytes(piece))]).tobytes()
+        return array("I", self.encode_piece(piece)).tobytes()
+
+    def raw_piece(self, symbols: str) -> str:
+        """The piece whose bytes some byte symbols stand for."""
+        return symbols.translate(self.byte_of).encode("latin-1").decode("utf-8")
 
     def shown_bytes(self, piece: str) -> str:
         """The bytes of a piece as byte symbols."""
@@ -97,20 +106,26 @@ class PieceEncoder:
             return piece.replace(" ", self.symbols[32])
         return piece.encode("utf-8").decode("latin-1").translate(self.shown)
 
-    def cut(self, text: str) -> list[str] | None:
-        """The pieces of a text, or None if only the library can tell."""
-        if self.beyond.search(text) or self.special and self.special.search(text):
-            return None
-        return self.pieces.findall(text.lower() if self.word_ends else text)
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text, in order; special tokens are pieces that stand for themselves."""
+        if not (self.special and self.special.search(text)):
+            return self._cut(text)
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += self._cut(text[at : m.start()])
+            out.append(m[0])
+            at = m.end()
+        return out + self._cut(text[at:])
+
+    def _cut(self, text: str) -> list[str]:
+        if not self.beyond.search(text):
+            return self.pieces.findall(text.lower() if self.word_ends else text)
+        normal, raw = self.tokenizer.normalizer, self.raw
+        return [raw[symbols] for symbols, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal.normalize_str(text) if normal else text)]
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; a null text is an empty one."""
-        if not text:
-            return b""
-        pieces = self.cut(text)
-        if pieces is None:
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.memo.__getitem__, pieces))
+        return b"".join(map(self.memo.__getitem__, self.cut(text))) if text else b""
 
 
 _ENCODERS: dict[tuple[str, int], PieceEncoder] = {}

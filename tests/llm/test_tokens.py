@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -196,3 +198,55 @@ def test_running_total(spark):
 def test_vocabulary_files_are_outside_the_repository():
     assert json.load(open(public_path(FILES[0]), encoding="utf-8"))["model"]["type"] == "BPE"
     assert "/patchloom/" not in public_path(FILES[0])
+
+
+BEYOND = ["he said “hello world” — twice", "Привет, мир! Привет всем", "你好，世界 你好", "naïve café étude", "emoji 🙂🙂 ok", "mixed “Quote” and <|endoftext|> and мир", "ﬁne ligature İstanbul ſ", "　wide blank line", "àb́c"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_of_all_texts(name):
+    """Texts with any character go by the same pieces, and their ids are the library's."""
+    enc = PieceEncoder(public_path(name))
+    rng = random.Random(6)
+    texts = BEYOND + ["".join(rng.choice(["a", "мир ", " ", "“", "é", "é", "中", "9", "\n", "<|endoftext|>", "'s", "🙂", "‍"]) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    for t in texts:
+        assert np.frombuffer(enc.encode(t), dtype="<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_words_of_all_texts_are_counted_and_looked_up(spark):
+    path = public_path("word_bpe_49k.json")
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(BEYOND * 2)], "doc_id long, text string")
+    counted = {r["word"]: r["count"] for r in lexicon.word_counts(frame, path).collect()}
+    assert counted["привет"] == 4 and counted["你好"] == 4 and counted["hello"] == 2 and counted["“"] == 4
+    enc = lexicon.LexiconEncoder(path, lexicon.Transducer(lexicon.build(frame, path)))
+    found = enc.encode_decode(BEYOND)
+    assert enc.looked_up > 30 and not enc.merged
+    for t, (ids, text) in zip(BEYOND, found, strict=True):
+        want = enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, dtype="<u4").tolist() == want
+        assert text == enc.tokenizer.decode(want, skip_special_tokens=False)
+
+
+def test_ties_do_not_empty_the_lexicon(spark):
+    rows = [(f"w{k}", 2) for k in range(50)] + [("often", 9)]
+    counts = spark.createDataFrame(rows, "word string, count long")
+    found = lexicon.frequent(counts, 20)
+    assert len(found) == len(set(found)) == 20 and "often" in found
+    assert found == lexicon.frequent(counts.orderBy("word", ascending=False), 20)
+
+
+def test_merges_of_long_words_are_exact_and_fast():
+    merges, enc = lexicon.Merges(public_path("byte_bpe_50k.json")), PieceEncoder(public_path("byte_bpe_50k.json"))
+    rng = random.Random(2)
+    for n in (49, 60, 200, 3000):
+        for letters in ("ab", "aeinrst", "abcdefghijklmnopqrstuvwxyz"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            assert list(merges.encode(word)) == enc.tokenizer.encode(word, add_special_tokens=False).ids
+    began = time.perf_counter()
+    merges.encode("".join(rng.choice("etaoinshr") for _ in range(300_000)))
+    assert time.perf_counter() - began < 15
+
+
+def test_empty_table_of_documents(spark):
+    frame = spark.createDataFrame([], "doc_id long, text string, n_tokens string")
+    assert lexicon.encode_documents(frame).count() == 0
