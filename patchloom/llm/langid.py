@@ -1,9 +1,11 @@
 """Operator 7, language identification: averaged hashed subword embeddings under a linear softmax, trained by SGD in numpy.
 
 A text becomes lower-case letters with a blank for every run of other characters; its subwords are all runs of two to four characters,
-hashed into ``BUCKETS`` rows of an embedding table. The mean of the rows goes through a linear layer. As this is linear, a trained model is
-one table of ``BUCKETS`` x languages, which is all that the executors get. Scores are softmax probabilities at a temperature fitted on
-rows that training didn't see; the rejection bound is calibrated on the same rows.
+hashed into ``BUCKETS`` rows of an embedding table. The mean of the rows goes through a linear layer. With few languages the two are
+multiplied out; with many, executors get them as they are, so a model's size hardly grows with the languages. Scores are softmax probabilities
+at a temperature fitted on rows that training didn't see. The rejection bound is calibrated on the same rows and on texts in no
+language (random words of the letters seen): it is what all but ``FOREIGN`` of those stay under, but lower if it cost more than ``REJECT_SHARE`` of the
+rows that are rightly recognised.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from patchloom.llm.common import load, map_arrow
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
 #: The sample for training: about so many rows of each language, chosen by a hash of the id, each whole and of at most SAMPLE_CHARS characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 800, 20_000
-#: Languages learned at most, the most frequent ones, and rows of the sample in all, so that it fits the driver whatever the table.
-LANGUAGES, SAMPLE_TOTAL = 200, 8_000
+#: Rows of the sample in all, so that it fits the driver whatever the table; with many languages, each still has EACH_AT_LEAST.
+SAMPLE_TOTAL, EACH_AT_LEAST = 8_000, 40
+#: More labels than there are languages in the world are no languages: an error, as none is left out silently.
+LANGUAGES = 10_000
 EPOCHS, RATE, SEED = 6, 0.5, 7
-#: At most this share of the rightly recognised calibration rows may fall under the rejection bound.
-REJECT_SHARE = 0.001
+#: The shares of rightly recognised rows that may fall under the rejection bound, and of texts in no language that may reach it.
+REJECT_SHARE, FOREIGN = 0.001, 0.01
 UNDECIDED = "und"
 
 
@@ -60,11 +64,12 @@ def subwords(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """The trained table: logits of a text are the mean of its subwords' rows plus a bias."""
+    """Logits of a text: the mean of its subwords' rows of ``table``, times ``out`` where the table is not multiplied out, plus a bias."""
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
+    out: np.ndarray | None = None
     temperature: float = 1.0
     least: float = 0.0
     accuracy: float = field(default=float("nan"))
@@ -75,7 +80,10 @@ class LanguageModel:
             return None
         counts = np.bincount(ids, minlength=len(self.table))
         at = np.flatnonzero(counts)
-        return counts[at] @ self.table[at] / len(ids) + self.bias
+        return self.of_mean(counts[at] @ self.table[at] / len(ids))
+
+    def of_mean(self, mean: np.ndarray) -> np.ndarray:
+        return (mean if self.out is None else mean @ self.out) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, accepted); UNDECIDED, 0 and False for a text without a letter."""
@@ -121,19 +129,27 @@ def train(texts: list[str], langs: list[str]) -> LanguageModel:
             bias -= rate * g
             # A subword's share is tiny, so its row moves by the share times the number of distinct subwords.
             emb[at] -= rate * np.minimum(share * len(at), 4.0)[:, None] * back
-    model = LanguageModel(languages, (emb @ out).astype(np.float32), bias.astype(np.float64))
+    few = len(languages) <= DIM
+    model = LanguageModel(languages, (emb @ out).astype(np.float32) if few else emb, bias.astype(np.float64), None if few else out)
     held = [d for d in data if d[3]] or data
-    z = np.array([share @ model.table[at] + bias for at, share, _, _ in held], dtype=np.float64)
+    z = np.array([model.of_mean(share @ model.table[at]) for at, share, _, _ in held], dtype=np.float64)
     want = np.array([d[2] for d in held])
     if len(z):
-        _calibrate(model, z, want)
+        _calibrate(model, z, want, np.array([model.logits(t) for t in _foreign(texts)], dtype=np.float64))
     return model
 
 
-def _calibrate(model: LanguageModel, z: np.ndarray, want: np.ndarray) -> None:
-    """The temperature of least log loss, and the largest bound that keeps all but REJECT_SHARE of the rightly recognised rows."""
+def _foreign(texts: list[str], n: int = 500) -> list[str]:
+    """Texts in no language: words of letters drawn evenly from all that are seen."""
+    rng = np.random.default_rng(SEED)
+    letters = np.array(sorted({c for t in texts for c in t.lower() if c.isalpha()}))
+    return [" ".join("".join(rng.choice(letters, rng.integers(2, 10))) for _ in range(rng.integers(3, 60))) for _ in range(n)]
+
+
+def _calibrate(model: LanguageModel, z: np.ndarray, want: np.ndarray, foreign: np.ndarray) -> None:
+    """The temperature of least log loss, and the rejection bound."""
 
-    def probabilities(t: float) -> np.ndarray:
+    def probabilities(t: float, z: np.ndarray = z) -> np.ndarray:
         e = np.exp((z - z.max(axis=1, keepdims=True)) / t)
         return e / e.sum(axis=1, keepdims=True)
 
@@ -143,9 +159,8 @@ def _calibrate(model: LanguageModel, z: np.ndarray, want: np.ndarray) -> None:
     right = p.argmax(axis=1) == want
     model.accuracy = float(right.mean())
     if right.any():
-        low = np.sort(p.max(axis=1)[right])
-        # Never over one half: from there on one language outweighs all others, and a clean text needs no more to be kept.
-        model.least = float(min(low[int(REJECT_SHARE * len(low))], 0.5))
+        low, high = np.sort(p.max(axis=1)[right]), np.sort(probabilities(model.temperature, foreign).max(axis=1))
+        model.least = float(min(low[int(REJECT_SHARE * len(low))], high[int((1 - FOREIGN) * len(high))]))
 
 
 def held_out() -> F.Column:
@@ -154,15 +169,24 @@ def held_out() -> F.Column:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Train on a bounded sample of labelled rows that aren't held out: about ``rows`` of each language, chosen by a hash of the id, and SAMPLE_TOTAL in all."""
+    """Train on a bounded sample of labelled rows that aren't held out: about ``rows`` of each language, chosen by a hash of the id, and SAMPLE_TOTAL in all.
+
+    Each language keeps EACH_AT_LEAST rows (all, if it has fewer); more than LANGUAGES labels raise an error. Rows with a null id, text or
+    language teach nothing; repeated rows count as often as they are sampled, up to the bound; an empty table gives a model that decides nothing.
+    """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(F.length("text") <= SAMPLE_CHARS)
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
     if not sizes:
         return train([], [])
-    each = min(rows, SAMPLE_TOTAL // len(sizes))
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
+    each = min(rows, max(EACH_AT_LEAST, SAMPLE_TOTAL // len(sizes)))
     range_ = 1 << 40
     below = F.try_element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, each / r["count"]) * range_))]), F.col("lang"))
-    found = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(range_)) < below).select("doc_id", "lang", "text").toPandas().sort_values("doc_id", kind="stable")
+    hashed = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(range_))
+    picked = usable.where(hashed < below).select("doc_id", "lang", "text", hashed.alias("h"))
+    # Ids that repeat are in or out together, so the number of rows is bounded once more.
+    found = picked.orderBy("h", "doc_id", "lang", "text").limit(2 * each * len(sizes)).toPandas().sort_values(["doc_id", "lang", "text"], kind="stable")
     return train(found["text"].tolist(), found["lang"].tolist())
 
 
@@ -187,7 +211,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The documents whose language the model accepts, all columns kept."""
+    """The documents whose language the model accepts, all columns kept, whatever their names.
+
+    Null, empty and letterless texts go; repeated rows and rows with a null doc_id are judged each for itself; an empty table gives no rows.
+    """
     columns = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -27,8 +27,8 @@ from patchloom.llm.cutting_stock import round_patterns, solve
 from patchloom.llm.tokens import encoder, public_path
 
 LENGTH, END, UNIT = 4096, 2, 16
-#: One tail in so many may be cut to fill sequences, and in tables of under FEW_DOCS rows, one in FEW_POOL.
-POOL, FEW_DOCS, FEW_POOL = 16, 20_000, 4
+#: One tail in so many may be cut to fill sequences.
+POOL = 4
 #: Words that a worker keeps in each of two generations.
 WORDS_KEPT = 120_000
 #: Rows that one task adds up in a running total.
@@ -142,8 +142,7 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     table gives no rows.
     """
     spark = docs.sparkSession
-    pool = FEW_POOL if docs.count() < FEW_DOCS else POOL
-    rows = keep(cut(docs, path or public_path("word_bpe_49k.json"), pool), "cut")
+    rows = keep(cut(docs, path or public_path("word_bpe_49k.json"), POOL), "cut")
 
     tails = rows.where("tail > 0")
     lengths = tails.groupBy("pool", "tail").count().collect()  # at most two for each length
