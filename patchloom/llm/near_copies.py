@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.llm import sign_blocks
 from patchloom.llm.common import keep, map_arrow, whole_groups
 from patchloom.llm.components import connected_components
+from patchloom.llm.sign_blocks import BITS
 from patchloom.llm.simhash import leaders, shingles
 
 #: SIMILAR is a fraction, so that the test is exact in whole numbers.
 SHINGLE, SIMILAR, SEED = 5, (4, 5), 7
-#: Bits of a fingerprint, and bounds on differing bits in its first 64 and its first 128.
-BITS, FIRST, BOTH = 256, 22, 36
-RECALL, CROWD, BLOCKS_AT_MOST = 0.999, 512, 1024
+#: Bounds on differing bits in the first 64 and the first 128 of a fingerprint.
+FIRST, BOTH = 22, 36
+RECALL, CROWD, BLOCKS_AT_MOST = 0.999, 512, 192
 #: Members of a chunk of a block, shingles in a chunk of a component, and guests in each chunk.
 BUCKET, FILL, GUESTS = 1024, 1 << 18, 8
 _RNG = np.random.default_rng(SEED)
@@ -62,29 +63,9 @@ def wide_fingerprint(members: np.ndarray) -> np.ndarray:
     return (2 * sums + len(members) > 0).astype(np.uint8)  # the mean weight is -1/2
 
 
-@cache
 def blocks_for(n: int) -> tuple[int, int]:
-    """(bits of a block, blocks) for n distinct sets: blocks hold about CROWD of them, and a pair at the bound shares one with probability RECALL."""
-    differ = math.acos(2 * SIMILAR[0] / sum(SIMILAR)) / math.pi  # sets of equal sizes are the farthest at one similarity
-    d = np.arange(BITS + 1)
-    weight = np.array([math.comb(BITS, k) * differ**k * (1 - differ) ** (BITS - k) for k in d.tolist()])
-    bits = max(4, round(math.log2(max(1, n / CROWD))))
-    while True:
-        share = np.array([math.comb(BITS - k, bits) / math.comb(BITS, bits) for k in d.tolist()])
-        blocks = 1
-        while float(weight @ (1 - share) ** blocks) > 1 - RECALL and blocks <= BLOCKS_AT_MOST:
-            blocks += 1
-        if blocks <= BLOCKS_AT_MOST or bits == 4:
-            return bits, blocks
-        bits -= 1
-
-
-@cache
-def places(bits: int, blocks: int) -> np.ndarray:
-    """The places of each block's bits: (blocks, bits). Each split of the shuffled bits gives as many disjoint blocks as fit."""
-    rng, each = np.random.default_rng([SEED, bits]), BITS // bits
-    splits = [rng.permutation(BITS)[: each * bits].reshape(each, bits) for _ in range(-(-blocks // each))]
-    return np.concatenate(splits)[:blocks]
+    """(bits of a block, blocks) for n distinct sets; of all pairs at one similarity, sets of equal sizes are the farthest."""
+    return sign_blocks.blocks_for(n, math.acos(2 * SIMILAR[0] / sum(SIMILAR)) / math.pi, CROWD, RECALL, BLOCKS_AT_MOST)
 
 
 def _identity(members: np.ndarray) -> int:
@@ -103,15 +84,12 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocked(bits: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, power = places(bits, blocks), 1 << np.arange(bits, dtype=np.int64)
-        first = np.arange(blocks, dtype=np.int64) << bits
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
-            ones = np.unpackbits(raw, axis=1)
             words = np.ascontiguousarray(raw[:, :16]).view(np.int64)
-            groups = ones[:, at.ravel()].reshape(-1, blocks, bits).astype(np.int64) @ power + first
+            groups = sign_blocks.groups(raw, bits, blocks)
             each = lambda x: pa.array(np.repeat(x, blocks))
             yield pa.RecordBatch.from_arrays([pa.array(groups.ravel()), each(batch.column("rep").to_numpy()), each(words[:, 0]), each(words[:, 1])], ["g", "rep", "a", "b"])
 

@@ -169,3 +169,38 @@ def test_topk_of_few_and_huge(spark):
     assert [(r["rank"], r.vec_id, r.score) for r in topk.nearest(few).orderBy("rank").collect()] == [(1, 1, 8192), (2, 3, 8192)]
     with pytest.raises(ValueError, match="not exact"):
         topk.nearest(spark.createDataFrame([(0, [1e12])], "vec_id long, embedding array<double>"))
+
+
+def test_sketches_keep_pairs_at_the_bound():
+    """Two vectors at the bound keep the sketch filter's bound, and most random pairs don't."""
+    rng = np.random.default_rng(4)
+    planes, most = embedding_dedup.hyperplanes(32), embedding_dedup.differ_at_most(0.95)
+    a = rng.standard_normal((4000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((4000, 32))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    apart = ((a @ planes > 0) != (b @ planes > 0)).sum(axis=1)
+    assert (apart <= most).mean() >= 0.999
+    assert (((a @ planes > 0) != (b[::-1] @ planes > 0)).sum(axis=1) <= most).mean() < 0.01
+
+
+def test_embeddings_with_repeated_and_null_ids(spark):
+    e = [[1.0, 0.0, 0.1], [1.0, 0.01, 0.1], [0.0, 1.0, 0.0], [0.0, 1.0, 0.0]]
+    rows = [(5, e[0], "x"), (5, e[1], "y"), (7, e[2], "z"), (None, e[3], "n"), (None, e[0], "n"), (9, None, "q"), (10, [0.0, 0.0, 0.0], "q"), (11, [float("nan"), 1.0, 0.0], "q")]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, kept string"))
+    found = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id) for r in got.collect())
+    assert [f for f in found if f[0] >= 7] == [(7, 1, 7), (9, 0, 9), (10, 0, 10), (11, 0, 11)]
+    assert [f[:2] for f in found if f[0] == 5] == [(5, 2), (5, 2)] and all(f[2] == 5 for f in found if f[0] == 5)
+
+
+@pytest.mark.parametrize("bucket", [512, 6])
+def test_embedding_chunks_count_each_link_once(spark, monkeypatch, bucket):
+    monkeypatch.setattr(embedding_dedup, "BUCKET", bucket)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((6, 16))
+    x = np.concatenate([b + 0.12 * rng.standard_normal((20, 16)) for b in base])
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((y @ y.T) >= 0.95).sum(axis=1) - 1
+    assert want.sum() > 200 and {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from patchloom.llm import near_copies
+from patchloom.llm import near_copies, sign_blocks
 
 DATA = "/root/testdata/sf0.01"
 
@@ -101,8 +101,8 @@ def test_links_outside_the_largest_component_are_found(spark):
 def test_number_of_blocks():
     assert near_copies.blocks_for(10) == near_copies.blocks_for(1000)
     bits, blocks = near_copies.blocks_for(10_000_000)
-    assert bits == 14 and blocks < 200 and near_copies.places(bits, blocks).shape == (blocks, bits)
-    assert all(len(set(block)) == bits for block in near_copies.places(bits, blocks).tolist())
+    assert bits == 14 and blocks < 200 and sign_blocks.places(bits, blocks).shape == (blocks, bits)
+    assert all(len(set(block)) == bits for block in sign_blocks.places(bits, blocks).tolist())
 
 
 def test_odd_tables(spark):
