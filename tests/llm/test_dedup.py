@@ -154,13 +154,13 @@ def test_topk(spark, queries, monkeypatch):
     got = {}
     for r in topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    z = np.floor(64 * x).astype(np.int64)
-    ids = np.arange(700)
+    z = np.floor(64 * np.concatenate([x, x[:1]])).astype(np.int64)  # the row with a null id is a candidate, the last among ties
+    ids = np.arange(701)
     assert set(got) == {*range(0, 700, 20), 2040}
     for q in range(0, 700, 20):
         s = z @ z[q]
         best = [i for i in np.lexsort((ids, -s)) if i != q][:20]
-        assert sorted(got[q]) == [(k + 1, int(i), int(s[i])) for k, i in enumerate(best)]
+        assert sorted(got[q], key=lambda r: r[0]) == [(k + 1, int(i) if i < 700 else None, int(s[i])) for k, i in enumerate(best)]
     assert got[2040] == [(1, 2041, 64 * 64 - 128 * 192)]
 
 
@@ -204,3 +204,37 @@ def test_embedding_chunks_count_each_link_once(spark, monkeypatch, bucket):
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = ((y @ y.T) >= 0.95).sum(axis=1) - 1
     assert want.sum() > 200 and {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
+
+
+@pytest.mark.parametrize("store", [1 << 17, 7])
+def test_topk_of_repeated_and_null_ids_equals_its_sql(spark, monkeypatch, tmp_path, store):
+    import duckdb
+
+    monkeypatch.setattr(topk, "STORE", store)
+    rng = np.random.default_rng(3)
+    ids = [0, 0, 20, 20, 20, 40, 1, 1, 2, None, None, 3, 5, 60]
+    rows = [(i, [float(v) for v in rng.integers(-3, 4, 3)]) for i in ids] + [(80, None), (100, [float("inf"), 0.0, 0.0]), (None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    path = str(tmp_path / "embeddings.parquet")
+    df.coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = sorted(con.sql(topk.OP9_SQL).fetchall(), key=key)
+    got = sorted((tuple(r) for r in topk.nearest(df).collect()), key=key)
+    assert got == want and len(got) == 7 * 13
+
+
+def test_topk_in_one_job_for_any_number_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SMALL", 16)
+    monkeypatch.setattr(topk, "SAMPLE", 30)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.standard_normal((400, 20)), 2)
+    got = topk.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), k=5, every=2)
+    z = np.floor(64 * x)
+    score = (z @ z.T).astype(int)
+    want = set()
+    for q in range(0, 400, 2):
+        order = sorted((-score[q, c], c) for c in range(400) if c != q)[:5]
+        want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(order)}
+    assert {tuple(r) for r in got.collect()} == want
