@@ -48,33 +48,60 @@ def parse(language: str, text: str) -> Parsed:
 # --- Python -----------------------------------------------------------------------------------------------------------------------
 
 
-def _python(text: str) -> Parsed:
+#: Top-level blocks that are tried together where one alone is no valid code.
+TOGETHER = 8
+
+
+def _tree(text: str) -> ast.Module | None:
     try:
-        tree = ast.parse(text)
+        return ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return Parsed()
+        return None
+
+
+def _python(text: str) -> Parsed:
+    """A file as a whole; where it has errors, all of its top-level blocks that are valid."""
     out = Parsed()
+    whole = _tree(text)
+    if whole is not None:
+        _read(out, whole, 0)
+        return out
+    lines = text.splitlines()
+    starts = [k for k, line in enumerate(lines) if line[:1].strip() and line[0] not in "#)]}"]
+    ends = [*starts[1:], len(lines)]
+    at = 0
+    while at < len(starts):
+        for more in range(at, min(at + TOGETHER, len(starts))):
+            tree = _tree("\n".join(lines[starts[at] : ends[more]]))
+            if tree is not None:
+                _read(out, tree, starts[at])
+                at = more
+                break
+        at += 1
+    return out
+
+
+def _read(out: Parsed, tree: ast.Module, shift: int) -> None:
+    """Add what a tree holds, its lines ``shift`` further down. Nodes are kept on a list of our own, so no depth is too much."""
 
     def first_line(node: ast.AST) -> int:
-        return min([node.lineno, *(d.lineno for d in node.decorator_list)])
-
-    def walk(node: ast.AST, depth: int) -> None:
-        for child in ast.iter_child_nodes(node):
-            inner = depth
-            if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                inner = depth + 1
-                kind = "class" if isinstance(child, ast.ClassDef) else "function"
-                out.scopes.append((kind, child.name, first_line(child), child.end_lineno, inner))
-                out.symbols.append((child.lineno, child.name, "definition"))
-            elif isinstance(child, ast.Name):
-                out.symbols.append((child.lineno, child.id, "use" if isinstance(child.ctx, ast.Load) else "definition"))
-            elif isinstance(child, ast.arg):
-                out.symbols.append((child.lineno, child.arg, "definition"))
-            elif isinstance(child, ast.ExceptHandler) and child.name:
-                out.symbols.append((child.lineno, child.name, "definition"))
-            walk(child, inner)
-
-    walk(tree, 0)
+        return min([node.lineno, *(d.lineno for d in node.decorator_list)]) + shift
+
+    todo: list[tuple[ast.AST, int]] = [(n, 0) for n in reversed(tree.body)]
+    while todo:
+        node, depth = todo.pop()
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+            depth += 1
+            kind = "class" if isinstance(node, ast.ClassDef) else "function"
+            out.scopes.append((kind, node.name, first_line(node), node.end_lineno + shift, depth))
+            out.symbols.append((node.lineno + shift, node.name, "definition"))
+        elif isinstance(node, ast.Name):
+            out.symbols.append((node.lineno + shift, node.id, "use" if isinstance(node.ctx, ast.Load) else "definition"))
+        elif isinstance(node, ast.arg):
+            out.symbols.append((node.lineno + shift, node.arg, "definition"))
+        elif isinstance(node, ast.ExceptHandler) and node.name:
+            out.symbols.append((node.lineno + shift, node.name, "definition"))
+        todo += [(child, depth) for child in reversed(list(ast.iter_child_nodes(node)))]
     for node in tree.body:
         if isinstance(node, ast.Import):
             out.imports += [Import(a.name, alias=a.asname) for a in node.names]
@@ -83,11 +110,10 @@ def _python(text: str) -> Parsed:
             names = [] if star else [a.name for a in node.names]
             out.imports.append(Import("." * node.level + (node.module or ""), names, None, [(a.name, a.asname) for a in node.names if a.asname], star, node.level > 0, node.level))
         elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-            out.top_level.append((node.name, first_line(node), node.end_lineno))
+            out.top_level.append((node.name, first_line(node), node.end_lineno + shift))
         elif isinstance(node, ast.Assign | ast.AnnAssign):
             targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-            out.top_level += [(t.id, node.lineno, node.end_lineno) for t in targets if isinstance(t, ast.Name)]
-    return out
+            out.top_level += [(t.id, node.lineno + shift, node.end_lineno + shift) for t in targets if isinstance(t, ast.Name)]
 
 
 # --- other languages --------------------------------------------------------------------------------------------------------------
@@ -108,9 +134,25 @@ class Spec:
     strings: str = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
 
 
+_INSERTED = re.compile(r"\$\{([^{}`]*)\}")
+
+
 def blanked(spec: Spec, text: str) -> str:
-    """The text with comments and strings as blanks; line ends stay."""
-    return re.sub(f"{spec.comments}|{spec.strings}", lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    """The text with comments and strings as blanks; line ends stay, and so does code inserted into a template string."""
+
+    def blank(found: str) -> str:
+        return re.sub(r"[^\n]", " ", found)
+
+    def hidden(m: re.Match) -> str:
+        if m[0][0] != "`" or "${" not in m[0]:
+            return blank(m[0])
+        out, at = [], 0
+        for code in _INSERTED.finditer(m[0]):
+            out += [blank(m[0][at : code.start(1)]), code[1]]
+            at = code.end(1)
+        return "".join([*out, blank(m[0][at:])])
+
+    return re.sub(f"{spec.comments}|{spec.strings}", hidden, text)
 
 
 def _lexed(spec: Spec, text: str) -> Parsed:
@@ -131,7 +173,7 @@ def _lexed(spec: Spec, text: str) -> Parsed:
             end = _body_end(spec, plain, m.end(), ends)
             if end is not None:
                 found.append((begin, end, kind, name))
-    found = sorted(set(found), key=lambda f: (f[0], -f[1]))
+    found = sorted(dict.fromkeys(found), key=lambda f: (f[0], -f[1]))
     out = Parsed()
     stack: list[int] = []
     taken: set[tuple[int, str]] = set()
@@ -178,7 +220,7 @@ def _brace_ends(plain: str) -> dict[int, int]:
     return out
 
 
-_OPENERS = re.compile(r"\b(end)\b|\b(do)\b|^[ \t]*(?:\w+\s*=\s*)?\b(class|module|def|if|unless|case|begin|while|until|for)\b|\b(fn)\b", re.MULTILINE)
+_OPENERS = re.compile(r"\b(end)\b|\b(do)\b|(?:^|;)[ \t]*(?:(?:private|protected|public)[ \t]+|\w+\s*=\s*)?\b(class|module|def|if|unless|case|begin|while|until|for)\b|\b(fn)\b", re.MULTILINE)
 
 
 def _body_end(spec: Spec, plain: str, at: int, ends: dict[int, int] | None) -> int | None:
@@ -333,7 +375,7 @@ SPECS: dict[str, Spec] = {
     "java": Spec(
         _C_COMMENTS,
         [*[(k, rf"(?P<at>(?:\b(?:public|private|protected|static|final|abstract|sealed)\s+)*)\b{k}\s+(?P<name>\w+)[^{{;]*") for k in ("class", "interface", "enum")],
-         ("method", r"^[ \t]*(?P<at>(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)*(?:<[^>]+>\s*)?(?!new\b|return\b|else\b|throw\b)[\w<>\[\],.? ]+?\s+)(?P<name>\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?(?=\{)"),
+         ("method", r"^[ \t]*(?P<at>(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)*(?:<[^>]+>\s*)?(?!(?:new|return|else|throw|public|private|protected|static|final|abstract|synchronized|default|native)\b)[\w<>\[\],.? ]+?\s+)(?P<name>\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?(?=\{)"),
          ("constructor", r"^[ \t]*(?P<at>(?:(?:public|private|protected)\s+)?)(?P<name>[A-Z]\w*)\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?(?=\{)"),
          ("lambda", r"(?P<at>(?:\([^()]*\)|\b\w+)\s*)->")],
         _java_imports,
@@ -357,7 +399,7 @@ SPECS: dict[str, Spec] = {
     ),
     "ruby": Spec(
         r"#(?!\{)[^\n]*|^=begin[\s\S]*?^=end",
-        [("class", r"^[ \t]*(?P<at>class)\s+(?P<name>[A-Z][\w:]*)[^\n]*"), ("module", r"^[ \t]*(?P<at>module)\s+(?P<name>[A-Z][\w:]*)[^\n]*"), ("method", r"^[ \t]*(?P<at>def)\s+(?P<name>(?:self\.)?[\w?!=]+)[^\n]*"), ("lambda", r"(?P<at>(?:->\s*(?:\([^)]*\))?|\blambda)\s*)do\b"), ("block", r"(?P<at>\bdo)\b(?:\s*\|[^|]*\|)?")],
+        [("class", r"(?:^|;)[ \t]*(?P<at>class)\s+(?P<name>[A-Z][\w:]*)[^\n;]*"), ("module", r"(?:^|;)[ \t]*(?P<at>module)\s+(?P<name>[A-Z][\w:]*)[^\n;]*"), ("method", r"(?:^|;)[ \t]*(?:(?:private|protected|public)[ \t]+)?(?P<at>def)\s+(?P<name>(?:self\.)?\w+(?:[?!]|=(?=[ \t]*\())?)(?:[ \t]*\([^)]*\)|[^\n;]*)(?![ \t]*=[ \t])"), ("lambda", r"(?P<at>(?:->\s*(?:\([^)]*\))?|\blambda)\s*)do\b"), ("block", r"(?P<at>\bdo)\b(?:\s*\|[^|]*\|)?")],
         _ruby_imports, [r"\b(?:class|module)\s+([A-Z]\w*)", r"\bdef\s+(?:self\.)?([\w?!]+)\s*(?:\(([^)]*)\))?", r"([a-z_]\w*)\s*(?:\|\||&&|[+\-*/])?=(?![=~>])", r"\|([^|\n]*)\|"], identifier=r"[A-Za-z_]\w*[?!]?", member=r"\.\s*|&\.\s*|::\s*|:",
         keywords="alias and begin break case class def defined? do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield", block="end",
     ),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,30 +49,36 @@ def extracted(raw: Column | str) -> Column:
 
 
 def line_range(value: Column) -> Column:
-    """struct<start, end, bad> of a variant: an object with start and end, or an array of two or more; in order, null without both ends, bad if negative or no number."""
-    text = F.col(value) if isinstance(value, str) else value
-    shape = F.schema_of_variant(text)
-    is_array = F.startswith(shape, F.lit("ARRAY"))
+    """struct<start, end, bad> of a variant: an object with start and end, or an array of two or more; in order.
+
+    Fractions are cut off. Null without both ends of an object; bad if an end is negative or no whole number, or an array's end is null.
+    """
+    whole = F.col(value) if isinstance(value, str) else value
+    shape = F.schema_of_variant(whole)
+    is_array = F.startswith(shape, F.lit("ARRAY")) & F.try_variant_get(whole, "$[1]", "variant").isNotNull()
     is_object = F.startswith(shape, F.lit("OBJECT"))
 
-    def end(at: str, name: str) -> Column:
-        return F.when(is_array, F.try_variant_get(text, at, "string")).when(is_object, F.try_variant_get(text, f"$.{name}", "string"))
+    def end(at: str, name: str) -> tuple[Column, Column]:
+        v = F.when(is_array, F.try_variant_get(whole, at, "variant")).when(is_object, F.try_variant_get(whole, f"$.{name}", "variant"))
+        text, kind = F.try_variant_get(v, "$", "string"), F.schema_of_variant(v)
+        cut = F.when(F.try_variant_get(v, "$", "double") < 0, F.ceil(F.try_variant_get(v, "$", "double"))).otherwise(F.floor(F.try_variant_get(v, "$", "double")))
+        number = F.when(F.startswith(kind, F.lit("DECIMAL")) | kind.isin("DOUBLE", "FLOAT"), cut.try_cast("int")).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").try_cast("int"))
+        return text.isNotNull(), number.otherwise(F.trim(text).try_cast("int"))
 
-    a, b = end("$[0]", "start"), end("$[1]", "end")
-    both = a.isNotNull() & b.isNotNull()
-    x, y = a.try_cast("int"), b.try_cast("int")
+    (has_a, x), (has_b, y) = end("$[0]", "start"), end("$[1]", "end")
+    both = is_array | is_object & has_a & has_b
     bad = both & (x.isNull() | y.isNull() | (x < 0) | (y < 0))
     good = both & ~bad
     return F.struct(F.when(good, F.least(x, y)).alias("start"), F.when(good, F.greatest(x, y)).alias("end"), F.coalesce(bad, F.lit(False)).alias("bad"))
 
 
-def parsed(responses: DataFrame) -> DataFrame:
-    """(file_path, raw) to one row per finding, and one with ``error`` for each answer that is no valid one.
+def parsed(responses: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, file_path, raw) to one row per finding, and one with ``error`` for each answer that is no valid one.
 
     An answer is valid if it holds an object with an array ``findings`` of objects that all have the required fields; one bad finding spoils its
     whole answer. file_path of a finding is that of its answer. An answer without findings gives no row.
     """
-    rows = responses.select("file_path", extracted("raw").alias("data"), F.col("raw"))
+    rows = responses.select(*keys, "file_path", extracted("raw").alias("data"), F.col("raw"))
     list_ = F.try_variant_get("data", "$.findings", "array<variant>")
     rows = rows.withColumn("list", list_)
     broken = F.when(F.col("data").isNull(), F.lit("no JSON object")).when(F.col("list").isNull(), F.lit("no findings array"))
@@ -89,7 +95,7 @@ def parsed(responses: DataFrame) -> DataFrame:
     error = F.coalesce(broken, F.when(F.exists("list", missing), F.lit("missing required field")), F.when(F.exists("list", bad_range), F.lit("bad line range")))
     rows = rows.withColumn("error", error)
     items = F.when(F.col("error").isNull(), F.col("list")).otherwise(F.array(F.lit(None).cast("variant")))
-    rows = rows.select("file_path", "error", F.posexplode(items).alias("finding_no", "f"))
+    rows = rows.select(*keys, "file_path", "error", F.posexplode(items).alias("finding_no", "f"))
 
     def text(name: str) -> Column:
         return F.try_variant_get("f", f"$.{name}", "string")
@@ -97,7 +103,7 @@ def parsed(responses: DataFrame) -> DataFrame:
     lines = line_range(F.try_variant_get("f", "$.line_range", "variant"))
     good = F.col("error").isNull()
     return rows.select(
-        "file_path", F.col("finding_no").cast("long").alias("finding_no"), text("what").alias("what"), text("why").alias("why"), text("how_to_fix").alias("how_to_fix"),
+        *keys, "file_path", F.col("finding_no").cast("long").alias("finding_no"), text("what").alias("what"), text("why").alias("why"), text("how_to_fix").alias("how_to_fix"),
         F.when(good, severity(text("severity"))).alias("severity"), F.when(good, confidence(text("confidence"))).alias("confidence"),
         cwe_normalized(text("cwe_id")).alias("cwe_id"), F.nullif(F.trim(text("owasp_category")), F.lit("")).alias("owasp_category"), lines["start"].alias("line_start"), lines["end"].alias("line_end"), "error",
     )

@@ -6,11 +6,12 @@ A task may run again, so answers should be written before they are used where ca
 from __future__ import annotations
 
 import json
+import queue
 import random
+import threading
 import time
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as Late
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -55,8 +56,12 @@ class SecretStub:
         return json.dumps({"findings": found if self.mark in prompt else []})
 
 
-def answers(prompts: DataFrame, reviewer: Callable[[str], str], concurrent: int = 5, retries: int = 0, timeout: float = 120.0) -> DataFrame:
-    """(file_path, prompt) to (file_path, raw, error, error_type): each task makes at most ``concurrent`` calls at once; a failed one has a null answer."""
+def answers(prompts: DataFrame, reviewer: Callable[[str], str], concurrent: int = 5, retries: int = 0, timeout: float = 120.0, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, file_path, prompt) to (keys, file_path, raw, error, error_type): each task makes at most ``concurrent`` calls at once; a failed one has a null answer.
+
+    A call's time runs from its own start, retries included. A late call counts as failed; its thread is left behind and another takes its
+    place, so neither other calls nor the end of the task wait for it.
+    """
 
     def call(prompt: str) -> tuple[str | None, str | None, str | None]:
         for attempt in range(retries + 1):
@@ -67,36 +72,51 @@ def answers(prompts: DataFrame, reviewer: Callable[[str], str], concurrent: int
                 return raw, None, None
             except ReviewError as e:
                 if e.kind not in TRANSIENT or attempt == retries:
-                    return None, str(e), e.kind
+                    return None, str(e), "context_length" if is_too_long(str(e)) else e.kind
                 time.sleep(min(8.0, 2.0**attempt) * random.random() / 4)
             except Exception as e:
-                return None, str(e) or type(e).__name__, type(e).__name__
+                text = str(e) or type(e).__name__
+                return None, text, "context_length" if is_too_long(text, getattr(e, "code", None)) else type(e).__name__
         raise AssertionError
 
+    def all_of(texts: list[str]) -> list[tuple[str | None, str | None, str | None]]:
+        rows: list = [(None, MESSAGES["timeout"], "timeout")] * len(texts)
+        waiting, running, done = deque(range(len(texts))), {}, queue.SimpleQueue()
+        while waiting or running:
+            while waiting and len(running) < concurrent:
+                k = waiting.popleft()
+                threading.Thread(target=lambda k=k: done.put((k, call(texts[k]))), daemon=True).start()
+                running[k] = time.monotonic() + timeout
+            try:
+                k, row = done.get(timeout=max(0.0, min(running.values()) - time.monotonic()))
+                if running.pop(k, None) is not None:
+                    rows[k] = row
+            except queue.Empty:
+                now = time.monotonic()
+                running = {k: end for k, end in running.items() if end > now}
+        return rows
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(concurrent) as pool:
-            for batch in batches:
-                jobs = [pool.submit(call, p) for p in batch["prompt"]]
-                rows = []
-                for job in jobs:
-                    try:
-                        rows.append(job.result(timeout))
-                    except Late:
-                        rows.append((None, MESSAGES["timeout"], "timeout"))
-                yield pd.DataFrame({"file_path": batch["file_path"].to_numpy(), **{c: [r[k] for r in rows] for k, c in enumerate(("raw", "error", "error_type"))}})
-
-    return prompts.select("file_path", "prompt").mapInPandas(run, "file_path string, raw string, error string, error_type string")
-
-
-def reviewed(prompts: DataFrame, reviewer: Callable[[str], str], **options) -> DataFrame:
-    """Rated findings and failures of all prompts: the columns of a finding and ``error``."""
-    got = answers(prompts, reviewer, **options)
-    parsed = findings.parsed(got.where("error IS NULL").select("file_path", "raw"))
-    columns = [c for c in parsed.columns]
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.iloc[at : at + 64]
+                rows = all_of(part["prompt"].tolist())
+                yield part.drop(columns=["prompt"]).assign(**{c: [r[k] for r in rows] for k, c in enumerate(("raw", "error", "error_type"))})
+
+    kept = prompts.select(*keys, "file_path", "prompt")
+    schema = ", ".join(f"`{n}` {t}" for n, t in kept.drop("prompt").dtypes)
+    return kept.mapInPandas(run, f"{schema}, raw string, error string, error_type string")
+
+
+def reviewed(prompts: DataFrame, reviewer: Callable[[str], str], keys: Sequence[str] = (), **options) -> DataFrame:
+    """Rated findings and failures of all prompts: the keys, the columns of a finding, ``error`` and ``error_type``."""
+    got = answers(prompts, reviewer, keys=keys, **options)
+    parsed = findings.parsed(got.where("error IS NULL").select(*keys, "file_path", "raw"), keys)
     failed = got.where("error IS NOT NULL")
     kept = findings.rated(parsed.where("error IS NULL")).unionByName(parsed.where("error IS NOT NULL"))
-    nothing = [F.lit(None).cast(t).alias(n) for n, t in parsed.dtypes if n not in ("file_path", "error")]
-    return kept.unionByName(failed.select("file_path", *nothing, "error").select(*columns))
+    kept = kept.withColumn("error_type", F.when(F.col("error").isNotNull(), F.lit("malformed")))
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in parsed.dtypes if n not in ("file_path", "error", *keys)]
+    return kept.unionByName(failed.select(*keys, "file_path", *nothing, "error", "error_type"))
 
 
 def error_messages(errors: DataFrame) -> DataFrame:

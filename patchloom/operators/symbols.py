@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.operators.regions import scope_text
+
 
 def free_symbols(used: DataFrame, defined: DataFrame, builtins: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct (keys, symbol) that are used but neither defined under the same key nor built in."""
@@ -42,8 +44,8 @@ def first_existing(wanted: DataFrame, candidates: Column, files: DataFrame, keys
     return found.groupBy(*keys).agg(F.min_by("path", "at").alias("path"))
 
 
-def definitions(resolved: DataFrame, top_level: DataFrame, lines_of: DataFrame) -> DataFrame:
-    """(file_id, symbol, path, code): the text of the first top-level node of that name in the file that the import means.
+def definitions(resolved: DataFrame, top_level: DataFrame, lines_of: DataFrame, limit: int = 200) -> DataFrame:
+    """(file_id, symbol, path, code): the text of the first top-level node of that name in the file that the import means, at most ``limit`` lines of it with a note.
 
     resolved: file_id, symbol, original, path. top_level: path, name, start_line, end_line. lines_of: path, lines. Symbols without a definition
     are left out.
@@ -51,5 +53,4 @@ def definitions(resolved: DataFrame, top_level: DataFrame, lines_of: DataFrame)
     node = top_level.groupBy("path", "name").agg(F.min(F.struct("start_line", "end_line")).alias("n"))
     out = resolved.join(node, (resolved["path"] == node["path"]) & (resolved["original"] == node["name"])).select("file_id", "symbol", resolved["path"], "n")
     out = out.join(lines_of.select("path", "lines"), "path")
-    code = F.array_join(F.slice("lines", F.col("n.start_line"), F.col("n.end_line") - F.col("n.start_line") + 1), "\n")
-    return out.select("file_id", "symbol", "path", code.alias("code"))
+    return out.select("file_id", "symbol", "path", scope_text(F.col("lines"), F.col("n.start_line"), F.col("n.end_line"), limit).alias("code"))

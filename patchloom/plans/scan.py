@@ -8,13 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.functions.text import finding_id
 from patchloom.operators import code, components, diffs, filters, findings, prompts, regions, review, symbols
 from patchloom.shared import keep
 from patchloom.shipping import ship
+from patchloom.sources import files as M
 from patchloom.sources.files import Config, SourceError
 
 KEY = ["diff_id", "file_no"]
@@ -46,6 +47,28 @@ def reviewed_files(changes: DataFrame, sources: DataFrame, config: Config) -> Da
     return filters.analyzable(files, config.third_party_patterns, config.sensitive())
 
 
+def project(sources: DataFrame) -> Column:
+    """What the manifests at the top of the sources say of the project, by the ``language`` of a row: struct<package, namespaces, dependencies>."""
+    names = ("package.json", "pom.xml", "build.gradle", "go.mod", "Gemfile", "composer.json", "mix.exs")
+    texts = sources.where(F.col("path").isin(*names)).agg(*[F.max(F.when(F.col("path") == n, F.col("text"))).alias(n) for n in names])
+    t = {n: F.col(f"`{n}`") for n in names}
+    java_roots = F.lit(None).cast("string")
+    row = texts.select(
+        M.npm_name(t["package.json"]).alias("npm"), M.npm_workspaces(t["package.json"]).alias("spaces"), M.java_base_package(t["pom.xml"], t["build.gradle"], java_roots).alias("java"), M.go_module(t["go.mod"]).alias("go"),
+        M.gemfile_gems(t["Gemfile"]).alias("gems"), F.map_keys(M.composer_prefixes(t["composer.json"])).alias("prefixes"), M.mix_app(t["mix.exs"]).alias("mix"), M.mix_dependencies(t["mix.exs"]).alias("deps"),
+    ).first()
+    language, none = F.col("language"), F.lit(None).cast("string")
+
+    def many(values: list[str] | None) -> Column:
+        return F.array(*[F.lit(v) for v in values or ()]).cast("array<string>")
+
+    script = language.isin("javascript", "typescript")
+    package = F.when(script, F.lit(row["npm"])).when(language == "java", F.lit(row["java"])).when(language == "go", F.lit(row["go"])).when(language == "elixir", F.lit(row["mix"])).otherwise(none)
+    spaces = F.when(script, many(row["spaces"])).when(language == "php", many(row["prefixes"])).otherwise(many(None))
+    dependencies = F.when(language == "ruby", many(row["gems"])).when(language == "elixir", many(row["deps"])).otherwise(many(None))
+    return F.struct(package.cast("string").alias("package"), spaces.alias("namespaces"), dependencies.alias("dependencies"))
+
+
 def _code_parts(files: DataFrame) -> DataFrame:
     """(file_id, path, language, text, shift): what the parsers read; of a component file its script, ``shift`` lines further down."""
     block = F.when(F.col("language").isin("vue", "svelte"), components.script_block("text")).when(F.col("language") == "astro", components.frontmatter("text"))
@@ -75,11 +98,14 @@ def contexts(changes: DataFrame, sources: DataFrame, config: Config) -> DataFram
 
     shifted = areas.join(parts.select(*KEY, "file_id", "shift"), KEY).select("file_id", (F.col("start_line") - F.col("shift")).alias("start_line"), (F.col("end_line") - F.col("shift")).alias("end_line"))
     used = code.used_symbols(parsed, shifted)
-    meant = keep(code.resolved_files(symbols.resolved_imports(used, code.imports(parsed)), parsed, sources.select("path")), "meant")
+    bound = symbols.resolved_imports(used, code.imports(parsed))
+    meant = code.resolved_files(bound, parsed, sources.select("path")).join(bound.select("file_id", "symbol", "module", "is_relative"), ["file_id", "symbol"]).join(parsed.select("file_id", "language"), "file_id")
+    own = code.is_first_party(F.col("language"), F.col("module"), F.col("is_relative"), F.lit(True), project(sources), config.third_party_patterns)
+    meant = keep(meant.where(own).select("file_id", "symbol", "original", "path"), "meant")
     targets = meant.select("path").distinct().join(sources.select("path", "text", "lines"), "path").where("text IS NOT NULL").withColumn("language", filters.language("path"))
     targets = targets.where(~filters.is_vendored("path", config.third_party_patterns))
     tops = code.top_level(code.parsed(targets.select(F.xxhash64("path").alias("file_id"), "path", "language", "text")))
-    defined = symbols.definitions(meant, tops, targets).join(parts.select("file_id", *KEY), "file_id")
+    defined = symbols.definitions(meant, tops, targets, config.scope_size_limit).join(parts.select("file_id", *KEY), "file_id")
     defined = defined.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("symbol").alias("name"), F.col("path").alias("file"), "code"))).alias("symbols"))
 
     around = regions.envelope(areas, KEY).join(regions.line_count(areas, KEY), KEY)
@@ -98,16 +124,20 @@ def contexts(changes: DataFrame, sources: DataFrame, config: Config) -> DataFram
 
 
 def scan(spark: SparkSession, changes: DataFrame, sources: DataFrame, reviewer: Callable[[str], str], config: Config | None = None, baseline: DataFrame | None = None, max_tokens: int | None = None) -> Scan:
-    """Review all diffs (diff_id, text) against source files (path, text, lines, error), one prompt a file."""
+    """Review all diffs (diff_id, text) against source files (path, text, lines, error), one prompt a file.
+
+    Contexts, prompts, findings and errors are keyed by (diff_id, file_no), so diffs that touch one path stay apart. Sources are one
+    version of each file: diffs of different versions need a call each.
+    """
     config = config or Config()
     ship(spark)
     about = keep(contexts(changes, sources, config), "contexts")
     keyed = about.withColumn("context_id", F.concat_ws(":", "diff_id", "file_no"))
-    asked = prompts.prompts(keyed, "context_id", "file_no", max_tokens).join(keyed.select("context_id", "path"), "context_id")
-    got = keep(review.reviewed(asked.select(F.col("path").alias("file_path"), "prompt"), reviewer, concurrent=config.max_concurrent_api_calls, timeout=float(config.timeout)), "findings")  # calls cost money, so answers are written before use
+    asked = prompts.prompts(keyed, "context_id", "file_no", max_tokens).join(keyed.select("context_id", *KEY, "path"), "context_id")
+    got = keep(review.reviewed(asked.select(*KEY, F.col("path").alias("file_path"), "prompt"), reviewer, KEY, concurrent=config.max_concurrent_api_calls, timeout=float(config.timeout)), "findings")  # calls cost money, so answers are written before use
     good = got.where("error IS NULL").withColumn("finding_id", finding_id("cwe_id", "file_path", "line_start", "what"))
     good = filters.confident(good, config.min_confidence)
     new = findings.suppressed(good, baseline) if baseline is not None else good
-    unread = reviewed_files(changes, sources, config).where("error IS NOT NULL").select(F.col("path").alias("file_path"), "error")
-    errors = got.where("error IS NOT NULL").select("file_path", "error").unionByName(unread)
+    unread = reviewed_files(changes, sources, config).where("error IS NOT NULL").select(*KEY, F.col("path").alias("file_path"), "error", F.lit("unreadable").alias("error_type"))
+    errors = got.where("error IS NOT NULL").select(*KEY, "file_path", "error", "error_type").unionByName(unread)
     return Scan(about, asked, good, new, errors, findings.blocks(new, dict(config.thresholds)))

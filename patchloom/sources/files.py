@@ -202,8 +202,12 @@ def npm_workspaces(text: Column) -> Column:
 
 
 def java_base_package(pom: Column, gradle: Column, root_folders: Column) -> Column:
-    """groupId of a pom, else the group of a Gradle file, else the folders below the source root."""
-    group = F.nullif(F.regexp_extract(pom, r"(?s)<project\b.*?<groupId>\s*([^<\s]+)\s*</groupId>", 1), F.lit(""))
+    """groupId of a pom's project itself, else the group of a Gradle file, else the folders below the source root."""
+    own = pom
+    for inner in ("parent", "dependencies", "dependencyManagement", "build", "profiles", "reporting", "plugins"):  # groups of others
+        own = F.regexp_replace(own, rf"(?s)<{inner}\b[^>]*+>.*?</{inner}>", "")
+    own = F.regexp_replace(own, r"(?s)<!--.*?-->", "")
+    group = F.nullif(F.regexp_extract(own, r"(?s)<project\b.*?<groupId>\s*([^<\s]+)\s*</groupId>", 1), F.lit(""))
     gradle_group = F.nullif(F.regexp_extract(gradle, r"""(?m)^\s*group\s*=?\s*["']([^"']+)["']""", 1), F.lit(""))
     return F.coalesce(group, gradle_group, root_folders)
 
@@ -214,7 +218,7 @@ def go_module(text: Column) -> Column:
 
 def gemfile_gems(text: Column) -> Column:
     """Distinct gem names, null for none."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"""(?m)^\s*gem\s+["']([^"']+)["']"""), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"""gem\s+["']([^"']+)["']"""), F.lit(1)))
     return F.when(F.size(found) > 0, found)
 
 

@@ -273,3 +273,27 @@ def test_end_to_end_definitions(spark):
     found = code.resolved_files(symbols.resolved_imports(used, code.imports(p)), p, sources.select("path"))
     got = symbols.definitions(found, code.top_level(p), sources.select("path", lines("text").alias("lines"))).collect()
     assert [(r.symbol, r.path, r.code) for r in got] == [("ff", "lib.py", "def f(a):\n    return a")]
+
+
+def test_broken_python_keeps_its_valid_blocks():
+    text = "import os\n\ndef broken(:\n    pass\n\n@deco\ndef ok(a):\n    return a\n\ntry:\n    x = 1\nexcept E as e:\n    y(e)\n\nclass (:\n    pass\nclass Good:\n    def m(self):\n        pass\n"
+    assert scopes("python", text) == {("function", "ok"): (6, 8, 1), ("class", "Good"): (17, 19, 1), ("function", "m"): (18, 19, 2)}
+    p = parse("python", text)
+    assert [i.module for i in p.imports] == ["os"] and [t[0] for t in p.top_level] == ["ok", "Good"]
+    assert (13, "y", "use") in p.symbols and (12, "e", "definition") in p.symbols
+    assert parse("python", "def broken(:\n  x\n").scopes == []
+
+
+@pytest.mark.parametrize("text", [" + ".join("a" for _ in range(3000)), "a" + ".b" * 4000, "if a:\n    pass\n" + "elif a:\n    pass\n" * 1500, "(" * 5000, "x = " + "[" * 150 + "]" * 150])
+def test_deep_python_does_not_fail(text):
+    parse("python", text)
+
+
+def test_code_in_template_strings_and_one_line_ruby():
+    js = "const a = `x ${foo(bar)} y ${z}`;\nfunction f() { return `}${ok}`; }\n"
+    used = {n for _, n, r in parse("javascript", js).symbols if r == "use"}
+    assert {"foo", "bar", "z", "ok"} <= used and not used & {"x", "y"}
+    assert scopes("javascript", js)[("function", "f")][:2] == (2, 2)
+    rb = "class A; end\ndef b; 1; end\ndef c(x) = x + 1\ndef d(x)\n  if x; 1; end\nend\nprivate def e\n  2\nend\n"
+    s = scopes("ruby", rb)
+    assert s[("class", "A")][:2] == (1, 1) and s[("method", "b")][:2] == (2, 2) and s[("method", "d")][:2] == (4, 6) and s[("method", "e")][:2] == (7, 9)

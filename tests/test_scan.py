@@ -72,3 +72,34 @@ def test_ready(tables):
     assert scan.check_ready(review.SecretStub(), tables[0]) and not scan.check_ready(review.SecretStub(), tables[0].limit(0))
     with pytest.raises(SourceError):
         scan.check_ready(None, tables[0])
+
+
+def test_diffs_of_one_path_stay_apart(spark, tables):
+    changes = spark.createDataFrame([(1, DIFF), (2, DIFF)], "diff_id long, text string")
+    got = scan.scan(spark, changes, tables[1], review.SecretStub())
+    assert sorted((r.diff_id, r.file_path) for r in got.findings.collect()) == [(1, "app.py"), (2, "app.py")]
+    assert sorted((r.diff_id, r.file_path, r.error_type) for r in got.errors.collect()) == [(1, "bad.py", "unreadable"), (2, "bad.py", "unreadable")]
+    assert review.error_messages(got.errors).where("message = 'binary file'").count() == 2
+
+
+def test_a_late_call_holds_up_nothing(spark):
+    import time
+
+    class Slow:
+        def __call__(self, prompt):
+            time.sleep(30 if prompt == "slow" else 0.05)
+            return '{"findings": []}'
+
+    calls = spark.createDataFrame([(k, f"f{k}", "slow" if k in (0, 3) else "quick") for k in range(8)], "k long, file_path string, prompt string").coalesce(1)
+    began = time.perf_counter()
+    got = {r.k: r.error_type for r in review.answers(calls, Slow(), concurrent=2, timeout=1.0, keys=["k"]).collect()}
+    assert time.perf_counter() - began < 20
+    assert got == {k: "timeout" if k in (0, 3) else None for k in range(8)}
+
+
+def test_long_definitions_are_cut(spark):
+    long = "def query(x):\n" + "".join(f"    y{k} = {k}\n" for k in range(50))
+    rows = [("app.py", APP, None), ("lib/db.py", long, None), ("p.vue", VUE, None), ("bad.py", None, "binary file")]
+    sources = spark.createDataFrame(rows, "path string, text string, error string").select("path", "text", lines("text").alias("lines"), "error")
+    got = {r.path: r for r in scan.contexts(spark.createDataFrame([(1, DIFF)], "diff_id long, text string"), sources, Config(scope_size_limit=10)).collect()}
+    assert got["app.py"].symbols[0].code.endswith("... (truncated 41 lines)")
