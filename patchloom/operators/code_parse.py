@@ -131,6 +131,7 @@ class Spec:
     member: str = r"\.\s*|\?\.\s*"
     keywords: str = ""
     block: str = "brace"
+    types: tuple[str, ...] = ()  #: patterns whose groups are types, which are no uses of a value
     strings: str = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
 
 
@@ -188,7 +189,7 @@ def _lexed(spec: Spec, text: str) -> Parsed:
         if len(stack) == 1 and name != "<anonymous>":
             out.top_level.append((name, line(begin), line(end)))
     out.imports = spec.imports(text)
-    defined: set[int] = set()
+    defined: set[int] = set()  # places that are no uses
     for pattern in spec.definitions:
         for m in re.finditer(pattern, plain, re.MULTILINE):
             for g in range(1, (m.re.groups or 0) + 1):
@@ -198,6 +199,11 @@ def _lexed(spec: Spec, text: str) -> Parsed:
                     if n[0] not in spec.keywords.split():
                         defined.add(m.start(g) + n.start())
                         out.symbols.append((line(m.start(g)), n[0], "definition"))
+    for pattern in spec.types:
+        for m in re.finditer(pattern, plain, re.MULTILINE):
+            for g in range(1, m.re.groups + 1):
+                if m[g] is not None:
+                    defined.update(m.start(g) + n.start() for n in re.finditer(spec.identifier, m[g]))
     words = frozenset(spec.keywords.split())
     before = re.compile(f"(?:{spec.member})$") if spec.member else None
     for m in re.finditer(spec.identifier, plain):
@@ -360,7 +366,7 @@ _JS_SCOPES = [
 ]
 _JS_DEFINITIONS = [
     r"\b(?:const|let|var)\s+([\w$]+)", r"\b(?:const|let|var)\s+[{\[]([^}\]=]*)[}\]]\s*=", r"\bfunction\b\s*\*?\s*([\w$]+)?\s*(?:<[^>(]*>)?\(([^)]*)\)", r"\bclass\s+([\w$]+)", r"\(([^()]*)\)\s*(?::\s*[\w$<>\[\]| ]+)?=>",
-    r"([\w$]+)\s*=>", r"\bcatch\s*\(([\w$]+)", r"(?<![\w$.=!<>+\-*/%&|^])([\w$]+)\s*=(?![=>])", r"^[ \t]+(?:(?:static|async|get|set)\s+)*(#?[\w$]+)\s*\(([^;{}=()]*)\)\s*\{",
+    r"([\w$]+)\s*=>", r"\bcatch\s*\(([\w$]+)", r"(?<![\w$.=!<>+\-*/%&|^])([\w$]+)\s*=(?![=>])", r"^[ \t]+(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*(#?[\w$]+)\s*\(([^;{}=()]*)\)\s*(?::[^;{}=()]+)?\{",
 ]
 _JAVA_WORDS = (
     "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public "
@@ -375,18 +381,20 @@ SPECS: dict[str, Spec] = {
     "java": Spec(
         _C_COMMENTS,
         [*[(k, rf"(?P<at>(?:\b(?:public|private|protected|static|final|abstract|sealed)\s+)*)\b{k}\s+(?P<name>\w+)[^{{;]*") for k in ("class", "interface", "enum")],
-         ("method", r"^[ \t]*(?P<at>(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)*(?:<[^>]+>\s*)?(?!(?:new|return|else|throw|public|private|protected|static|final|abstract|synchronized|default|native)\b)[\w<>\[\],.? ]+?\s+)(?P<name>\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?(?=\{)"),
+         ("method", r"^[ \t]*(?P<at>(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)*(?:<[^>]+>\s*)?(?=\S)(?!(?:new|return|else|throw|public|private|protected|static|final|abstract|synchronized|default|native)\b)[\w<>\[\],.? ]+?\s+)(?P<name>\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?(?=\{)"),
          ("constructor", r"^[ \t]*(?P<at>(?:(?:public|private|protected)\s+)?)(?P<name>[A-Z]\w*)\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?(?=\{)"),
          ("lambda", r"(?P<at>(?:\([^()]*\)|\b\w+)\s*)->")],
         _java_imports,
-        [r"\b(?:class|interface|enum|record)\s+(\w+)", r"\b[\w<>\[\]]+\s+(\w+)\s*(?==[^=]|;|:(?!:))", r"\b\w+\s*\(((?:[\w<>\[\]., ]+\s+\w+\s*,?\s*)*)\)\s*(?:throws[\w., ]+)?\{", r"\b(\w+)\s*->", r"\(([\w ,]*)\)\s*->"],
+        [r"\b(?:class|interface|enum|record)\s+(\w+)", r"(?<![.\w])(?<!new )(\w+)\s*\([^;{}()]*\)\s*(?:throws[\w., ]+)?\{", r"\b[\w<>\[\]]+\s+(\w+)\s*(?==[^=]|;|:(?!:))", r"\b\w+\s*\(((?:[\w<>\[\]., ]+\s+\w+\s*,?\s*)*)\)\s*(?:throws[\w., ]+)?\{", r"\b(\w+)\s*->", r"\(([\w ,]*)\)\s*->"],
         keywords=_JAVA_WORDS, member=r"\.\s*|::\s*",
+        types=(r"\bnew\s+([\w.<>]+)", r"\b([A-Z]\w*(?:<[^<>;(){}]*>)?)(?:\[\])*\s+\w+\s*(?=[=;,):])", r"\b(?:extends|implements|throws|instanceof|permits)\s+([\w.<>, ]+)", r"\(([A-Z]\w*)\)\s*[\w(]", r"@(\w+)"),
     ),
     "go": Spec(
         _C_COMMENTS,
         [("method", r"^(?P<at>func)\s*\([^)]*\)\s*(?P<name>\w+)\s*(?:\[[^\]]*\])?\([^{]*(?=\{)"), ("function", r"^(?P<at>func)\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?\([^{]*(?=\{)"), ("function", r"(?<=[^\n])(?P<at>\bfunc)\s*\([^{]*(?=\{)")],
         _go_imports,
         [r"([\w, ]+?)\s*:=", r"\b(?:var|const)\s+(\w+)", r"\bfunc\s*(?:\((\w+)[^)]*\)\s*)?(\w+)?", r"\btype\s+(\w+)", r"\bfunc\b[^(]*(?:\([^)]*\)\s*\w+)?\(([^)]*)\)"],
+        types=(r"\bfunc\s*\(\s*\w+\s+([^)]*)\)", r"\bvar\s+\w+\s+([\w.*\[\]]+)", r"(?<![\w.])([A-Z]\w*)\{", r"^package\s+(\w+)", r"\)\s*([\w.*\[\]]+)\s*\{", r"\btype\s+\w+\s+([\w.*\[\]]+)"),
         keywords="break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var", strings=r'"(?:\\.|[^"\\\n])*"|`[^`]*`|\'(?:\\.|[^\'\\\n])*\'',
     ),
     "php": Spec(
@@ -395,6 +403,7 @@ SPECS: dict[str, Spec] = {
          ("method", r"(?P<at>\b(?:(?:public|private|protected|static|final|abstract)\s+)+)function\s+&?(?P<name>\w+)\s*\([^{;]*(?=\{)"), ("function", r"^[ \t]*(?P<at>function)\s+&?(?P<name>\w+)\s*\([^{;]*(?=\{)"),
          ("closure", r"(?P<at>(?:static\s+)?\bfunction)\s*\([^{;]*(?=\{)"), ("arrow_function", r"(?P<at>\bfn)\s*\([^)]*\)\s*(?::\s*\??\w+\s*)?=>")],
         _php_imports, [r"\b(?:class|trait|interface|enum)\s+(\w+)", r"\bfunction\s+&?(\w+)"], identifier=r"[A-Za-z_]\w*", member=r"->\s*|\?->\s*|::\s*|\$",
+        types=(r"\b(?:extends|implements)\s+([\w\\, ]+)", r"[(,]\s*(?:(?:public|private|protected|readonly)\s+)*\??([\w\\|&]+)\s+[&.]*\$", r"\)\s*:\s*\??([\w\\|&]+)", r"\b(?:public|private|protected|static|readonly)\s+\??([A-Z][\w\\|]*)\s+\$"),
         keywords="abstract and array as break callable case catch class clone const continue declare default do echo else elseif empty enddeclare endfor endforeach endif endswitch endwhile enum extends final finally fn for foreach function global goto if implements include include_once instanceof insteadof interface isset list match namespace new or print private protected public readonly require require_once return static switch throw trait try unset use var while xor yield int string bool float void mixed php",
     ),
     "ruby": Spec(

@@ -14,6 +14,7 @@ from patchloom import constants as C
 from patchloom.functions import text as X
 from patchloom.operators import baseline as B
 from patchloom.operators import components, diffs, filters, findings, prompts, regions, review, symbols
+from patchloom.plans import code_catalog, review_catalog
 from patchloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +33,11 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | code_catalog.queries() | review_catalog.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | code_catalog.oracle_sql() | review_catalog.oracle_sql()
 
 
 # --- derived rows, in expressions that both engines read alike ---------------------------------------------------------------------
