@@ -140,7 +140,7 @@ def q_region_text(spark: SparkSession, d: str) -> DataFrame:
 # --- generated files, broken files, built-in names -----------------------------------------------------------------------------------
 
 _GENERATED = [
-    ("a/generated/X__ID__.java", "class X {}", True), ("a/X__ID__.java", "// Generated by the protocol buffer compiler. DO NOT EDIT!", True), ("a/X__ID__.java", "class X {}", False), ("app/x__ID__.php", "<?php // plain", False),
+    ("a/generated/X__ID__.java", "class X {}", True), ("a/X__ID__.java", '@Generated("tool")', True), ("a/X__ID__.java", "class X {}", False), ("app/x__ID__.php", "<?php // plain", False),
     ("x__ID__.go", "// Code generated by tool. DO NOT EDIT.", True), ("x__ID__.go", "package x", False), ("mock_x__ID__.go", "package x", True), ("a/migrations/0001__ID__.py", "# Generated by Django 4.2", True), ("a/0001__ID__.py", "# Django 4.2", False), ("db/schema.rb", "x", True), ("storage/framework/views/v__ID__.php", "x", True),
 ]
 
