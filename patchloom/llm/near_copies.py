@@ -36,7 +36,7 @@ SHINGLE, SIMILAR, SEED = 5, (4, 5), 7
 FIRST, BOTH = 22, 36
 RECALL, CROWD, BLOCKS_AT_MOST = 0.999, 512, 192
 #: Members of a chunk of a block, shingles in a chunk of a component, and guests in each chunk.
-BUCKET, FILL, GUESTS = 1024, 1 << 18, 8
+BUCKET, FILL, GUESTS = 4096, 1 << 18, 8
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(0, 1 << 63, (1, BITS // 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SECOND = np.uint64(0x9E3779B97F4A7C15)
@@ -72,6 +72,20 @@ def _identity(members: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(members.tobytes(), SEED) if len(members) else 0
 
 
+def _nodes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for the first 128 bits of fingerprints: what the graph of candidates is made of."""
+    x = a.view(np.uint64) * _SECOND
+    x = (x ^ (x >> np.uint64(32)) ^ b.view(np.uint64)) * _FACTORS[0, 0]
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def _words(fps: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(packed signs, first and second 64 bits as signed longs) of fingerprints."""
+    raw = np.frombuffer(b"".join(fps), dtype=np.uint8).reshape(-1, BITS // 8)
+    words = np.ascontiguousarray(raw[:, :16]).view(np.int64)
+    return raw, np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1])
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -79,23 +93,39 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             members = shingle_set(t.as_py())
             rows.append((_identity(members), len(members), np.packbits(wide_fingerprint(members)).tobytes()))
         same = np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same), pa.array([r[1] for r in rows], type=pa.int64()), pa.array([r[2] for r in rows], type=pa.binary())], ["doc_id", "same", "n", "fp"])
+        node = _nodes(*_words([r[2] for r in rows])[1:])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same), pa.array([r[1] for r in rows], type=pa.int64()), pa.array([r[2] for r in rows], type=pa.binary()), pa.array(node)], ["doc_id", "same", "n", "fp", "node"])
 
 
 def _blocked(bits: int, blocks: int):
+    """Fingerprints to one row for each block's value in a batch: the first 128 bits of all that have it, one after the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
-            words = np.ascontiguousarray(raw[:, :16]).view(np.int64)
-            groups = sign_blocks.groups(raw, bits, blocks)
-            each = lambda x: pa.array(np.repeat(x, blocks))
-            yield pa.RecordBatch.from_arrays([pa.array(groups.ravel()), each(batch.column("rep").to_numpy()), each(words[:, 0]), each(words[:, 1])], ["g", "rep", "a", "b"])
+            raw, a, b = _words(batch.column("fp").to_pylist())
+            groups = sign_blocks.groups(raw, bits, blocks).ravel()
+            order = np.argsort(groups, kind="stable")
+            groups, who = groups[order], order // blocks
+            starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+            held = np.stack([a[who], b[who]], axis=1)
+            offsets = pa.py_buffer(np.append(starts * 16, len(groups) * 16).astype(np.int32))
+            members = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(held)])
+            yield pa.RecordBatch.from_arrays([pa.array(groups[starts]), pa.array(np.diff(np.append(starts, len(groups)))), members], ["g", "load", "held"])
 
     return run
 
 
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a block's value to one row for each fingerprint."""
+    for batch in batches:
+        held = np.frombuffer(b"".join(batch.column("held").to_pylist()), dtype=np.int64).reshape(-1, 2)
+        a, b = np.ascontiguousarray(held[:, 0]), np.ascontiguousarray(held[:, 1])
+        groups = np.repeat(batch.column("g").to_numpy(), batch.column("load").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array(_nodes(a, b)), pa.array(a), pa.array(b)], ["g", "rep", "a", "b"])
+
+
 def reached(sets: list[np.ndarray]) -> np.ndarray:
     """For each of some non-empty sets, one set of its component, the same for all of them; links are those of all pairs that are similar."""
     label = np.arange(len(sets))
@@ -133,18 +163,42 @@ def _rooted(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _close(cols: dict, a: int, b: int) -> np.ndarray:
-    """The least row of a group of fingerprints, rows a to b, that each of its rows reaches within the Hamming bounds."""
-    x, y = (cols[w][a:b].view(np.uint64) for w in ("a", "b"))
-    found = []
-    for i in range(0, b - a, 256):
+def close_labels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least row that each fingerprint (first and second 64 bits, unsigned) reaches by pairs within the Hamming bounds."""
+    label = np.arange(len(x))
+    for i in range(0, len(x), 256):  # of each strip of pairs only what it joins is kept
         bits = np.bitwise_count(x[i : i + 256, None] ^ x[None, i:])
         p, q = np.nonzero(bits <= FIRST)
-        keep_ = p < q
-        p, q = p[keep_], q[keep_]
+        later = p < q
+        p, q = p[later], q[later]
         near = bits[p, q] + np.bitwise_count(y[i + p] ^ y[i + q]) <= BOTH
-        found.append((i + p[near], i + q[near]))
-    return _rooted(b - a, *[np.concatenate(z) for z in zip(*found, strict=True)])
+        if near.any():
+            own = np.flatnonzero(label != np.arange(len(x)))
+            label = _rooted(len(x), np.concatenate([own, i + p[near]]), np.concatenate([label[own], i + q[near]]))
+    return label
+
+
+def _close(cols: dict, a: int, b: int) -> np.ndarray:
+    return close_labels(*[cols[w][a:b].view(np.uint64) for w in ("a", "b")])
+
+
+def _close_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole blocks' values to (src, dst): a spanning star of what is close in each."""
+    for cols, starts in whole_groups(batches, ("g",)):
+        src, dst = [], []
+        counts = np.add.reduceat(cols["load"], starts[:-1])
+        for s in np.flatnonzero(counts > 1):
+            held = np.frombuffer(b"".join(cols["held"].slice(int(starts[s]), int(starts[s + 1] - starts[s])).to_pylist()), dtype=np.int64).reshape(-1, 2)
+            held = np.unique(held, axis=0)
+            a, b = np.ascontiguousarray(held[:, 0]), np.ascontiguousarray(held[:, 1])
+            label = close_labels(a.view(np.uint64), b.view(np.uint64))
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            if len(moved):
+                nodes = _nodes(a, b)
+                src.append(nodes[moved])
+                dst.append(nodes[label[moved]])
+        if src:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
 
 
 def _alike(cols: dict, a: int, b: int) -> np.ndarray:
@@ -216,11 +270,19 @@ def _dealt(rows: DataFrame, label_of: Callable, rows_at_once: int) -> DataFrame:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(rep, fp, n), one row per distinct set, to (node, component): components of fingerprints that share a block and keep the Hamming bounds."""
-    wide = reps.where("n > 0").select("rep", "fp")
+    """(fp, n), one row per distinct set, to (node, component): components of fingerprints that share a block and keep the Hamming bounds."""
+    wide = keep(reps.where("n > 0").select("fp").distinct(), "fingerprints")
     bits, blocks = blocks_for(wide.count())
-    rows = map_arrow(wide, _blocked(bits, blocks), "g long, rep long, a long, b long", 2048).withColumn("load", F.lit(1).cast("long"))
-    return joined(rows, BUCKET, lambda r: _dealt(r.select("g", "i", "j", "rep", "a", "b"), _close, 8192))
+    rows = map_arrow(wide, _blocked(bits, blocks), "g long, load long, held binary", 8192)
+    total = rows.groupBy("g").agg(F.sum("load").alias("total")).where(F.col("total") > BUCKET)
+    large = keep(total.select("g"), "large")
+    if large.isEmpty():
+        return connected_components(map_arrow(rows.repartition("g").sortWithinPartitions("g"), _close_held, "src long, dst long", 8192))
+    small = rows.join(large, "g", "left_anti").repartition("g").sortWithinPartitions("g")
+    found = keep(map_arrow(small, _close_held, "src long, dst long", 8192), "close")
+    members = map_arrow(rows.join(large, "g", "left_semi"), _opened, "g long, rep long, a long, b long", 2048).withColumn("load", F.lit(1).cast("long"))
+    more = joined(members.dropDuplicates(["g", "rep"]), BUCKET, lambda r: _dealt(r.select("g", "i", "j", "rep", "a", "b"), _close, 8192))
+    return connected_components(found.unionByName(more.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,10 +293,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(same, doc_id, n, fp), one row per distinct set, to (node, component) over same: components of all pairs of sets that are similar, found among candidates and counted exactly."""
-    parts = candidates(reps.select(F.col("same").alias("rep"), "n", "fp"))
-    groups = parts.select(F.col("component").alias("g"), F.col("node").alias("rep"))
-    groups = keep(groups.unionByName(groups.select("g", F.col("g").alias("rep")).distinct()), "groups")
+    """(same, doc_id, n, fp, node), one row per distinct set, to (node, component) over same: components of all pairs of sets that are similar, found among candidates and counted exactly."""
+    parts = candidates(reps)
+    own = reps.where("n > 0").select("same", "node").join(parts, "node", "left").select(F.coalesce("component", "node").alias("g"), F.col("same").alias("rep"))
+    groups = keep(own.join(own.groupBy("g").count().where("count > 1").select("g"), "g"), "groups")
     ids = reps.join(groups, reps["same"] == groups["rep"], "left_semi").select("doc_id")
     sets = map_arrow(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), _sets, "rep long, load long, members binary")
     sets = keep(sets.join(groups, "rep").dropDuplicates(["rep"]).select("g", "rep", "load", "members"), "sets")
@@ -243,11 +305,12 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id): the smallest doc_id reachable by links of similarity SIMILAR or more. Texts without words are alike; rows with a null doc_id are left out."""
-    sketches = keep(map_arrow(docs.select("doc_id", "text"), _sketches, "doc_id long, same long, n long, fp binary").where("doc_id is not null"), "sketches")
-    reps = sketches.groupBy("same").agg(F.min(F.struct("doc_id", "n", "fp")).alias("r"))
-    reps = keep(reps.select("same", "r.doc_id", "r.n", "r.fp"), "reps")
+    sketches = keep(map_arrow(docs.select("doc_id", "text"), _sketches, "doc_id long, same long, n long, fp binary, node long").where("doc_id is not null"), "sketches")
+    reps = sketches.groupBy("same").agg(F.min(F.struct("doc_id", "n", "fp", "node")).alias("r"))
+    reps = keep(reps.select("same", "r.doc_id", "r.n", "r.fp", "r.node"), "reps")
     parts = links(docs, reps)
-    reps = reps.join(parts, reps["same"] == parts["node"], "left").select("same", "doc_id", F.coalesce("component", "same").alias("c"))
+    parts = parts.withColumnRenamed("node", "same")
+    reps = reps.join(parts, "same", "left").select("same", "doc_id", F.coalesce("component", "same").alias("c"))
     least = reps.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     reps = reps.join(least, "c").select("same", "component_id")
     return sketches.select("doc_id", "same").join(reps, "same").select("doc_id", "component_id")

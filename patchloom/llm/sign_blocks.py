@@ -43,5 +43,8 @@ def places(bits: int, blocks: int) -> np.ndarray:
 
 def groups(packed: np.ndarray, bits: int, blocks: int) -> np.ndarray:
     """(n, BITS / 8) packed signs to (n, blocks) numbers that say which block it is and what it holds."""
-    ones = np.unpackbits(packed, axis=1)[:, places(bits, blocks).ravel()].reshape(len(packed), blocks, bits)
-    return ones.astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(blocks, dtype=np.int64) << bits)
+    ones, power = np.unpackbits(packed, axis=1), 1 << np.arange(bits, dtype=np.int64)
+    out = np.empty((len(packed), blocks), dtype=np.int64)
+    for t, at in enumerate(places(bits, blocks)):  # one by one, as all bits of all blocks would be large
+        out[:, t] = ones[:, at] @ power + (t << bits)
+    return out
