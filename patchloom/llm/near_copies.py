@@ -35,6 +35,8 @@ SHINGLE, SIMILAR, SEED = 5, (4, 5), 7
 #: Bounds on differing bits in the first 64 and the first 128 of a fingerprint.
 FIRST, BOTH = 22, 36
 RECALL, CROWD, BLOCKS_AT_MOST = 0.999, 512, 192
+#: Bits of the map of ids that texts are tested against.
+ID_BITS = 1 << 26
 #: Members of a chunk of a block, shingles in a chunk of a component, and guests in each chunk.
 BUCKET, FILL, GUESTS = 4096, 1 << 18, 8
 _RNG = np.random.default_rng(SEED)
@@ -98,32 +100,22 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocked(bits: int, blocks: int):
-    """Fingerprints to one row for each block's value in a batch: the first 128 bits of all that have it, one after the other."""
+    """Fingerprints to one row for each of their blocks: what the block is and holds, and the first 128 bits of the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw, a, b = _words(batch.column("fp").to_pylist())
-            groups = sign_blocks.groups(raw, bits, blocks).ravel()
-            order = np.argsort(groups, kind="stable")
-            groups, who = groups[order], order // blocks
-            starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-            held = np.stack([a[who], b[who]], axis=1)
-            offsets = pa.py_buffer(np.append(starts * 16, len(groups) * 16).astype(np.int32))
-            members = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(held)])
-            yield pa.RecordBatch.from_arrays([pa.array(groups[starts]), pa.array(np.diff(np.append(starts, len(groups)))), members], ["g", "load", "held"])
+            if batch.num_rows:
+                raw, a, b = _words(batch.column("fp").to_pylist())
+                groups = sign_blocks.groups(raw, bits, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(groups.ravel()), pa.array(np.repeat(a, blocks)), pa.array(np.repeat(b, blocks))], ["g", "a", "b"])
 
     return run
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a block's value to one row for each fingerprint."""
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        held = np.frombuffer(b"".join(batch.column("held").to_pylist()), dtype=np.int64).reshape(-1, 2)
-        a, b = np.ascontiguousarray(held[:, 0]), np.ascontiguousarray(held[:, 1])
-        groups = np.repeat(batch.column("g").to_numpy(), batch.column("load").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array(_nodes(a, b)), pa.array(a), pa.array(b)], ["g", "rep", "a", "b"])
+        rep = _nodes(batch.column("a").to_numpy(), batch.column("b").to_numpy())
+        yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array(rep), batch.column("a"), batch.column("b")], ["g", "rep", "a", "b"])
 
 
 def reached(sets: list[np.ndarray]) -> np.ndarray:
@@ -182,22 +174,18 @@ def _close(cols: dict, a: int, b: int) -> np.ndarray:
     return close_labels(*[cols[w][a:b].view(np.uint64) for w in ("a", "b")])
 
 
-def _close_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _close_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole blocks' values to (src, dst): a spanning star of what is close in each."""
     for cols, starts in whole_groups(batches, ("g",)):
         src, dst = [], []
-        counts = np.add.reduceat(cols["load"], starts[:-1])
-        for s in np.flatnonzero(counts > 1):
-            held = np.frombuffer(b"".join(cols["held"].slice(int(starts[s]), int(starts[s + 1] - starts[s])).to_pylist()), dtype=np.int64).reshape(-1, 2)
-            held = np.unique(held, axis=0)
-            a, b = np.ascontiguousarray(held[:, 0]), np.ascontiguousarray(held[:, 1])
-            label = close_labels(a.view(np.uint64), b.view(np.uint64))
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            if len(moved):
-                nodes = _nodes(a, b)
-                src.append(nodes[moved])
-                dst.append(nodes[label[moved]])
-        if src:
+        nodes = _nodes(cols["a"], cols["b"])
+        for s in np.flatnonzero(np.diff(starts) > 1):
+            a, b = int(starts[s]), int(starts[s + 1])
+            label = _close(cols, a, b)
+            moved = np.flatnonzero(label != np.arange(b - a))
+            src.append(nodes[a:b][moved])
+            dst.append(nodes[a:b][label[moved]])
+        if src and any(map(len, src)):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
 
 
@@ -273,18 +261,32 @@ def candidates(reps: DataFrame) -> DataFrame:
     """(fp, n), one row per distinct set, to (node, component): components of fingerprints that share a block and keep the Hamming bounds."""
     wide = keep(reps.where("n > 0").select("fp").distinct(), "fingerprints")
     bits, blocks = blocks_for(wide.count())
-    rows = map_arrow(wide, _blocked(bits, blocks), "g long, load long, held binary", 8192)
-    total = rows.groupBy("g").agg(F.sum("load").alias("total")).where(F.col("total") > BUCKET)
-    large = keep(total.select("g"), "large")
-    if large.isEmpty():
-        return connected_components(map_arrow(rows.repartition("g").sortWithinPartitions("g"), _close_held, "src long, dst long", 8192))
-    small = rows.join(large, "g", "left_anti").repartition("g").sortWithinPartitions("g")
-    found = keep(map_arrow(small, _close_held, "src long, dst long", 8192), "close")
-    members = map_arrow(rows.join(large, "g", "left_semi"), _opened, "g long, rep long, a long, b long", 2048).withColumn("load", F.lit(1).cast("long"))
+    rows = map_arrow(wide, _blocked(bits, blocks), "g long, a long, b long", 2048)
+    large = keep(rows.groupBy("g").count().where(F.col("count") > BUCKET).select("g"), "large")
+    none = large.isEmpty()
+    small = (rows if none else rows.join(large, "g", "left_anti")).repartition("g").sortWithinPartitions("g")
+    found = map_arrow(small, _close_in_blocks, "src long, dst long", 8192)
+    if none:
+        return connected_components(found)
+    found = keep(found, "close")
+    members = map_arrow(rows.join(large, "g", "left_semi"), _numbered, "g long, rep long, a long, b long", 8192).withColumn("load", F.lit(1).cast("long"))
     more = joined(members.dropDuplicates(["g", "rep"]), BUCKET, lambda r: _dealt(r.select("g", "i", "j", "rep", "a", "b"), _close, 8192))
     return connected_components(found.unionByName(more.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
 
 
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id may be among ``ids`` (doc_id): all that are, and a few others.
+
+    A bitmap of ID_BITS hashed ids, 8 MB whatever the tables, goes to all executors, so no text moves to be tested.
+    """
+    page, hashed = 1 << 15, F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    place = F.struct(F.floor(hashed / page).cast("int").alias("page"), (hashed % page).cast("int").alias("bit"))
+    pages = keep(ids.select(place.alias("p")).groupBy("p.page").agg(F.bitmap_construct_agg("p.bit").alias("bits")), "bitmap")  # ID_BITS / page rows at most
+    bit = F.expr("shiftright(cast(conv(hex(substring(bits, p.bit div 8 + 1, 1)), 16, 10) AS int), p.bit % 8) & 1 = 1")
+    near = docs.withColumn("p", place).withColumn("page", F.col("p.page")).join(F.broadcast(pages), "page")
+    return near.where(bit).select(*docs.columns)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t.as_py()) for t in batch.column("text")]
@@ -298,7 +300,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     own = reps.where("n > 0").select("same", "node").join(parts, "node", "left").select(F.coalesce("component", "node").alias("g"), F.col("same").alias("rep"))
     groups = keep(own.join(own.groupBy("g").count().where("count > 1").select("g"), "g"), "groups")
     ids = reps.join(groups, reps["same"] == groups["rep"], "left_semi").select("doc_id")
-    sets = map_arrow(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), _sets, "rep long, load long, members binary")
+    sets = map_arrow(among(docs.select("doc_id", "text"), ids), _sets, "rep long, load long, members binary")
     sets = keep(sets.join(groups, "rep").dropDuplicates(["rep"]).select("g", "rep", "load", "members"), "sets")
     return joined(sets, FILL, lambda r: _dealt(r.select("g", "i", "j", "rep", "members"), _alike, 256))
 

@@ -113,3 +113,10 @@ def test_odd_tables(spark):
     out = near_copies.one_of_each_group(spark.createDataFrame(rows, schema))
     assert out.columns == ["doc_id", "text", "same", "component_id"]
     assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 0, 1, 4, 7]
+
+
+def test_bitmap_of_ids_keeps_all_of_them(spark):
+    docs = spark.range(20_000).selectExpr("id - 5000 AS doc_id", "cast(id AS string) AS text")
+    ids = docs.where("doc_id % 7 = 0").select("doc_id").limit(2500)
+    got = near_copies.among(docs, ids)
+    assert got.columns == docs.columns and ids.exceptAll(got.select("doc_id")).isEmpty() and got.count() <= ids.count() + 20
