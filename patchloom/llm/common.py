@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -15,7 +16,8 @@ from patchloom.shipping import ship
 __all__ = ["ARROW_ROWS", "keep", "load", "map_arrow", "new_path", "remove", "shared_dir", "ship", "star_edges", "whole_groups", "write_bytes"]
 
 #: Rows and bytes that a function gets at once. Texts can be long, and what Python makes of them needs more memory than their Arrow batch.
-ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +26,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
-    """``mapInArrow`` over slices of at most ``rows`` rows and about ARROW_BYTES; the session's own settings stay as they are."""
+    """``mapInArrow`` over slices of at most ``rows`` rows and about ARROW_BYTES.
+
+    The session's bound on the bytes of an Arrow batch is lowered to ARROW_BYTES where it is higher, always to the same value, so frames
+    that run later keep it; no other setting is touched.
+    """
+    conf = df.sparkSession.conf
+    if int(re.sub("[^0-9].*", "", conf.get(_BATCH_BYTES)) or 0) > ARROW_BYTES:
+        conf.set(_BATCH_BYTES, str(ARROW_BYTES))
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -299,12 +299,15 @@ def build(docs: DataFrame, path: str, words: int = WORDS) -> bytes:
 def distribute(spark: SparkSession, compiled: bytes) -> str:
     """Hand the file to Spark by way of the shared folder; it brings it to every machine, later ones too. Returns its name there."""
     name = f"lexicon-{hashlib.sha256(compiled).hexdigest()[:24]}.bin"
-    at = f"{new_path(spark, 'lexicon')}/{name}"
-    write_bytes(spark, at, compiled)
-    spark.sparkContext.addFile(at)
+    if (spark.sparkContext.applicationId, name) not in _GIVEN:  # Spark takes a name once
+        at = f"{new_path(spark, 'lexicon')}/{name}"
+        write_bytes(spark, at, compiled)
+        spark.sparkContext.addFile(at)
+        _GIVEN.add((spark.sparkContext.applicationId, name))
     return name
 
 
+_GIVEN: set[tuple[str, str]] = set()
 _OPEN: dict[tuple[str, str], LexiconEncoder] = {}
 
 

@@ -250,3 +250,8 @@ def test_merges_of_long_words_are_exact_and_fast():
 def test_empty_table_of_documents(spark):
     frame = spark.createDataFrame([], "doc_id long, text string, n_tokens string")
     assert lexicon.encode_documents(frame).count() == 0
+
+
+def test_encoding_the_same_documents_twice(spark):
+    frame = spark.createDataFrame([(1, "some words, some more words"), (2, "some words")], "doc_id long, text string")
+    assert sorted(lexicon.encode_documents(frame).collect()) == sorted(lexicon.encode_documents(frame).collect())
