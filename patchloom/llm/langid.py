@@ -31,7 +31,7 @@ SAMPLE_TOTAL, EACH_AT_LEAST = 8_000, 40
 LANGUAGES = 10_000
 EPOCHS, RATE, SEED = 6, 0.5, 7
 #: The shares of rightly recognised rows that may fall under the rejection bound, and of texts in no language that may reach it.
-REJECT_SHARE, FOREIGN = 0.001, 0.01
+REJECT_SHARE, FOREIGN = 0.001, 0.1
 UNDECIDED = "und"
 
 
