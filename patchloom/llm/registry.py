@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patchloom.llm.embedding_dedup import OP8_SQL, op8_embedding_dedup
+from patchloom.llm.interval_join import OP12_SQL, op12_interval_join
 from patchloom.llm.langid import op7_langid
 from patchloom.llm.lexicon import op5_bpe
 from patchloom.llm.licences import op10_licences
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_topk": op9_topk,
         "op10_licences": op10_licences,
+        "op12_interval_join": op12_interval_join,
         "pipeline": pipeline,
     }
 
@@ -42,4 +44,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preferences": OP3_SQL, "op8_embedding_dedup": OP8_SQL, "op9_topk": OP9_SQL}
+    return {"op3_preferences": OP3_SQL, "op8_embedding_dedup": OP8_SQL, "op9_topk": OP9_SQL, "op12_interval_join": OP12_SQL}
