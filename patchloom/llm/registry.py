@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from patchloom.llm.embedding_dedup import OP8_SQL, op8_embedding_dedup
+from patchloom.llm.filter_audit import OP13_SQL, op13_filter_audit
 from patchloom.llm.interval_join import OP12_SQL, op12_interval_join
 from patchloom.llm.langid import op7_langid
 from patchloom.llm.lexicon import op5_bpe
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_topk": op9_topk,
         "op10_licences": op10_licences,
         "op12_interval_join": op12_interval_join,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
     }
 
@@ -44,4 +46,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_preferences": OP3_SQL, "op8_embedding_dedup": OP8_SQL, "op9_topk": OP9_SQL, "op12_interval_join": OP12_SQL}
+    return {"op3_preferences": OP3_SQL, "op8_embedding_dedup": OP8_SQL, "op9_topk": OP9_SQL, "op12_interval_join": OP12_SQL, "op13_filter_audit": OP13_SQL}
