@@ -12,6 +12,7 @@ from patchloom.llm.interval_join import OP12_SQL, op12_interval_join
 from patchloom.llm.langid import op7_langid
 from patchloom.llm.lexicon import op5_bpe
 from patchloom.llm.licences import op10_licences
+from patchloom.llm.lm_scores import op11_lm_scores
 from patchloom.llm.packing import op6_packing
 from patchloom.llm.pii import op4_pii
 from patchloom.llm.preferences import OP3_SQL, op3_preferences
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_topk": op9_topk,
         "op10_licences": op10_licences,
+        "op11_lm_scores": op11_lm_scores,
         "op12_interval_join": op12_interval_join,
         "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
