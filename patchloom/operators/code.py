@@ -163,9 +163,8 @@ def php_namespace_files(imports_: DataFrame, psr4: dict[str, str], files: DataFr
     return symbols.first_existing(imports_, F.array_compact(F.array(*tail, *usual)), files, ["file_id", "module"])
 
 
-def framework_files(wanted: DataFrame, framework: str, files: DataFrame) -> DataFrame:
-    """(file_id, symbol, path): a class without an import in the folders that a framework loads by itself: rails, laravel or phoenix."""
-    name = F.col("symbol")
+def framework_candidates(framework: str, name: Column) -> Column:
+    """The paths at which a framework (rails, laravel or phoenix) loads a class by itself."""
     if framework == "rails":
         paths = [F.concat(F.lit(f"{d}/"), snake_case(name), F.lit(".rb")) for d in RAILS_FOLDERS]
     elif framework == "laravel":
@@ -177,7 +176,12 @@ def framework_files(wanted: DataFrame, framework: str, files: DataFrame) -> Data
         kinds = (("Controller", "controllers"), ("Live", "live"), ("Components", "components"), ("Component", "components"), ("View", "views"), ("Channel", "channels"))
         paths = [F.when(F.endswith(first, F.lit(end)), F.concat(F.lit("lib/"), web, F.lit(f"/{d}/"), rest, F.lit(".ex"))) for end, d in kinds]
         paths = [F.when(F.endswith(F.get(F.split(name, r"\."), F.lit(0)), F.lit("Web")), p) for p in [*paths, F.concat(F.lit("lib/"), web, F.lit("/"), rest, F.lit(".ex"))]]
-    return symbols.first_existing(wanted, F.array_compact(F.array(*paths)), files, ["file_id", "symbol"])
+    return F.array_compact(F.array(*paths))
+
+
+def framework_files(wanted: DataFrame, framework: str, files: DataFrame) -> DataFrame:
+    """(file_id, symbol, path): a class without an import in the folders that a framework loads by itself: rails, laravel or phoenix."""
+    return symbols.first_existing(wanted, framework_candidates(framework, F.col("symbol")), files, ["file_id", "symbol"])
 
 
 def is_first_party(language: Column, module: Column, is_relative: Column, exists: Column, project: Column, patterns: tuple[str, ...] = C.VENDOR_PATTERNS) -> Column:
@@ -198,7 +202,7 @@ def is_first_party(language: Column, module: Column, is_relative: Column, exists
         platform = platform | F.startswith(module, F.lit(p))
     java = ~platform & (F.startswith(module, F.concat(package, F.lit("."))) | exists)
     go = F.contains(module, F.lit(".")) & ~vendored & ((module == package) | F.startswith(module, F.concat(package, F.lit("/"))))
-    ruby = ~module.isin(*code_names.RUBY_MODULES.split()) & ~vendored & ~F.array_contains(deps, module) & exists
+    ruby = ~module.isin(*code_names.RUBY_MODULES) & ~vendored & ~F.array_contains(deps, module) & exists
     php = ~vendored & F.exists(spaces, lambda s: F.startswith(module, s))
     own = camel_case(package)
     elixir = ~F.startswith(module, F.lit(":")) & ~module.isin(*sorted(code_names.names("elixir"))) & ~vendored & ~F.exists(deps, lambda d: camel_case(d) == head)

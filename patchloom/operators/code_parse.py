@@ -1,48 +1,28 @@
-"""Scopes, imports and names of source files, one file at a time: Python by its own parser, other languages by a light lexer.
+"""Scopes, imports and names of source files, one file at a time: Python by its own parser, other languages from their tokens.
 
-The lexer blanks strings and comments and then works on marks of structure (braces, ``end``), so it knows declarations as they are
-usually written; it is no full grammar. Lines count from 1.
+The readers of tokens know declarations, types and names; what they don't know they pass over, so they are no full grammars. Lines count from 1.
 """
 
 from __future__ import annotations
 
 import ast
-import bisect
-import re
-from dataclasses import dataclass, field
 
-Scope = tuple[str, str, int, int, int]  # type, name, first line, last line, depth
+from patchloom.operators.code_blocks import Elixir, Ruby
+from patchloom.operators.code_braces import Go, Java, Php, Script
+from patchloom.operators.code_lex import tokens
+from patchloom.operators.code_tree import Import, Parsed, Scope
 
+__all__ = ["READERS", "Import", "Parsed", "Scope", "parse"]
 
-@dataclass
-class Import:
-    """One import: ``names`` is None where a whole module is meant."""
-
-    module: str
-    names: list[str] | None = None
-    alias: str | None = None
-    name_aliases: list[tuple[str, str]] = field(default_factory=list)
-    is_star: bool = False
-    is_relative: bool = False
-    level: int = 0
-
-
-@dataclass
-class Parsed:
-    """What a file holds. Symbols are (line, name, role), role being use or definition."""
-
-    scopes: list[Scope] = field(default_factory=list)
-    imports: list[Import] = field(default_factory=list)
-    symbols: list[tuple[int, str, str]] = field(default_factory=list)
-    top_level: list[tuple[str, int, int]] = field(default_factory=list)
+READERS = {"javascript": lambda t: Script(t, False), "typescript": lambda t: Script(t, True), "java": Java, "go": Go, "php": Php, "ruby": Ruby, "elixir": Elixir}
 
 
 def parse(language: str, text: str) -> Parsed:
-    """Parse a file; a language without a parser, or text that is badly broken, gives nothing."""
+    """Parse a file; a language without a parser gives nothing, and of text that is broken in places the rest is read."""
     if language == "python":
         return _python(text)
-    spec = SPECS.get(language)
-    return _lexed(spec, text) if spec else Parsed()
+    reader = READERS.get(language)
+    return reader(tokens(language, text)).read() if reader else Parsed()
 
 
 # --- Python -----------------------------------------------------------------------------------------------------------------------
@@ -114,308 +94,3 @@ def _read(out: Parsed, tree: ast.Module, shift: int) -> None:
         elif isinstance(node, ast.Assign | ast.AnnAssign):
             targets = node.targets if isinstance(node, ast.Assign) else [node.target]
             out.top_level += [(t.id, node.lineno + shift, node.end_lineno + shift) for t in targets if isinstance(t, ast.Name)]
-
-
-# --- other languages --------------------------------------------------------------------------------------------------------------
-
-
-@dataclass
-class Spec:
-    """How a language looks. Scope patterns: (type, pattern), group ``name`` being the name; they match from where the declaration begins to before its body."""
-
-    comments: str
-    scopes: list[tuple[str, str]]
-    imports: object
-    definitions: list[str]
-    identifier: str = r"[A-Za-z_$][\w$]*"
-    member: str = r"\.\s*|\?\.\s*"
-    keywords: str = ""
-    block: str = "brace"
-    types: tuple[str, ...] = ()  #: patterns whose groups are types, which are no uses of a value
-    strings: str = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
-
-
-_INSERTED = re.compile(r"\$\{([^{}`]*)\}")
-
-
-def blanked(spec: Spec, text: str) -> str:
-    """The text with comments and strings as blanks; line ends stay, and so does code inserted into a template string."""
-
-    def blank(found: str) -> str:
-        return re.sub(r"[^\n]", " ", found)
-
-    def hidden(m: re.Match) -> str:
-        if m[0][0] != "`" or "${" not in m[0]:
-            return blank(m[0])
-        out, at = [], 0
-        for code in _INSERTED.finditer(m[0]):
-            out += [blank(m[0][at : code.start(1)]), code[1]]
-            at = code.end(1)
-        return "".join([*out, blank(m[0][at:])])
-
-    return re.sub(f"{spec.comments}|{spec.strings}", hidden, text)
-
-
-def _lexed(spec: Spec, text: str) -> Parsed:
-    plain = blanked(spec, text)
-    starts = [0, *(m.end() for m in re.finditer("\n", text))]
-
-    def line(at: int) -> int:
-        return bisect.bisect_right(starts, at)
-
-    ends = _brace_ends(plain) if spec.block == "brace" else None
-    found = []
-    for kind, pattern in spec.scopes:
-        for m in re.finditer(pattern, plain, re.MULTILINE):
-            name = m.groupdict().get("name") or "<anonymous>"
-            if name in spec.keywords.split():
-                continue
-            begin = m.start("at") if "at" in m.re.groupindex and m["at"] is not None else m.start() + len(m[0]) - len(m[0].lstrip())
-            end = _body_end(spec, plain, m.end(), ends)
-            if end is not None:
-                found.append((begin, end, kind, name))
-    found = sorted(dict.fromkeys(found), key=lambda f: (f[0], -f[1]))
-    out = Parsed()
-    stack: list[int] = []
-    taken: set[tuple[int, str]] = set()
-    for begin, end, kind, name in found:
-        if (begin, name) in taken:
-            continue
-        taken.add((begin, name))
-        while stack and stack[-1] <= begin:
-            stack.pop()
-        stack.append(end)
-        out.scopes.append((kind, name, line(begin), line(end), len(stack)))
-        if len(stack) == 1 and name != "<anonymous>":
-            out.top_level.append((name, line(begin), line(end)))
-    out.imports = spec.imports(text)
-    defined: set[int] = set()  # places that are no uses
-    for pattern in spec.definitions:
-        for m in re.finditer(pattern, plain, re.MULTILINE):
-            for g in range(1, (m.re.groups or 0) + 1):
-                if m[g] is None:
-                    continue
-                for n in re.finditer(spec.identifier, m[g]):
-                    if n[0] not in spec.keywords.split():
-                        defined.add(m.start(g) + n.start())
-                        out.symbols.append((line(m.start(g)), n[0], "definition"))
-    for pattern in spec.types:
-        for m in re.finditer(pattern, plain, re.MULTILINE):
-            for g in range(1, m.re.groups + 1):
-                if m[g] is not None:
-                    defined.update(m.start(g) + n.start() for n in re.finditer(spec.identifier, m[g]))
-    words = frozenset(spec.keywords.split())
-    before = re.compile(f"(?:{spec.member})$") if spec.member else None
-    for m in re.finditer(spec.identifier, plain):
-        if m[0] in words or m.start() in defined or (before and before.search(plain, max(0, m.start() - 8), m.start())):
-            continue
-        if m.start() and (plain[m.start() - 1].isalnum() or plain[m.start() - 1] in "_$@"):
-            continue
-        out.symbols.append((line(m.start()), m[0], "use"))
-    return out
-
-
-def _brace_ends(plain: str) -> dict[int, int]:
-    """Where each opening brace is closed."""
-    stack, out = [], {}
-    for m in re.finditer(r"[{}]", plain):
-        if m[0] == "{":
-            stack.append(m.start())
-        elif stack:
-            out[stack.pop()] = m.start()
-    return out
-
-
-_OPENERS = re.compile(r"\b(end)\b|\b(do)\b|(?:^|;)[ \t]*(?:(?:private|protected|public)[ \t]+|\w+\s*=\s*)?\b(class|module|def|if|unless|case|begin|while|until|for)\b|\b(fn)\b", re.MULTILINE)
-
-
-def _body_end(spec: Spec, plain: str, at: int, ends: dict[int, int] | None) -> int | None:
-    """Where the body that begins at or after ``at`` ends."""
-    if ends is not None:
-        brace = plain.find("{", max(0, at - 1))
-        stop = plain.find(";", at)
-        if brace >= 0 and (stop < 0 or brace < stop or plain[at - 1 : at] == "{") and brace in ends:
-            return ends[brace]
-        arrow_end = plain.find("\n", at)
-        return (len(plain) if arrow_end < 0 else arrow_end) - 1 if plain[max(0, at - 2) : at].strip() in ("=>", "->", ">") else None
-    depth = 1
-    loop = False
-    for m in _OPENERS.finditer(plain, at):
-        if m[1]:
-            depth -= 1
-            if not depth:
-                return m.end() - 1
-        elif spec.block == "end-elixir":
-            if m[2] and not plain[m.end() : m.end() + 1] == ":" or m[4]:
-                depth += 1
-        elif m[3]:
-            depth += 1
-            loop = m[3] in ("while", "until", "for")
-        elif m[2]:
-            if loop and "\n" not in plain[plain.rfind("\n", 0, m.start()) + 1 : m.start()].strip("\n") and re.match(r"\s*(while|until|for)\b", plain[plain.rfind("\n", 0, m.start()) + 1 : m.start()]):
-                loop = False
-                continue
-            depth += 1
-    return None
-
-
-def _split_names(text: str) -> tuple[list[str], list[tuple[str, str]]]:
-    """Names of ``{ a, b as c, d: e }`` and their aliases."""
-    names, aliases = [], []
-    for part in filter(None, (p.strip() for p in text.replace("\n", " ").split(","))):
-        if part.startswith("type "):
-            continue
-        pair = re.split(r"\s+as\s+|\s*:\s*", part)
-        names.append(pair[0])
-        if len(pair) > 1:
-            aliases.append((pair[0], pair[1]))
-    return names, aliases
-
-
-def _is_relative_path(module: str) -> bool:
-    return module.startswith(("./", "../")) or module in (".", "..")
-
-
-def _js_imports(text: str) -> list[Import]:
-    found: list[tuple[int, Import]] = []
-    static = r"""^[ \t]*import\s+(?!type\s+[\w{*])(?:(?P<default>[\w$]+)\s*,?\s*)?(?:\*\s+as\s+(?P<star>[\w$]+)\s+|\{(?P<names>[^}]*)\}\s*)?(?:from\s+)?["'](?P<module>[^"']+)["']"""
-    for m in re.finditer(static, text, re.MULTILINE):
-        module, names, aliases = m["module"], None, []
-        if m["names"] is not None:
-            names, aliases = _split_names(m["names"])
-        if m["default"]:
-            names, aliases = [*(names or []), m["default"]], aliases
-        found.append((m.start(), Import(module, names, m["star"], aliases, bool(m["star"]), _is_relative_path(module))))
-    dynamic = r"""(?:(?:const|let|var)\s+(?:(?P<name>[\w$]+)|\{(?P<names>[^}]*)\})\s*=\s*(?:await\s+)?)?\b(?:require|import)\(\s*["'](?P<module>[^"']+)["']\s*\)"""
-    for m in re.finditer(dynamic, text):
-        names, aliases = _split_names(m["names"]) if m["names"] is not None else (None, [])
-        found.append((m.start(), Import(m["module"], names, m["name"], aliases, False, _is_relative_path(m["module"]))))
-    return [i for _, i in sorted(found, key=lambda f: f[0])]
-
-
-def _java_imports(text: str) -> list[Import]:
-    out = []
-    for m in re.finditer(r"^[ \t]*import\s+(static\s+)?([\w.]+?)(\.\*)?\s*;", text, re.MULTILINE):
-        module, last = m[2], m[2].rsplit(".", 1)[-1]
-        if m[3]:
-            out.append(Import(module, [], is_star=True))
-        elif m[1]:
-            out.append(Import(module.rsplit(".", 1)[0], [last]))
-        else:
-            out.append(Import(module, [last]))
-    return out
-
-
-def _go_imports(text: str) -> list[Import]:
-    out = []
-    for m in re.finditer(r"""^import\s+(?:\((?P<group>[^)]*)\)|(?P<one>[^\n]*))""", text, re.MULTILINE):
-        for e in re.finditer(r'(?:([\w.]+)\s+)?"([^"]+)"', m["group"] if m["group"] is not None else m["one"]):
-            out.append(Import(e[2], None, e[1], is_star=e[1] == "."))
-    return out
-
-
-def _ruby_imports(text: str) -> list[Import]:
-    out = []
-    for m in re.finditer(r"""^[ \t]*(require_relative|require|load|autoload)\b\s*\(?\s*(?::(\w+)\s*,\s*)?["']([^"']+)["']""", text, re.MULTILINE):
-        out.append(Import(m[3], [m[2]] if m[2] else None, is_relative=m[1] == "require_relative"))
-    return out
-
-
-def _php_imports(text: str) -> list[Import]:
-    found: list[tuple[int, Import]] = []
-    for m in re.finditer(r"^[ \t]*use\s+(?:function\s+|const\s+)?([\w\\]+?)(?:\\\{([^}]*)\}|\s+as\s+(\w+))?\s*;", text, re.MULTILINE):
-        if m[2] is not None:
-            for name, alias in (re.split(r"\s+as\s+", p.strip() + " as ")[:2] for p in m[2].split(",") if p.strip()):
-                full, last = f"{m[1]}\\{name}", name.rsplit("\\", 1)[-1]
-                found.append((m.start(), Import(full, [last], alias or None, [(last, alias)] if alias else [])))
-        else:
-            last = m[1].rsplit("\\", 1)[-1]
-            found.append((m.start(), Import(m[1].lstrip("\\"), [last], m[3], [(last, m[3])] if m[3] else [])))
-    for m in re.finditer(r"""\b(?:require|include)(?:_once)?\b\s*\(?\s*(?:__DIR__\s*\.\s*)?["']([^"']+)["']""", text):
-        found.append((m.start(), Import(m[1], is_relative=True)))
-    return [i for _, i in sorted(found, key=lambda f: f[0])]
-
-
-def _elixir_imports(text: str) -> list[Import]:
-    out = []
-    for m in re.finditer(r"^[ \t]*(alias|import|require|use)\s+([A-Z][\w.]*?)(?:\.\{([^}]*)\})?(?:\s*,\s*(as|only):\s*([^\n]+))?[ \t]*$", text, re.MULTILINE):
-        if m[3] is not None:
-            out += [Import(f"{m[2]}.{n.strip()}", [n.strip().rsplit('.', 1)[-1]]) for n in m[3].split(",") if n.strip()]
-        elif m[4] == "as":
-            out.append(Import(m[2], None, m[5].strip()))
-        elif m[4] == "only":
-            out.append(Import(m[2], re.findall(r"(\w+[?!]?):", m[5])))
-        else:
-            out.append(Import(m[2]))
-    return out
-
-
-_C_COMMENTS = r"//[^\n]*|/\*[\s\S]*?\*/"
-_JS_STRINGS = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`'
-_JS_WORDS = (
-    "if else for while do switch case default break continue return function class const let var new delete typeof instanceof in of try catch finally throw import export from as async await yield extends super this static get set void with "
-    "debugger null true false undefined"
-)
-_JS_SCOPES = [
-    ("generator", r"(?:\bexport\s+(?:default\s+)?)?(?P<at>(?:async\s+)?\bfunction)\s*\*\s*(?P<name>[\w$]+)?\s*\("),
-    ("function", r"(?P<at>(?:async\s+)?\bfunction)\s+(?P<name>[\w$]+)\s*(?:<[^>(]*>)?\("),
-    ("function", r"(?:\b(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=\n]+)?=\s*)(?P<at>(?:async\s+)?function)\s*(?:[\w$]+\s*)?\("),
-    ("class", r"(?P<at>\bclass)\s+(?P<name>[\w$]+)[^{;]*"),
-    ("arrow_function", r"\b(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=\n]+)?=\s*(?P<at>(?:async\s+)?)(?:\([^()]*\)|[\w$]+)\s*(?::\s*[\w$<>\[\]| ]+)?=>"),
-    ("method", r"^[ \t]+(?P<at>(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*\*?)(?P<name>#?[\w$]+)\s*(?:<[^>(]*>)?\([^;{}=]*\)\s*(?::\s*[^{;=]+)?(?=\{)"),
-]
-_JS_DEFINITIONS = [
-    r"\b(?:const|let|var)\s+([\w$]+)", r"\b(?:const|let|var)\s+[{\[]([^}\]=]*)[}\]]\s*=", r"\bfunction\b\s*\*?\s*([\w$]+)?\s*(?:<[^>(]*>)?\(([^)]*)\)", r"\bclass\s+([\w$]+)", r"\(([^()]*)\)\s*(?::\s*[\w$<>\[\]| ]+)?=>",
-    r"([\w$]+)\s*=>", r"\bcatch\s*\(([\w$]+)", r"(?<![\w$.=!<>+\-*/%&|^])([\w$]+)\s*=(?![=>])", r"^[ \t]+(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*(#?[\w$]+)\s*\(([^;{}=()]*)\)\s*(?::[^;{}=()]+)?\{",
-]
-_JAVA_WORDS = (
-    "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public "
-    "return short static strictfp super switch synchronized this throw throws transient try void volatile while record var yield sealed permits"
-)
-SPECS: dict[str, Spec] = {
-    "javascript": Spec(_C_COMMENTS, _JS_SCOPES, _js_imports, _JS_DEFINITIONS, keywords=_JS_WORDS, strings=_JS_STRINGS),
-    "typescript": Spec(
-        _C_COMMENTS, [*_JS_SCOPES, ("namespace", r"(?P<at>\b(?:namespace|module))\s+(?P<name>[\w$.]+)\s*(?=\{)")], _js_imports, [*_JS_DEFINITIONS, r"\b(?:interface|type|enum|namespace)\s+([\w$]+)"],
-        keywords=_JS_WORDS + " interface type enum namespace declare readonly abstract implements public private protected override keyof is satisfies string number boolean any unknown never object symbol bigint", strings=_JS_STRINGS,
-    ),
-    "java": Spec(
-        _C_COMMENTS,
-        [*[(k, rf"(?P<at>(?:\b(?:public|private|protected|static|final|abstract|sealed)\s+)*)\b{k}\s+(?P<name>\w+)[^{{;]*") for k in ("class", "interface", "enum")],
-         ("method", r"^[ \t]*(?P<at>(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)*(?:<[^>]+>\s*)?(?=\S)(?!(?:new|return|else|throw|public|private|protected|static|final|abstract|synchronized|default|native)\b)[\w<>\[\],.? ]+?\s+)(?P<name>\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?(?=\{)"),
-         ("constructor", r"^[ \t]*(?P<at>(?:(?:public|private|protected)\s+)?)(?P<name>[A-Z]\w*)\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?(?=\{)"),
-         ("lambda", r"(?P<at>(?:\([^()]*\)|\b\w+)\s*)->")],
-        _java_imports,
-        [r"\b(?:class|interface|enum|record)\s+(\w+)", r"(?<![.\w])(?<!new )(\w+)\s*\([^;{}()]*\)\s*(?:throws[\w., ]+)?\{", r"\b[\w<>\[\]]+\s+(\w+)\s*(?==[^=]|;|:(?!:))", r"\b\w+\s*\(((?:[\w<>\[\]., ]+\s+\w+\s*,?\s*)*)\)\s*(?:throws[\w., ]+)?\{", r"\b(\w+)\s*->", r"\(([\w ,]*)\)\s*->"],
-        keywords=_JAVA_WORDS, member=r"\.\s*|::\s*",
-        types=(r"\bnew\s+([\w.<>]+)", r"\b([A-Z]\w*(?:<[^<>;(){}]*>)?)(?:\[\])*\s+\w+\s*(?=[=;,):])", r"\b(?:extends|implements|throws|instanceof|permits)\s+([\w.<>, ]+)", r"\(([A-Z]\w*)\)\s*[\w(]", r"@(\w+)"),
-    ),
-    "go": Spec(
-        _C_COMMENTS,
-        [("method", r"^(?P<at>func)\s*\([^)]*\)\s*(?P<name>\w+)\s*(?:\[[^\]]*\])?\([^{]*(?=\{)"), ("function", r"^(?P<at>func)\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?\([^{]*(?=\{)"), ("function", r"(?<=[^\n])(?P<at>\bfunc)\s*\([^{]*(?=\{)")],
-        _go_imports,
-        [r"([\w, ]+?)\s*:=", r"\b(?:var|const)\s+(\w+)", r"\bfunc\s*(?:\((\w+)[^)]*\)\s*)?(\w+)?", r"\btype\s+(\w+)", r"\bfunc\b[^(]*(?:\([^)]*\)\s*\w+)?\(([^)]*)\)"],
-        types=(r"\bfunc\s*\(\s*\w+\s+([^)]*)\)", r"\bvar\s+\w+\s+([\w.*\[\]]+)", r"(?<![\w.])([A-Z]\w*)\{", r"^package\s+(\w+)", r"\)\s*([\w.*\[\]]+)\s*\{", r"\btype\s+\w+\s+([\w.*\[\]]+)"),
-        keywords="break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var", strings=r'"(?:\\.|[^"\\\n])*"|`[^`]*`|\'(?:\\.|[^\'\\\n])*\'',
-    ),
-    "php": Spec(
-        _C_COMMENTS + r"|#(?!\[)[^\n]*",
-        [*[(k, rf"(?P<at>(?:\b(?:abstract|final|readonly)\s+)*)\b{k}\s+(?P<name>\w+)[^{{;]*") for k in ("class", "trait", "interface")],
-         ("method", r"(?P<at>\b(?:(?:public|private|protected|static|final|abstract)\s+)+)function\s+&?(?P<name>\w+)\s*\([^{;]*(?=\{)"), ("function", r"^[ \t]*(?P<at>function)\s+&?(?P<name>\w+)\s*\([^{;]*(?=\{)"),
-         ("closure", r"(?P<at>(?:static\s+)?\bfunction)\s*\([^{;]*(?=\{)"), ("arrow_function", r"(?P<at>\bfn)\s*\([^)]*\)\s*(?::\s*\??\w+\s*)?=>")],
-        _php_imports, [r"\b(?:class|trait|interface|enum)\s+(\w+)", r"\bfunction\s+&?(\w+)"], identifier=r"[A-Za-z_]\w*", member=r"->\s*|\?->\s*|::\s*|\$",
-        types=(r"\b(?:extends|implements)\s+([\w\\, ]+)", r"[(,]\s*(?:(?:public|private|protected|readonly)\s+)*\??([\w\\|&]+)\s+[&.]*\$", r"\)\s*:\s*\??([\w\\|&]+)", r"\b(?:public|private|protected|static|readonly)\s+\??([A-Z][\w\\|]*)\s+\$"),
-        keywords="abstract and array as break callable case catch class clone const continue declare default do echo else elseif empty enddeclare endfor endforeach endif endswitch endwhile enum extends final finally fn for foreach function global goto if implements include include_once instanceof insteadof interface isset list match namespace new or print private protected public readonly require require_once return static switch throw trait try unset use var while xor yield int string bool float void mixed php",
-    ),
-    "ruby": Spec(
-        r"#(?!\{)[^\n]*|^=begin[\s\S]*?^=end",
-        [("class", r"(?:^|;)[ \t]*(?P<at>class)\s+(?P<name>[A-Z][\w:]*)[^\n;]*"), ("module", r"(?:^|;)[ \t]*(?P<at>module)\s+(?P<name>[A-Z][\w:]*)[^\n;]*"), ("method", r"(?:^|;)[ \t]*(?:(?:private|protected|public)[ \t]+)?(?P<at>def)\s+(?P<name>(?:self\.)?\w+(?:[?!]|=(?=[ \t]*\())?)(?:[ \t]*\([^)]*\)|[^\n;]*)(?![ \t]*=[ \t])"), ("lambda", r"(?P<at>(?:->\s*(?:\([^)]*\))?|\blambda)\s*)do\b"), ("block", r"(?P<at>\bdo)\b(?:\s*\|[^|]*\|)?")],
-        _ruby_imports, [r"\b(?:class|module)\s+([A-Z]\w*)", r"\bdef\s+(?:self\.)?([\w?!]+)\s*(?:\(([^)]*)\))?", r"([a-z_]\w*)\s*(?:\|\||&&|[+\-*/])?=(?![=~>])", r"\|([^|\n]*)\|"], identifier=r"[A-Za-z_]\w*[?!]?", member=r"\.\s*|&\.\s*|::\s*|:",
-        keywords="alias and begin break case class def defined? do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield", block="end",
-    ),
-    "elixir": Spec(
-        r"#(?!\{)[^\n]*",
-        [("module", r"^[ \t]*(?P<at>defmodule)\s+(?P<name>[A-Z][\w.]*)\s+do\b"), ("protocol", r"^[ \t]*(?P<at>defprotocol)\s+(?P<name>[A-Z][\w.]*)\s+do\b"), ("impl", r"^[ \t]*(?P<at>defimpl)\s+(?P<name>[A-Z][\w.]*)[^\n]*\bdo\b"),
-         ("function", r"^[ \t]*(?P<at>defp?)\s+(?P<name>[a-z_]\w*[?!]?)[^\n]*\bdo[ \t]*$"), ("macro", r"^[ \t]*(?P<at>defmacrop?)\s+(?P<name>[a-z_]\w*[?!]?)[^\n]*\bdo[ \t]*$"), ("guard", r"^[ \t]*(?P<at>defguardp?)\s+(?P<name>[a-z_]\w*[?!]?)[^\n]*\bdo[ \t]*$"), ("fn", r"(?P<at>\bfn)\b")],
-        _elixir_imports, [r"\bdefmodule\s+([A-Z]\w*)"], identifier=r":?[A-Z]\w*|:[a-z_]\w*(?=\.)", member=r"\.\s*", block="end-elixir", strings=r'"""[\s\S]*?"""|"(?:\\.|[^"\\])*"',
-    ),
-}

@@ -1,7 +1,8 @@
 """Unified diffs as tables: files, hunks, numbered lines.
 
-A diff is split into lines, running sums over marks number its files and hunks, and all else is a grouped aggregate. A window holds one
-diff, so a table of many diffs spreads over the cluster by ``diff_id``. Only C-quoted paths need Python.
+A diff is cut into blocks of lines, so one diff of any size spreads over tasks. Running sums number the marks inside each block; a summary of
+each block says what it adds to those after it; the summaries, few, are summed up by diff; and each block is finished by itself with what
+its diff had before it. ``marked_lines`` does this once, and files, hunks and lines all come from its rows. Only C-quoted paths need Python.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 
 from patchloom.functions.text import lines
 
+#: Lines to a block: what one window of the first level holds.
+BLOCK = 1 << 16
 HUNK = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v"}
 
@@ -46,27 +49,64 @@ def _named(line: Column, start: str) -> Column:
     return F.when(F.startswith(rest, F.lit("/dev/null")), F.lit(None)).otherwise(F.regexp_replace(rest, "^[ab]/", ""))
 
 
+def line_blocks(diffs: DataFrame, size: int | None = None) -> DataFrame:
+    """(diff_id, text) to diff_id, block, pos, line: the lines of each text, ``size`` of them to a block."""
+    rows = diffs.select("diff_id", F.posexplode(lines("text")).alias("pos", "line"))
+    return rows.select("diff_id", F.floor(F.col("pos") / (size or BLOCK)).alias("block"), F.col("pos").cast("long").alias("pos"), "line")
+
+
 def marked_lines(diffs: DataFrame) -> DataFrame:
-    """(diff_id, text) to one row per line that belongs to a file: diff_id, pos, line, file_no, hunk_no (0 before the first hunk), kind.
+    """One row per line that belongs to a file: diff_id, pos, line, file_no, hunk_no (0 before the first hunk), kind, new_start, line_num.
 
-    kind is header, hunk, body (a line of a hunk: blank, plus or minus sign first) or meta. Inside a hunk, an empty line and a line with a
-    backslash are of kind skip, and a hunk ends only where the next one or the next file begins.
+    From whole texts (diff_id, text), or from lines (diff_id, block, pos, line) in which ``pos`` orders the lines of a block and ``block`` those of
+    a diff. kind is header, hunk, body (a line of a hunk: blank, plus or minus sign first) or meta. Inside a hunk, an empty line and a line with
+    a backslash are of kind skip, and a hunk ends only where the next one or the next file begins. new_start is that of the line's hunk, and
+    line_num, of a body line, its number in the new file; a removed line has the number of what follows it.
     """
-    rows = diffs.select("diff_id", F.posexplode(lines("text")).alias("pos", "line"))
-    order = Window.partitionBy("diff_id").orderBy("pos")
-    head = F.startswith("line", F.lit("diff --git "))
-    rows = rows.withColumn("file_no", F.sum(head.cast("int")).over(order)).where("file_no > 0")
-    within = Window.partitionBy("diff_id", "file_no").orderBy("pos")
-    is_hunk = F.col("line").rlike(HUNK)
-    rows = rows.withColumn("hunk_no", F.sum(is_hunk.cast("int")).over(within))
+    rows = diffs if "line" in diffs.columns else line_blocks(diffs)
     first = F.left("line", F.lit(1))
-    kind = F.when(head, "header").when((F.col("hunk_no") > 0) & first.isin(" ", "+", "-"), "body").when(is_hunk, "hunk").when(F.col("hunk_no") > 0, "skip").otherwise("meta")
-    return rows.withColumn("kind", kind)
+    head, is_hunk = F.startswith("line", F.lit("diff --git ")), F.startswith("line", F.lit("@@ -")) & F.col("line").rlike(HUNK)
+    rows = rows.select("diff_id", "block", "pos", "line", first.alias("sign"), head.alias("head"), (is_hunk & ~head).alias("is_hunk"), first.isin(" ", "+").cast("long").alias("step"))
+    # Inside a block: files and hunks begun up to each line, and steps in the new file since the last mark.
+    order = Window.partitionBy("diff_id", "block").orderBy("pos")
+    rows = rows.withColumns({"nth": F.row_number().over(order) - 1, "f": F.sum(F.col("head").cast("long")).over(order), "h": F.sum(F.col("is_hunk").cast("long")).over(order), "s": F.sum("step").over(order)})
+    mark, start = F.col("head") | F.col("is_hunk"), F.when(F.col("is_hunk"), F.regexp_extract("line", HUNK, 3).cast("int"))
+    rows = rows.withColumns({
+        "h0": F.coalesce(F.max(F.when(F.col("head"), F.col("h"))).over(order), F.lit(0)), "s0": F.coalesce(F.max(F.when(mark, F.col("s"))).over(order), F.lit(0)),
+        "marked": F.max(mark.cast("int")).over(order) == 1, "start": F.last(start, True).over(order),
+    })
+    rows = rows.select("diff_id", "block", "nth", "line", "sign", "head", "is_hunk", "step", "f", (F.col("h") - F.col("h0")).alias("hunk"), (F.col("s") - F.col("s0")).alias("steps"), "marked", "start")
+    # Of each block: what it hands on. Blocks are few, so one window holds those of a diff.
+    last = F.max(F.struct("nth", "f", "hunk", "steps", "marked", "start"))
+    blocks = rows.groupBy("diff_id", "block").agg(last.alias("z")).select("diff_id", "block", "z.*")
+    up_to = Window.partitionBy("diff_id").orderBy("block")
+    before = up_to.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumns({"files": F.sum("f").over(up_to), "hunks": F.sum("hunk").over(up_to), "walked": F.sum("steps").over(up_to)})
+    # Sums since the last block with a header (for hunks), or with any mark (for steps): what was summed up before that block is taken off.
+    blocks = blocks.withColumns({
+        "hunks0": F.max(F.when(F.col("f") > 0, F.col("hunks") - F.col("hunk"))).over(before), "walked0": F.last(F.when(F.col("marked"), F.col("walked") - F.col("steps")), True).over(before),
+        "c_lines": F.coalesce(F.sum(F.col("nth") + 1).over(before), F.lit(0)), "c_files": F.coalesce(F.sum("f").over(before), F.lit(0)), "c_start": F.last("start", True).over(before),
+    })
+    carried = blocks.select(
+        "diff_id", "block", "c_lines", "c_files", "c_start", (F.coalesce(F.lag("hunks").over(up_to), F.lit(0)) - F.coalesce("hunks0", F.lit(0))).alias("c_hunks"),
+        (F.coalesce(F.lag("walked").over(up_to), F.lit(0)) - F.coalesce("walked0", F.lit(0))).alias("c_steps"),
+    )
+    rows = rows.join(carried, ["diff_id", "block"])
+    file_no, hunk_no = F.col("c_files") + F.col("f"), F.col("hunk") + F.when(F.col("f") == 0, F.col("c_hunks")).otherwise(0)
+    rows = rows.select("diff_id", (F.col("c_lines") + F.col("nth")).alias("pos"), "line", file_no.alias("file_no"), hunk_no.alias("hunk_no"), "sign", "head", "is_hunk", "step", F.col("steps") + F.when(F.col("marked"), 0).otherwise(F.col("c_steps")), F.coalesce("start", "c_start").alias("new_start"))
+    rows = rows.toDF("diff_id", "pos", "line", "file_no", "hunk_no", "sign", "head", "is_hunk", "step", "steps", "new_start").where("file_no > 0")
+    kind = F.when(F.col("head"), "header").when((F.col("hunk_no") > 0) & F.col("sign").isin(" ", "+", "-"), "body").when(F.col("is_hunk"), "hunk").when(F.col("hunk_no") > 0, "skip").otherwise("meta")
+    number = F.when(F.col("kind") == "body", F.col("new_start") + F.col("steps") - F.col("step")).cast("int")
+    return rows.withColumn("kind", kind).select("diff_id", "pos", "line", "file_no", "hunk_no", "kind", F.when(F.col("hunk_no") > 0, F.col("new_start")).alias("new_start"), number.alias("line_num"))
+
+
+def _marked(diffs: DataFrame) -> DataFrame:
+    return diffs if "kind" in diffs.columns else marked_lines(diffs)
 
 
 def diff_files(diffs: DataFrame) -> DataFrame:
-    """One row per file of each diff: diff_id, file_no, old_path, new_path, path, is_new_file, is_deleted, is_renamed, is_binary, mode_changed."""
-    rows = marked_lines(diffs).where(F.col("kind").isin("header", "meta"))
+    """One row per file of each diff (texts, lines, or rows of ``marked_lines``): diff_id, file_no, old_path, new_path, path, is_new_file, is_deleted, is_renamed, is_binary, mode_changed."""
+    rows = _marked(diffs).where(F.col("kind").isin("header", "meta"))
 
     def says(*starts: str) -> Column:
         test = F.lit(False)
@@ -107,7 +147,7 @@ def _unquoted_line(line: pd.Series) -> pd.Series:
 
 def hunks(diffs: DataFrame) -> DataFrame:
     """One row per hunk: diff_id, file_no, hunk_no, old_start, old_count, new_start, new_count; a missing count is 1."""
-    rows = marked_lines(diffs).where("kind = 'hunk'")
+    rows = _marked(diffs).where("kind = 'hunk'")
     number = [F.regexp_extract("line", HUNK, k) for k in range(1, 5)]
     value = [number[0].cast("int"), F.coalesce(F.nullif(number[1], F.lit("")).cast("int"), F.lit(1)), number[2].cast("int"), F.coalesce(F.nullif(number[3], F.lit("")).cast("int"), F.lit(1))]
     return rows.select("diff_id", "file_no", "hunk_no", *[v.alias(n) for v, n in zip(value, ("old_start", "old_count", "new_start", "new_count"), strict=True)])
@@ -122,9 +162,5 @@ def numbered(lines_: DataFrame, keys: list[str]) -> DataFrame:
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """One row per line of a hunk: diff_id, file_no, hunk_no, pos, line_num, change_type (plus, minus or blank), content."""
-    marked = marked_lines(diffs).where(F.col("kind").isin("body", "hunk"))
-    start = F.regexp_extract("line", HUNK, 3)
-    within = Window.partitionBy("diff_id", "file_no", "hunk_no")
-    rows = marked.withColumn("new_start", F.max(F.when(F.col("kind") == "hunk", start).cast("int")).over(within)).where("kind = 'body'")
-    rows = rows.select("diff_id", "file_no", "hunk_no", "pos", "new_start", F.left("line", F.lit(1)).alias("marker"), F.substring("line", 2, 1 << 30).alias("content"))
-    return numbered(rows, ["diff_id", "file_no", "hunk_no"]).select("diff_id", "file_no", "hunk_no", "pos", "line_num", F.col("marker").alias("change_type"), "content")
+    rows = _marked(diffs).where("kind = 'body'")
+    return rows.select("diff_id", "file_no", "hunk_no", "pos", "line_num", F.left("line", F.lit(1)).alias("change_type"), F.substring("line", 2, 1 << 30).alias("content"))

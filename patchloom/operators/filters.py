@@ -54,13 +54,44 @@ def _without_slash(core: str) -> str:
 
 
 def sensitive_pattern(path: Column | str, patterns: Sequence[str] = C.SENSITIVE_GLOBS) -> Column:
-    """The first glob, in their order, that a path matches without regard to case, or null."""
+    """The first glob, in their order, that a path matches without regard to case, or null.
+
+    Globs without a star are names (or the ends of paths), looked up whole; those with one star are looked up by the beginning or the end of
+    the name, of each length that occurs, in hashed sets. What each lookup finds is the place of a glob, and the least place wins. Only globs of other
+    forms (two stars with something before or after, question marks, sets) are tested one by one, the usual two-star form by ``contains``.
+    """
     low = F.lower(_col(path))
-    out = None
-    for p in patterns:
-        test = low.rlike(glob_regex(p))
-        out = F.when(test, F.lit(p)) if out is None else out.when(test, F.lit(p))
-    return F.lit(None).cast("string") if out is None else out
+    name = F.element_at(F.split(low, "/"), -1)
+    whole: dict[int, dict[str, int]] = {}  # parts of the path: text: place
+    ends: dict[tuple[int, int], dict[str, int]] = {}  # lengths of beginning and end: text: place
+    found: list[Column] = []
+    for place, pattern in enumerate(patterns):
+        glob = pattern.lower()
+        stars, plain = glob.count("*"), not set("?[") & set(glob)
+        if plain and not stars:
+            whole.setdefault(glob.count("/") + 1, {}).setdefault(glob, place)
+        elif plain and stars == 1 and "/" not in glob:
+            before, after = glob.split("*")
+            ends.setdefault((len(before), len(after)), {}).setdefault(f"{before}*{after}", place)
+        elif plain and stars == 2 and "/" not in glob and glob[0] == glob[-1] == "*":
+            found.append(F.when(F.contains(name, F.lit(glob[1:-1])), F.lit(place)))
+        else:
+            found.append(F.when(low.rlike(glob_regex(pattern)), F.lit(place)))
+
+    def looked_up(key: Column, places: dict[str, int]) -> Column:
+        known = F.create_map(*[F.lit(x) for kv in places.items() for x in kv])
+        return F.when(key.isin(*places), F.try_element_at(known, key))
+
+    for parts, places in whole.items():
+        key = name if parts == 1 else F.array_join(F.slice(F.split(low, "/"), F.lit(-parts), F.lit(parts)), "/")
+        found.append(looked_up(key, places) if parts == 1 else F.when(F.size(F.split(low, "/")) >= parts, looked_up(key, places)))
+    for (a, b), places in ends.items():
+        key = F.concat(F.left(name, F.lit(a)), F.lit("*"), F.right(name, F.lit(b)))
+        found.append(F.when(F.char_length(name) >= a + b, looked_up(key, places)))
+    if not found:
+        return F.lit(None).cast("string")
+    least = found[0] if len(found) == 1 else F.least(*found)
+    return F.get(F.array(*[F.lit(p) for p in patterns]), least)
 
 
 def sensitive_split(files: DataFrame, patterns: Sequence[str] = C.SENSITIVE_GLOBS) -> DataFrame:

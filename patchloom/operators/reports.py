@@ -1,4 +1,4 @@
-"""Reports: JSON documents, dry runs, status, summary text. What reaches the driver is one row or a bounded list."""
+"""Reports: JSON documents, dry runs, status, summary text. What reaches the driver is one row or a bounded list; documents of any size are written by tasks and joined as files."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from patchloom import constants as C
 from patchloom.functions.text import line_range_text, truncated
 from patchloom.operators import findings as R
+from patchloom.shared import new_path, remove
 
 SCHEMA_VERSION = "1.0"
 
@@ -80,13 +81,69 @@ def status(findings: DataFrame, errors: DataFrame, fail_on_error: bool = True, o
     return rows.agg(code.alias("exit_code"))
 
 
+def _parts(rows: DataFrame, label: str) -> str:
+    """Rows (value: a JSON object) written by tasks in their order, a line each, after a comma."""
+    at = new_path(rows.sparkSession, label)
+    rows.select(F.concat(F.lit(", "), "value").alias("value")).write.text(at)
+    return at
+
+
+def _joined(df: DataFrame, path: str, pieces: list[str | tuple[str]]) -> None:
+    """One file from texts and folders of parts (as 1-tuples), streamed from file to file; the file at ``path`` is replaced as a whole."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    goal = jvm.org.apache.hadoop.fs.Path(path if ":" in path.split("/")[0] else f"file://{os.path.abspath(path)}")
+    fs = goal.getFileSystem(conf)
+    part = jvm.org.apache.hadoop.fs.Path(goal.getParent(), f"{goal.getName()}.{os.getpid()}.part")
+    fs.setWriteChecksum(False)
+    out = fs.create(part, True)
+    try:
+        for piece in pieces:
+            if isinstance(piece, str):
+                out.write(bytearray(piece.encode()))
+                continue
+            folder = jvm.org.apache.hadoop.fs.Path(piece[0])
+            files = folder.getFileSystem(conf)
+            listed = sorted((s.getPath().getName(), s.getPath()) for s in files.listStatus(folder) if s.getPath().getName().startswith("part-") and s.getLen())
+            for k, (_, name) in enumerate(listed):
+                read = files.open(name)
+                read.seek(0 if k else 1)  # nothing stands before the first row's comma
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, 1 << 16, False)
+                read.close()
+    finally:
+        out.close()
+    fs.delete(goal, False)
+    if not fs.rename(part, goal):
+        raise OSError(f"{part} can't be renamed to {goal}")
+    for piece in pieces:
+        if not isinstance(piece, str):
+            remove(spark, piece[0])
+
+
+def _object(fields: dict) -> str:
+    """The first fields of a document, open for more."""
+    return json.dumps(fields, indent=2, ensure_ascii=False)[:-2] + (",\n" if fields else "")
+
+
+def write_report(findings: DataFrame, errors: DataFrame, metadata: dict, order: str, timestamp: str, path: str, suppressed: int | None = None) -> None:
+    """The document of ``report`` for findings of any number: sorted ranges are written by tasks and joined; counts are observed on the way (after the sort, whose sampling would count twice)."""
+    counts = Observation()
+    seen = findings.orderBy(order).observe(counts, F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in C.SEVERITIES])
+    rows = _parts(seen.select(finding_json(findings.columns).alias("value")), "report")
+    failed = _parts(errors.select(F.to_json(F.struct(*errors.columns), {"ignoreNullFields": "false"}).alias("value")), "errors")
+    head = {"schema_version": SCHEMA_VERSION, "version": metadata.get("version", "1.0.0"), "timestamp": timestamp, "metadata": {k: v for k, v in metadata.items() if v is not None and k != "version"}, "summary": counts.get | ({} if suppressed is None else {"suppressed": suppressed})}
+    more = [] if errors.isEmpty() else [',\n  "errors": [\n', (failed,), "]"]
+    _joined(findings, path, [_object(head) + '  "findings": [\n', (rows,), "]", *more, "\n}\n"])
+
+
 def write_baseline(entries: DataFrame, path: str) -> None:
     """A baseline file, replaced as a whole; null paths are left out."""
-    rows = [{k: v for k, v in r.asDict().items() if v is not None} for r in entries.toLocalIterator()]
-    write_document({"version": "1.0", "entries": rows}, path)
+    rows = _parts(entries.select(F.to_json(F.struct(*entries.columns)).alias("value")), "baseline")
+    _joined(entries, path, [_object({"version": "1.0"}) + '  "entries": [\n', (rows,), "]\n}\n"])
 
 
 def write_scan_cache(findings: DataFrame, path: str, scan_time: str) -> None:
     """The scan's findings before any is suppressed, for later additions to the baseline."""
-    rows = [r.asDict() for r in findings.select("finding_id", "cwe_id", "what", "file_path", "severity").toLocalIterator()]
-    write_document({"scan_time": scan_time, "findings": rows}, path)
+    fields = ("finding_id", "cwe_id", "what", "file_path", "severity")
+    rows = _parts(findings.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")), "cache")
+    _joined(findings, path, [_object({"scan_time": scan_time}) + '  "findings": [\n', (rows,), "]\n}\n"])

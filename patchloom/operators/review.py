@@ -15,7 +15,8 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import AccumulatorParam, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.operators import findings
@@ -56,12 +57,66 @@ class SecretStub:
         return json.dumps({"findings": found if self.mark in prompt else []})
 
 
-def answers(prompts: DataFrame, reviewer: Callable[[str], str], concurrent: int = 5, retries: int = 0, timeout: float = 120.0, keys: Sequence[str] = ()) -> DataFrame:
+#: Late calls, times the calls at once, after which a task makes no more: what does not answer gets no more threads.
+LATE = 4
+
+
+class _Done(AccumulatorParam):
+    """Paths of reviewed files by partition. A partition that runs again says the same, and Spark takes values of successful attempts alone."""
+
+    def zero(self, value: dict) -> dict:
+        return {}
+
+    def addInPlace(self, value1: dict, value2: dict) -> dict:  # noqa: N802
+        value1.update(value2)
+        return value1
+
+
+class Progress:
+    """Calls ``call(file_path, done, total)`` for each file as tasks end, from a thread of the driver; use it around the action that reviews.
+
+    Counts are those of partitions that ended well, each once, whatever attempts they took. The driver keeps a number for each partition, and the
+    paths of those that ended since the last look.
+    """
+
+    def __init__(self, spark: SparkSession, total: int, call: Callable[[str, int, int], None], every: float = 0.2):
+        self.total, self.call, self.every, self.done, self.seen = total, call, every, 0, set()
+        self.reviewed = spark.sparkContext.accumulator({}, _Done())
+        self._stop = threading.Event()
+        self._thread = threading.Thread(target=self._watch, daemon=True)
+
+    def _look(self) -> None:
+        for partition in sorted(set(self.reviewed.value) - self.seen):
+            self.seen.add(partition)
+            for path in self.reviewed.value[partition]:
+                self.done += 1
+                self.call(path, self.done, self.total)
+            self.reviewed.value[partition] = ()
+
+    def _watch(self) -> None:
+        while not self._stop.wait(self.every):
+            self._look()
+
+    def __enter__(self) -> Progress:
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._stop.set()
+        self._thread.join()
+        self._look()
+
+
+def answers(
+    prompts: DataFrame, reviewer: Callable[[str], str], concurrent: int = 5, retries: int = 0, timeout: float = 120.0, keys: Sequence[str] = (), progress: Progress | None = None
+) -> DataFrame:
     """(keys, file_path, prompt) to (keys, file_path, raw, error, error_type): each task makes at most ``concurrent`` calls at once; a failed one has a null answer.
 
     A call's time runs from its own start, retries included. A late call counts as failed; its thread is left behind and another takes its
-    place, so neither other calls nor the end of the task wait for it.
+    place, so neither other calls nor the end of the task wait for it. After LATE times ``concurrent`` late calls a task calls no more: its other
+    prompts fail as late, so threads are bounded. ``progress`` hears of the files of each task that ends.
     """
+    told = progress.reviewed if progress else None
 
     def call(prompt: str) -> tuple[str | None, str | None, str | None]:
         for attempt in range(retries + 1):
@@ -79,10 +134,14 @@ def answers(prompts: DataFrame, reviewer: Callable[[str], str], concurrent: int
                 return None, text, "context_length" if is_too_long(text, getattr(e, "code", None)) else type(e).__name__
         raise AssertionError
 
-    def all_of(texts: list[str]) -> list[tuple[str | None, str | None, str | None]]:
+    def all_of(texts: list[str], late: list[int]) -> list[tuple[str | None, str | None, str | None]]:
         rows: list = [(None, MESSAGES["timeout"], "timeout")] * len(texts)
         waiting, running, done = deque(range(len(texts))), {}, queue.SimpleQueue()
         while waiting or running:
+            if late[0] >= LATE * concurrent:
+                waiting.clear()
+                if not running:
+                    break
             while waiting and len(running) < concurrent:
                 k = waiting.popleft()
                 threading.Thread(target=lambda k=k: done.put((k, call(texts[k]))), daemon=True).start()
@@ -93,15 +152,21 @@ def answers(prompts: DataFrame, reviewer: Callable[[str], str], concurrent: int
                     rows[k] = row
             except queue.Empty:
                 now = time.monotonic()
+                late[0] += sum(end <= now for end in running.values())
                 running = {k: end for k, end in running.items() if end > now}
         return rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        late, paths = [0], []
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.iloc[at : at + 64]
-                rows = all_of(part["prompt"].tolist())
+                rows = all_of(part["prompt"].tolist(), late)
+                if told is not None:
+                    paths += part["file_path"].tolist()
                 yield part.drop(columns=["prompt"]).assign(**{c: [r[k] for r in rows] for k, c in enumerate(("raw", "error", "error_type"))})
+        if told is not None:
+            told.add({TaskContext.get().partitionId(): tuple(paths)})
 
     kept = prompts.select(*keys, "file_path", "prompt")
     schema = ", ".join(f"`{n}` {t}" for n, t in kept.drop("prompt").dtypes)

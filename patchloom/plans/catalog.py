@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from patchloom import constants as C
 from patchloom.functions import text as X
 from patchloom.operators import baseline as B
-from patchloom.operators import components, diffs, filters, findings, prompts, regions, review, symbols
+from patchloom.operators import components, diffs, filters, findings, prompts, regions, review, symbols, tokens
 from patchloom.plans import code_catalog, review_catalog
 from patchloom.sources.tables import table
 
@@ -32,6 +32,14 @@ def _query(sql: str | None = None):
     return add
 
 
+@_query()
+def q_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Exact token counts of whole texts by a public merge table; merges have no SQL, tests hold them against a plain loop."""
+    import public_tokenizers
+
+    return tokens.token_counts(table(spark, d, "documents").select("doc_id", "text"), str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
 def queries() -> dict[str, Query]:
     return _QUERIES | code_catalog.queries() | review_catalog.queries()
 

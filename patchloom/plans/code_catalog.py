@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.operators import code, symbols
+from patchloom.plans.code_cases import CASES, HEADS
 from patchloom.plans.code_samples import SAMPLES
 from patchloom.sources.tables import table
 
@@ -19,11 +20,11 @@ SCOPES: dict[str, list[tuple[str, str, int, int, int]]] = {
     "python": [("class", "K__ID__", 5, 8, 1), ("function", "m", 7, 8, 2), ("function", "g__ID__", 10, 12, 1)],
     "javascript": [("class", "Box__ID__", 5, 9, 1), ("method", "open", 6, 8, 2), ("arrow_function", "make__ID__", 10, 12, 1), ("generator", "gen__ID__", 13, 13, 1), ("function", "top__ID__", 14, 14, 1)],
     "typescript": [("namespace", "N__ID__", 3, 5, 1), ("function", "inner__ID__", 4, 4, 2), ("class", "Store__ID__", 6, 10, 1), ("method", "load", 7, 9, 2)],
-    "java": [("class", "Main__ID__", 6, 13, 1), ("constructor", "Main__ID__", 7, 7, 2), ("method", "go__ID__", 8, 12, 2), ("lambda", "<anonymous>", 10, 10, 3), ("interface", "Shape__ID__", 14, 14, 1)],
+    "java": [("class", "Main__ID__", 6, 13, 1), ("constructor", "Main__ID__", 7, 7, 2), ("method", "go__ID__", 8, 12, 2), ("lambda", "<lambda>", 10, 10, 3), ("interface", "Shape__ID__", 14, 14, 1)],
     "go": [("method", "Run__ID__", 11, 15, 1), ("function", "main__ID__", 17, 21, 1), ("function", "<anonymous>", 18, 20, 2)],
-    "ruby": [("module", "Shop__ID__", 5, 16, 1), ("class", "Cart__ID__", 6, 15, 2), ("method", "add__ID__", 7, 13, 3), ("block", "<anonymous>", 9, 11, 4), ("method", "one__ID__", 14, 14, 3)],
+    "ruby": [("module", "Shop__ID__", 5, 16, 1), ("class", "Cart__ID__", 6, 15, 2), ("method", "add__ID__", 7, 13, 3), ("block", "<block>", 9, 11, 4), ("method", "one__ID__", 14, 14, 3)],
     "php": [("trait", "Named__ID__", 5, 5, 1), ("class", "Page__ID__", 6, 11, 1), ("method", "show__ID__", 7, 10, 2), ("closure", "<anonymous>", 8, 8, 3), ("function", "helper__ID__", 12, 12, 1)],
-    "elixir": [("module", "Shop.Cart__ID__", 1, 13, 1), ("function", "add__ID__", 7, 12, 2), ("fn", "<anonymous>", 11, 11, 3)],
+    "elixir": [("module", "Shop.Cart__ID__", 1, 13, 1), ("function", "add__ID__", 7, 12, 2), ("anonymous_function", "<fn>", 11, 11, 3)],
 }
 #: module, names (joined by blanks, None for a whole module), alias, name aliases (original=alias), star, relative.
 IMPORTS: dict[str, list[tuple[str, str | None, str | None, str, bool, bool]]] = {
@@ -185,6 +186,48 @@ def q_framework_files(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+#: A document's file has so many pieces of CASES, chosen by its number.
+PIECES = 4
+
+
+def _piece(k: int, n: int) -> str:
+    """Which of ``n`` pieces a document has at place ``k``."""
+    return f"((doc_id + {k}) * {2 * k + 1} + doc_id DIV {n} * {k + 1}) % {n}"
+
+
+def _assembled(spark: SparkSession, d: str, language: str) -> DataFrame:
+    pieces = F.array(*[F.lit(text) for text, _, _ in CASES[language]])
+    text = F.concat(F.lit(HEADS.get(language, "")), *[F.get(pieces, F.expr(f"CAST({_piece(k, len(CASES[language]))} AS INT)")) for k in range(PIECES)])
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "doc_id", F.concat(F.lit("f"), "doc_id").alias("path"), F.lit(language).alias("language"), text.alias("text"))
+    return rows
+
+
+def _placed_sql(language: str) -> str:
+    """Each document's pieces in order, with the lines before each."""
+    cases, n = CASES[language], len(CASES[language])
+    lengths = _values([(k, text.count("\n")) for k, (text, _, _) in enumerate(cases)], "piece, n_lines")
+    chosen = " UNION ALL ".join(f"SELECT doc_id, {k} AS place, {_piece(k, n).replace('DIV', '//')} AS piece FROM documents" for k in range(PIECES))
+    head = HEADS.get(language, "").count("\n")
+    return f"WITH lengths AS (SELECT * FROM {lengths}), chosen AS ({chosen}), placed AS (SELECT doc_id, place, piece, {head} + coalesce(sum(n_lines) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM chosen JOIN lengths USING (piece))"
+
+
+def _case_scopes(language: str) -> tuple[Query, str]:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return code.scopes(code.parsed(_assembled(spark, d, language)))
+
+    rows = [(k, *s) for k, (_, scopes, _) in enumerate(CASES[language]) for s in scopes]
+    return query, f"{_placed_sql(language)} SELECT doc_id AS file_id, scope_type, name, CAST(above + first AS INT) AS start_line, CAST(above + last AS INT) AS end_line, CAST(depth AS INT) AS depth FROM placed JOIN {_values(rows, 'piece, scope_type, name, first, last, depth')} USING (piece)"
+
+
+def _case_symbols(language: str) -> tuple[Query, str]:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        sources = _assembled(spark, d, language)
+        return code.used_symbols(code.parsed(sources), sources.select("file_id", F.lit(1).alias("start_line"), F.lit(1 << 20).alias("end_line")), builtins=True)
+
+    rows = [(k, s) for k, (_, _, used) in enumerate(CASES[language]) for s in used]
+    return query, f"{_placed_sql(language)} SELECT DISTINCT doc_id AS file_id, symbol FROM placed JOIN {_values(rows, 'piece, symbol')} USING (piece)"
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name, make, of in _KINDS:
@@ -204,4 +247,4 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
-_KINDS = (("scopes", _scopes, SCOPES), ("imports", _imports, IMPORTS), ("symbols", _symbols, USED), ("symbol_files", _symbol_files, FILES), ("first_party", _first_party, OWN))
+_KINDS = (("scopes", _scopes, SCOPES), ("imports", _imports, IMPORTS), ("symbols", _symbols, USED), ("symbol_files", _symbol_files, FILES), ("first_party", _first_party, OWN), ("case_scopes", _case_scopes, CASES), ("case_symbols", _case_symbols, CASES))

@@ -12,6 +12,7 @@ from patchloom.functions import text as X
 from patchloom.operators import code, components, diffs, filters, regions, reports, review, symbols
 from patchloom.plans import scan
 from patchloom.plans.code_catalog import _filled, _values, _with_id
+from patchloom.shared import new_path
 from patchloom.sources import files as M
 from patchloom.sources.files import Config
 from patchloom.sources.tables import table
@@ -293,6 +294,55 @@ def q_scan_contexts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("diff_id", "path", F.col("region_start_line").cast("int").alias("region_start_line"), F.col("n_region_lines").cast("int").alias("n_region_lines"), scopes.alias("scopes"), defined.alias("symbols"))
 
 
+#: By language: the files of a project (the first is changed, at a line), and the definition that its names lead to, with its file.
+_TREES: dict[str, tuple[list[tuple[str, str]], int, str, str]] = {
+    "go": ([("svc__ID__/main.go", "package main\n\nimport (\n\t\"fmt\"\n\t\"acme.io/app__ID__/model\"\n)\n\nfunc main() {\n\tfmt.Println(model(1))\n}\n"), ("svc__ID__/go.mod", "module acme.io/app__ID__\n"), ("svc__ID__/model/b.go", "package model\n"), ("svc__ID__/model/a.go", "package model\n\nfunc model(x int) int {\n\treturn x\n}\n"), ("svc__ID__/model/a_test.go", "package model\nfunc model() {}\n"), ("model/a.go", "package other\nfunc model() {}\n")], 9, "model svc__ID__/model/a.go", "func model(x int) int {\n\treturn x\n}"),
+    "php": ([("web__ID__/src/Page.php", "<?php\nuse App\\Models\\User;\nclass Page {\n    function show() { return User::find(1); }\n}\n"), ("web__ID__/composer.json", '{"autoload": {"psr-4": {"App\\\\": "code/"}}}'), ("web__ID__/code/Models/User.php", "<?php\nclass User {\n    static function find($id) {}\n}\n"), ("code/Models/User.php", "<?php\nclass User { }\n")], 4, "User web__ID__/code/Models/User.php", "class User {\n    static function find($id) {}\n}"),
+    "ruby": ([("shop__ID__/lib/cart.rb", "class Cart\n  def total\n    LineItem.sum\n  end\nend\n"), ("shop__ID__/config/application.rb", "module Shop; end\n"), ("shop__ID__/app/models/line_item.rb", "class LineItem\n  def self.sum = 1\nend\n"), ("app/models/line_item.rb", "class LineItem; end\n")], 3, "LineItem shop__ID__/app/models/line_item.rb", "class LineItem\n  def self.sum = 1\nend"),
+    "elixir": ([("apps/a__ID__/lib/page.ex", "defmodule MyApp.Page do\n  alias MyApp.Item\n  def go(x) do\n    Item.check(x)\n  end\nend\n"), ("apps/a__ID__/mix.exs", "defmodule MyApp.MixProject do\n  def project do\n    [app: :my_app]\n  end\nend\n"), ("apps/a__ID__/lib/my_app/item.ex", "defmodule MyApp.Item do\n  def check(x), do: x\nend\n"), ("lib/my_app/item.ex", "defmodule MyApp.Item do\nend\n")], 4, "Item apps/a__ID__/lib/my_app/item.ex", "defmodule MyApp.Item do\n  def check(x), do: x\nend"),
+}
+
+
+def _tree(spark: SparkSession, d: str, language: str) -> tuple[DataFrame, DataFrame]:
+    """Every document is a repository with two revisions; the first lacks the definition, and a diff changes one file in the second."""
+    files, line, _, _ = _TREES[language]
+    changed = files[0][1].split("\n")[line - 1]
+    change = f"diff --git a/{files[0][0]} b/{files[0][0]}\n--- a/{files[0][0]}\n+++ b/{files[0][0]}\n@@ -{line} +{line} @@\n-x\n+{changed}\n"
+    changes = _ids(spark, d).select(F.col("doc_id").alias("diff_id"), F.concat(F.lit("r"), "doc_id").alias("repo"), F.lit("new").alias("revision"), _filled(change).alias("text"))
+    rows = F.array(*[F.struct(F.lit(v).alias("revision"), F.lit(p).alias("p"), F.lit(t).alias("t")) for v in ("old", "new") for k, (p, t) in enumerate(files) if v == "new" or k != 2])
+    sources = _ids(spark, d).select("doc_id", F.inline(rows))
+    return changes, sources.select(F.concat(F.lit("r"), "doc_id").alias("repo"), "revision", _filled(F.col("p")).alias("path"), _filled(F.col("t")).alias("text"), X.lines(_filled(F.col("t"))).alias("lines"), F.lit(None).cast("string").alias("error"))
+
+
+def _defined(out: DataFrame) -> DataFrame:
+    found = F.array_join(F.transform("symbols", lambda s: F.concat(s["name"], F.lit(" "), s["file"], F.lit("\n"), s["code"])), ",")
+    return out.select("diff_id", "path", found.alias("symbols"))
+
+
+def _text_sql(text: str) -> str:
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in text.split("\n")).replace("__ID__", "' || doc_id || '").replace("\t", "' || chr(9) || '")
+
+
+def _add_trees() -> None:
+    for language, (files, _, place, code_) in _TREES.items():
+        _QUERIES[f"q_scan_contexts_{language}"] = lambda spark, d, language=language: _defined(scan.contexts(*_tree(spark, d, language), Config()))
+        _SQL[f"q_scan_contexts_{language}"] = f"SELECT doc_id AS diff_id, {_text_sql(files[0][0])} AS path, {_text_sql(place + chr(10) + code_)} AS symbols FROM documents"
+
+
+_add_trees()
+
+
+@_query(" UNION ALL ".join(f"SELECT doc_id * 4 + {k} AS diff_id, {_text_sql(files[0][0])} AS path, {_text_sql(place + chr(10) + code_)} AS symbols FROM documents" for k, (files, _, place, code_) in enumerate(_TREES.values())))
+def q_scan_monorepo(spark: SparkSession, d: str) -> DataFrame:
+    """One repository and revision for a document, with a project of each language in it: names lead to files of their own project."""
+    changes = sources = None
+    for k, language in enumerate(_TREES):
+        c, s = _tree(spark, d, language)
+        c = c.withColumn("diff_id", F.col("diff_id") * 4 + k)
+        changes, sources = (c, s) if changes is None else (changes.unionByName(c), sources.unionByName(s))
+    return _defined(scan.contexts(changes, sources, Config()))
+
+
 @_query("SELECT doc_id AS diff_id, 'app' || doc_id || '.py' AS file_path, 'High' AS severity, 'CWE-798' AS cwe_id, NULL AS error FROM documents UNION ALL SELECT doc_id, 'bad' || doc_id || '.py', NULL, NULL, 'binary file' FROM documents")
 def q_scan_results(spark: SparkSession, d: str) -> DataFrame:
     """Findings and errors of the review of all diffs, each under its own diff."""
@@ -344,3 +394,56 @@ def q_finding_json(spark: SparkSession, d: str) -> DataFrame:
     """Findings as JSON objects: null fields left out, lines nested."""
     rows = _few(spark, d)
     return rows.select("doc_id", reports.finding_json(rows.columns).alias("value"))
+
+
+@_query(f"""SELECT 'cwe1-' || doc_id AS finding_id, {_SEVERITY} AS severity, CASE WHEN doc_id % 7 = 6 THEN NULL ELSE 'src/' || source || '.py' END AS file_path, CASE WHEN doc_id % 4 < 3 THEN CAST(doc_id AS INT) END AS line_start, NULL AS error FROM documents
+ UNION ALL SELECT NULL, NULL, 'src/' || source || '.py', NULL, 'failed ' || doc_id FROM documents WHERE doc_id % 11 = 0""")
+def q_report_file(spark: SparkSession, d: str) -> DataFrame:
+    """Findings and errors as they stand in a written report, a line each."""
+    errors = table(spark, d, "documents").where("doc_id % 11 = 0").selectExpr("concat('src/', source, '.py') AS file_path", "concat('failed ', doc_id) AS error", "'server' AS error_type")
+    path = new_path(spark, "report") + ".json"
+    reports.write_report(_few(spark, d), errors, {"branch": "main"}, "doc_id", "2026-01-01T00:00:00Z", path, 3)
+    item = F.from_json(F.regexp_replace("value", "^,? ", ""), "finding_id string, severity string, file_path string, line_range struct<start: int>, error string").alias("i")
+    return spark.read.text(path).where(F.col("value").rlike('^,? \\{"')).select(item).select("i.finding_id", "i.severity", "i.file_path", F.col("i.line_range.start").alias("line_start"), "i.error")
+
+
+@_query("SELECT 'cwe1-' || doc_id AS finding_id, 'CWE-' || doc_id % 90 AS cwe_id, 'h' || doc_id AS code_hash, CASE WHEN doc_id % 3 > 0 THEN 'a.py' END AS file_path, 'why \"' || doc_id || '\"' AS reason FROM documents")
+def q_baseline_file(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of a baseline after they were written and read."""
+    entries = table(spark, d, "documents").selectExpr("concat('cwe1-', doc_id) AS finding_id", "concat('CWE-', doc_id % 90) AS cwe_id", "concat('h', doc_id) AS code_hash", "CASE WHEN doc_id % 3 > 0 THEN 'a.py' END AS file_path", "concat('why \"', doc_id, '\"') AS reason", "'2026-01-01' AS added_at")
+    path = new_path(spark, "baseline") + ".json"
+    reports.write_baseline(entries, path)
+    return M.baseline(spark, path).select("finding_id", "cwe_id", "code_hash", "file_path", "reason")
+
+
+@_query(f"SELECT 'cwe1-' || doc_id AS finding_id, NULL AS cwe_id, {_SEVERITY} AS severity, CASE WHEN doc_id % 7 = 6 THEN NULL ELSE 'src/' || source || '.py' END AS file_path FROM documents")
+def q_scan_cache_file(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of a scan cache after they were written and read."""
+    path = new_path(spark, "cache") + ".json"
+    reports.write_scan_cache(_few(spark, d).withColumn("cwe_id", F.lit(None).cast("string")), path, "2026-01-01T00:00:00Z")
+    return M.scan_cache(spark, path).select("finding_id", "cwe_id", "severity", "file_path")
+
+
+class Flaky:
+    """A reviewer that fails as often as its prompt says before it answers."""
+
+    def __init__(self):
+        self.failed: dict[str, int] = {}
+
+    def __call__(self, prompt: str) -> str:
+        kind, times, _ = prompt.split(" ", 2)
+        self.failed[prompt] = self.failed.get(prompt, 0) + 1
+        if self.failed[prompt] <= int(times):
+            raise review.ReviewError(kind, f"{kind} {self.failed[prompt]}")
+        return '{"findings": []}'
+
+
+_FLAKY = [("server", 0, None), ("server", 1, None), ("rate_limit", 2, None), ("timeout", 3, "timeout 3"), ("auth", 1, "auth 1"), ("connection", 2, "connection 1")]
+
+
+@_query(_expected("doc_id, CAST(n AS INT) AS n, error", [(k, e) for k, (_, _, e) in enumerate(_FLAKY)], "n, error"))
+def q_review_retries(spark: SparkSession, d: str) -> DataFrame:
+    """Transient failures are tried again, twice here; others are not."""
+    calls = _ids(spark, d).select("doc_id", F.posexplode(F.array(*[F.lit(f"{k} {n} __ID__") for k, n, _ in _FLAKY])).alias("n", "p"))
+    calls = calls.select("doc_id", "n", F.lit("f").alias("file_path"), _filled(F.col("p")).alias("prompt"))
+    return review.answers(calls, Flaky(), concurrent=64, retries=2, keys=["doc_id", "n"]).select("doc_id", "n", "error")

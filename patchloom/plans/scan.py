@@ -8,18 +8,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.functions.text import finding_id
-from patchloom.operators import code, components, diffs, filters, findings, prompts, regions, review, symbols
+from patchloom.operators import code, components, diffs, filters, findings, projects, prompts, regions, review, symbols
+from patchloom.operators.projects import VERSION, versioned
 from patchloom.shared import keep
 from patchloom.shipping import ship
-from patchloom.sources import files as M
 from patchloom.sources.files import Config, SourceError
 
 KEY = ["diff_id", "file_no"]
 SYSTEM_TOKENS = 1200
+#: Prompts of a task, where progress is told.
+PROMPTS = 32
 
 
 @dataclass
@@ -41,32 +43,13 @@ def check_ready(reviewer: Callable | None, changes: DataFrame) -> bool:
     return not changes.where(F.trim("text") != "").isEmpty()
 
 
-def reviewed_files(changes: DataFrame, sources: DataFrame, config: Config) -> DataFrame:
-    """Files of all diffs that are to be reviewed, with language, lines, text and error of their source (path, text, lines, error)."""
-    files = diffs.diff_files(changes).join(sources.select("path", "text", "lines", "error"), "path", "left")
-    return filters.analyzable(files, config.third_party_patterns, config.sensitive())
-
-
-def project(sources: DataFrame) -> Column:
-    """What the manifests at the top of the sources say of the project, by the ``language`` of a row: struct<package, namespaces, dependencies>."""
-    names = ("package.json", "pom.xml", "build.gradle", "go.mod", "Gemfile", "composer.json", "mix.exs")
-    texts = sources.where(F.col("path").isin(*names)).agg(*[F.max(F.when(F.col("path") == n, F.col("text"))).alias(n) for n in names])
-    t = {n: F.col(f"`{n}`") for n in names}
-    java_roots = F.lit(None).cast("string")
-    row = texts.select(
-        M.npm_name(t["package.json"]).alias("npm"), M.npm_workspaces(t["package.json"]).alias("spaces"), M.java_base_package(t["pom.xml"], t["build.gradle"], java_roots).alias("java"), M.go_module(t["go.mod"]).alias("go"),
-        M.gemfile_gems(t["Gemfile"]).alias("gems"), F.map_keys(M.composer_prefixes(t["composer.json"])).alias("prefixes"), M.mix_app(t["mix.exs"]).alias("mix"), M.mix_dependencies(t["mix.exs"]).alias("deps"),
-    ).first()
-    language, none = F.col("language"), F.lit(None).cast("string")
+def reviewed_files(marked: DataFrame, versions: DataFrame, sources: DataFrame, config: Config) -> DataFrame:
+    """Files of all diffs (``diffs.marked_lines``) that are to be reviewed, with repo, revision, language, lines, text and error of their source.
 
-    def many(values: list[str] | None) -> Column:
-        return F.array(*[F.lit(v) for v in values or ()]).cast("array<string>")
-
-    script = language.isin("javascript", "typescript")
-    package = F.when(script, F.lit(row["npm"])).when(language == "java", F.lit(row["java"])).when(language == "go", F.lit(row["go"])).when(language == "elixir", F.lit(row["mix"])).otherwise(none)
-    spaces = F.when(script, many(row["spaces"])).when(language == "php", many(row["prefixes"])).otherwise(many(None))
-    dependencies = F.when(language == "ruby", many(row["gems"])).when(language == "elixir", many(row["deps"])).otherwise(many(None))
-    return F.struct(package.cast("string").alias("package"), spaces.alias("namespaces"), dependencies.alias("dependencies"))
+    versions: diff_id, repo, revision. sources: repo, revision, path, text, lines, error.
+    """
+    files = diffs.diff_files(marked).join(versions, "diff_id").join(sources.select(*VERSION, "path", "text", "lines", "error"), [*VERSION, "path"], "left")
+    return filters.analyzable(files, config.third_party_patterns, config.sensitive())
 
 
 def _code_parts(files: DataFrame) -> DataFrame:
@@ -76,15 +59,28 @@ def _code_parts(files: DataFrame) -> DataFrame:
     language = F.when(F.col("language").isin("vue", "svelte"), components.script_language("text")).when(F.col("language") == "astro", components.frontmatter_language("block.content")).otherwise(F.col("language"))
     is_component = F.col("language").isin("vue", "svelte", "astro")
     rows = rows.where(~is_component | F.col("block").isNotNull())
-    return rows.select(*KEY, F.xxhash64(*KEY).alias("file_id"), "path", language.alias("language"), F.when(is_component, F.col("block.content")).otherwise(F.col("text")).alias("text"), F.when(is_component, F.col("block.start_line") - 1).otherwise(0).alias("shift"))
+    return rows.select(*KEY, *VERSION, F.xxhash64(*KEY).alias("file_id"), "path", language.alias("language"), F.when(is_component, F.col("block.content")).otherwise(F.col("text")).alias("text"), F.when(is_component, F.col("block.start_line") - 1).otherwise(0).alias("shift"))
 
 
 def contexts(changes: DataFrame, sources: DataFrame, config: Config) -> DataFrame:
-    """One row per reviewed file: diff_id, file_no, path, expanded_region, region_start_line, diff_lines, scopes, symbols, n_region_lines."""
-    files = keep(reviewed_files(changes, sources, config), "files").where("error IS NULL")
+    """One row per reviewed file: diff_id, file_no, path, expanded_region, region_start_line, diff_lines, scopes, symbols, n_region_lines.
+
+    changes: diff_id, text, and repo and revision if there are several of either; sources: path, text, lines, error, and the same.
+    """
+    sources = versioned(sources)
+    marked = keep(diffs.marked_lines(changes), "marked")
+    return _contexts(marked, keep(reviewed_files(marked, _versions(changes), sources, config), "files"), sources, config)
+
+
+def _versions(changes: DataFrame) -> DataFrame:
+    return versioned(changes).select("diff_id", *VERSION).distinct()
+
+
+def _contexts(marked: DataFrame, files: DataFrame, sources: DataFrame, config: Config) -> DataFrame:
+    files = files.where("error IS NULL")
     length = F.coalesce(F.size("lines"), F.lit(0))
-    areas = regions.file_regions(files.select(*KEY, length.alias("file_length"), "is_new_file", "is_deleted", "is_binary"), diffs.hunks(changes), KEY, config.hunk_expansion_lines)
-    areas, changed = keep(areas, "areas"), keep(diffs.diff_lines(changes), "lines")
+    areas = regions.file_regions(files.select(*KEY, length.alias("file_length"), "is_new_file", "is_deleted", "is_binary"), diffs.hunks(marked), KEY, config.hunk_expansion_lines)
+    areas, changed = keep(areas, "areas"), diffs.diff_lines(marked).join(files.select(*KEY), KEY, "left_semi")
     parts = _code_parts(files)
     parsed = keep(code.parsed(parts).join(parts.select("file_id", "shift", *KEY), "file_id"), "parsed")
 
@@ -98,14 +94,13 @@ def contexts(changes: DataFrame, sources: DataFrame, config: Config) -> DataFram
 
     shifted = areas.join(parts.select(*KEY, "file_id", "shift"), KEY).select("file_id", (F.col("start_line") - F.col("shift")).alias("start_line"), (F.col("end_line") - F.col("shift")).alias("end_line"))
     used = code.used_symbols(parsed, shifted)
-    bound = symbols.resolved_imports(used, code.imports(parsed))
-    meant = code.resolved_files(bound, parsed, sources.select("path")).join(bound.select("file_id", "symbol", "module", "is_relative"), ["file_id", "symbol"]).join(parsed.select("file_id", "language"), "file_id")
-    own = code.is_first_party(F.col("language"), F.col("module"), F.col("is_relative"), F.lit(True), project(sources), config.third_party_patterns)
-    meant = keep(meant.where(own).select("file_id", "symbol", "original", "path"), "meant")
-    targets = meant.select("path").distinct().join(sources.select("path", "text", "lines"), "path").where("text IS NOT NULL").withColumn("language", filters.language("path"))
-    targets = targets.where(~filters.is_vendored("path", config.third_party_patterns))
-    tops = code.top_level(code.parsed(targets.select(F.xxhash64("path").alias("file_id"), "path", "language", "text")))
-    defined = symbols.definitions(meant, tops, targets, config.scope_size_limit).join(parts.select("file_id", *KEY), "file_id")
+    homes = projects.nearest(parts.select(*VERSION, "path", "file_id", "language"), projects.projects(sources)).withColumnRenamed("path", "current")
+    meant = keep(projects.meant_files(used, code.imports(parsed), homes, sources, config.third_party_patterns), "meant")
+    targets = meant.select("place").distinct().join(sources.where("text IS NOT NULL").select(projects.place("path").alias("place"), "path", "text", "lines"), "place").withColumn("language", filters.language("path"))
+    targets = keep(targets.where(~filters.is_vendored("path", config.third_party_patterns)), "targets")
+    tops = code.top_level(code.parsed(targets.select(F.xxhash64("place").alias("file_id"), F.col("place").alias("path"), "language", "text")))
+    defined = symbols.definitions(meant.withColumnRenamed("place", "path"), tops, targets.select(F.col("place").alias("path"), "lines"), config.scope_size_limit)
+    defined = defined.withColumn("path", F.element_at(F.split("path", "\x00"), -1)).join(parts.select("file_id", *KEY), "file_id")
     defined = defined.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("symbol").alias("name"), F.col("path").alias("file"), "code"))).alias("symbols"))
 
     around = regions.envelope(areas, KEY).join(regions.line_count(areas, KEY), KEY)
@@ -123,21 +118,33 @@ def contexts(changes: DataFrame, sources: DataFrame, config: Config) -> DataFram
     )
 
 
-def scan(spark: SparkSession, changes: DataFrame, sources: DataFrame, reviewer: Callable[[str], str], config: Config | None = None, baseline: DataFrame | None = None, max_tokens: int | None = None) -> Scan:
+def scan(spark: SparkSession, changes: DataFrame, sources: DataFrame, reviewer: Callable[[str], str], config: Config | None = None, baseline: DataFrame | None = None, max_tokens: int | None = None, on_progress: Callable[[str, int, int], None] | None = None) -> Scan:
     """Review all diffs (diff_id, text) against source files (path, text, lines, error), one prompt a file.
 
-    Contexts, prompts, findings and errors are keyed by (diff_id, file_no), so diffs that touch one path stay apart. Sources are one
-    version of each file: diffs of different versions need a call each.
+    Contexts, prompts, findings and errors are keyed by (diff_id, file_no), so diffs that touch one path stay apart. With columns repo and revision
+    in both tables, each diff is read against its own version of the files. Diffs are parsed once. on_progress is called with (file path, files done, files in all).
     """
     config = config or Config()
     ship(spark)
-    about = keep(contexts(changes, sources, config), "contexts")
+    sources = versioned(sources)
+    marked = keep(diffs.marked_lines(changes), "marked")
+    reviewed = keep(reviewed_files(marked, _versions(changes), sources, config), "files")
+    about = keep(_contexts(marked, reviewed, sources, config), "contexts")
     keyed = about.withColumn("context_id", F.concat_ws(":", "diff_id", "file_no"))
     asked = prompts.prompts(keyed, "context_id", "file_no", max_tokens).join(keyed.select("context_id", *KEY, "path"), "context_id")
-    got = keep(review.reviewed(asked.select(*KEY, F.col("path").alias("file_path"), "prompt"), reviewer, KEY, concurrent=config.max_concurrent_api_calls, timeout=float(config.timeout)), "findings")  # calls cost money, so answers are written before use
+    asked = keep(asked.select(*KEY, F.col("path").alias("file_path"), "path", "prompt", "tokens"), "prompts") if on_progress else asked.withColumn("file_path", F.col("path"))
+    options = {"concurrent": config.max_concurrent_api_calls, "timeout": float(config.timeout)}
+    calls = asked.select(*KEY, "file_path", "prompt")
+    if on_progress:
+        total = calls.count()
+        calls = calls.repartition(max(spark.sparkContext.defaultParallelism, -(-total // PROMPTS)), *KEY)  # progress is told by task
+        with review.Progress(spark, total, on_progress) as progress:
+            got = keep(review.reviewed(calls, reviewer, KEY, progress=progress, **options), "findings")
+    else:
+        got = keep(review.reviewed(calls, reviewer, KEY, **options), "findings")  # calls cost money, so answers are written before use
     good = got.where("error IS NULL").withColumn("finding_id", finding_id("cwe_id", "file_path", "line_start", "what"))
     good = filters.confident(good, config.min_confidence)
     new = findings.suppressed(good, baseline) if baseline is not None else good
-    unread = reviewed_files(changes, sources, config).where("error IS NOT NULL").select(*KEY, F.col("path").alias("file_path"), "error", F.lit("unreadable").alias("error_type"))
+    unread = reviewed.where("error IS NOT NULL").select(*KEY, F.col("path").alias("file_path"), "error", F.lit("unreadable").alias("error_type"))
     errors = got.where("error IS NOT NULL").select(*KEY, "file_path", "error", "error_type").unionByName(unread)
     return Scan(about, asked, good, new, errors, findings.blocks(new, dict(config.thresholds)))

@@ -33,6 +33,19 @@ def diffs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.xxhash64("path").alias("diff_id"), "path", "text")
 
 
+#: Bytes of a diff file that a task reads when its lines are read by themselves.
+SPLIT_BYTES = 16 << 20
+
+
+def diff_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(diff_id, block, pos, line) of exported diff files of any size: a file is read in splits, each of them a block, and never held whole."""
+    key = "spark.sql.files.maxPartitionBytes"
+    reader = spark.newSession()  # the caller's setting stays
+    reader.conf.set(key, str(SPLIT_BYTES))
+    rows = reader.read.option("lineSep", "\n").text(path)
+    return rows.select(F.xxhash64("_metadata.file_path").alias("diff_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), F.regexp_replace("value", "\r$", "").alias("line"))
+
+
 def staged_diff(repo: str = ".") -> str:
     """The staged diff of a local repository; bytes that are no UTF-8 are replaced."""
     return _git(repo, "diff", "--cached")

@@ -39,4 +39,4 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) - {"q_token_counts"} == set(catalog.oracle_sql())  # merges have no SQL: tests/test_tokens.py

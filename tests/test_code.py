@@ -1,10 +1,13 @@
 """Code parsing and import resolution on snippets written for these tests."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from patchloom.operators import code, components
 from patchloom.operators.code_parse import parse
+from patchloom.plans.code_cases import CASES, HEADS
 
 PYTHON = """import os.path, json as j
 from .pkg import a, b as c
@@ -162,13 +165,13 @@ def test_go():
 
 def test_ruby_php_elixir():
     r = scopes("ruby", RUBY)
-    assert r[("module", "Shop")] == (5, 15, 1) and r[("class", "Cart")] == (6, 14, 2) and r[("method", "add")] == (7, 13, 3) and r[("block", "<anonymous>")][:2] == (9, 11)
+    assert r[("module", "Shop")] == (5, 15, 1) and r[("class", "Cart")] == (6, 14, 2) and r[("method", "add")] == (7, 13, 3) and r[("block", "<block>")][:2] == (9, 11)
     assert [(i.module, i.names, i.is_relative) for i in parse("ruby", RUBY).imports] == [("json", None, False), ("lib/helper", None, True), ("late", ["Late"], False)]
     p = scopes("php", PHP)
     assert p[("trait", "Named")][:2] == (5, 5) and p[("class", "Page")][:2] == (6, 11) and p[("method", "show")][:2] == (7, 10) and p[("closure", "<anonymous>")][:2] == (8, 8) and p[("function", "helper")][:2] == (12, 12)
     assert [(i.module, i.names, i.alias) for i in parse("php", PHP).imports] == [("App\\Models\\User", ["User"], None), ("App\\Util\\First", ["First"], None), ("App\\Util\\Second", ["Second"], "Sec"), ("/boot.php", None, None)]
     e = scopes("elixir", ELIXIR)
-    assert e[("module", "Shop.Cart")][:2] == (1, 13) and e[("function", "add")][:2] == (7, 12) and e[("fn", "<anonymous>")][:2] == (11, 11)
+    assert e[("module", "Shop.Cart")][:2] == (1, 13) and e[("function", "add")][:2] == (7, 12) and e[("anonymous_function", "<fn>")][:2] == (11, 11)
     assert [(i.module, i.names, i.alias) for i in parse("elixir", ELIXIR).imports] == [("Shop.Item", ["Item"], None), ("Shop.User", ["User"], None), ("Shop.Long.Name", None, "Short"), ("Enum", ["map"], None), ("GenServer", None, None)]
 
 
@@ -297,3 +300,35 @@ def test_code_in_template_strings_and_one_line_ruby():
     rb = "class A; end\ndef b; 1; end\ndef c(x) = x + 1\ndef d(x)\n  if x; 1; end\nend\nprivate def e\n  2\nend\n"
     s = scopes("ruby", rb)
     assert s[("class", "A")][:2] == (1, 1) and s[("method", "b")][:2] == (2, 2) and s[("method", "d")][:2] == (4, 6) and s[("method", "e")][:2] == (7, 9)
+
+
+@pytest.mark.parametrize("language", sorted(CASES))
+def test_pieces_of_code(language):
+    """Each piece alone, and all of them in one file."""
+    head = HEADS.get(language, "")
+    for text, want, used in CASES[language]:
+        p = parse(language, head + text)
+        shift = head.count("\n")
+        assert sorted((k, n, a - shift, b - shift, d) for k, n, a, b, d in p.scopes) == sorted(want), text
+        defined = {n for _, n, role in p.symbols if role == "definition"}
+        assert {n for _, n, role in p.symbols if role == "use"} - defined == set(used), text
+    everything = parse(language, head + "".join(t for t, _, _ in CASES[language]))
+    assert len(everything.scopes) == sum(len(s) for _, s, _ in CASES[language])
+
+
+@pytest.mark.parametrize("language", sorted(CASES))
+def test_broken_and_long_files(language):
+    """Cut or damaged anywhere, a file is still read, in time that grows with its length."""
+    head = HEADS.get(language, "")
+    text = head + "".join(t for t, _, _ in CASES[language])
+    for at in range(0, len(text), 7):
+        parse(language, text[:at])
+        parse(language, text[at:])
+        parse(language, text[:at] + "}{)(\"'`" + text[at:])
+    began = time.perf_counter()
+    parse(language, text * 30)
+    once = time.perf_counter() - began
+    for mark in ("{", "(", "`${", "<<A\n", "def f\n", "a=>", "f(<b>", '"""', "<?php ", "do\n", "x = [", "if (", "/*"):
+        began = time.perf_counter()
+        parse(language, head + mark * 3000)
+        assert time.perf_counter() - began < 10 + once, mark

@@ -1,6 +1,12 @@
 """Diff parsing on small diffs written for these tests."""
 
+import random
+import re
+
+import pytest
+
 from patchloom.operators import diffs
+from patchloom.sources import files
 
 TWO = """diff --git a/src/a.py b/src/a.py
 index 1..2 100644
@@ -73,3 +79,67 @@ def test_quoted_paths(spark):
 def test_header_with_separator_inside(spark):
     text = "diff --git a/x b/y.txt b/x b/y.txt\n--- a/x b/y.txt\n+++ b/x b/y.txt\n@@ -1 +1 @@\n-a\n+b\n"
     assert diffs.diff_files(_diffs(spark, text)).first().path == "x b/y.txt"
+
+
+def _plainly(text):
+    """A plain reading of a diff: (kind, file, hunk, number, line) of each line."""
+    out, file, hunk, start, at = [], 0, 0, 0, 0
+    for line in text.split("\n"):
+        if line.startswith("diff --git "):
+            file, hunk = file + 1, 0
+            out.append(("header", file, 0, None, line))
+            continue
+        if not file:
+            continue
+        m = re.match(diffs.HUNK, line)
+        if hunk and line[:1] in (" ", "+", "-") and line:
+            out.append(("body", file, hunk, at, line))
+            at += line[0] != "-"
+        elif m:
+            hunk, at = hunk + 1, int(m[3])
+            out.append(("hunk", file, hunk, None, line))
+        else:
+            out.append(("skip" if hunk else "meta", file, hunk, None, line))
+    return out
+
+
+def _random_diff(seed, n):
+    r = random.Random(seed)
+    made = []
+    for _ in range(n):
+        made.append(r.choice(["diff --git a/x b/x", "@@ -1 +%d @@" % r.randint(0, 99), "+a", "-b", " c", " d", "+e", "", "\\ No newline", "--- a/x", "+++ b/x", "new file mode", "@@ broken", "diff --gitx"]))
+    return "\n".join(made)
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 1000])
+def test_blocks_change_nothing(spark, monkeypatch, size):
+    """Files, hunks and line numbers are the same however a diff is cut into blocks."""
+    monkeypatch.setattr(diffs, "BLOCK", size)
+    texts = [TWO, "", "x\n+y", "+a\n" + TWO * 2, *(_random_diff(k, 60) for k in range(12))]
+    got = {}
+    for r in diffs.marked_lines(_diffs(spark, *texts)).orderBy("pos").collect():
+        got.setdefault(r.diff_id, []).append((r.kind, r.file_no, r.hunk_no, r.line_num, r.line))
+    for k, text in enumerate(texts):
+        want = _plainly(text)
+        while want and want[-1][4] == "" and text.endswith("\n"):  # a line break at the end begins no line
+            want = want[:-1]
+            break
+        assert got.get(k, []) == want, text
+
+
+def test_one_diff_spreads_over_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(diffs, "BLOCK", 1000)
+    body = "".join(f"+line {k}\n" for k in range(30_000))
+    text = f"diff --git a/a b/a\n--- a/a\n+++ b/a\n@@ -0,0 +1,30000 @@\n{body}" + TWO
+    blocks = diffs.line_blocks(_diffs(spark, text)).groupBy("block").count().collect()
+    assert len(blocks) == 31 and max(r["count"] for r in blocks) == 1000
+    marked = diffs.marked_lines(_diffs(spark, text))
+    lines = diffs.diff_lines(marked).where("file_no = 1")
+    assert lines.agg({"line_num": "max"}).first()[0] == lines.count() == 30_000
+    assert diffs.diff_files(marked).count() == 5
+    (tmp_path / "big.diff").write_text(text)
+    monkeypatch.setattr(files, "SPLIT_BYTES", 1 << 15)
+    read = files.diff_lines(spark, str(tmp_path))
+    assert read.select("block").distinct().count() > 5
+    again = diffs.marked_lines(read).select("pos", "line", "file_no", "hunk_no", "kind", "line_num")
+    assert again.exceptAll(marked.select("pos", "line", "file_no", "hunk_no", "kind", "line_num")).count() == 0 and again.count() == marked.count()

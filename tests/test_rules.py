@@ -205,3 +205,23 @@ def test_imports_first_match(spark):
     want = spark.createDataFrame([(1, s) for s in ("x", "y", "z", "os", "path", "none")], "file_id long, symbol string")
     got = {r.symbol: (r.module, r.original) for r in symbols.resolved_imports(want, imports).collect()}
     assert got == {"y": ("a.b", "y"), "z": ("a.b", "x"), "os": ("os.path", "os"), "path": ("os.path", "path"), "x": ("a.b", "x")}
+
+
+def test_sensitive_names_by_lookup(spark):
+    """What lookups find is what the globs match one by one, the first of them, on names made from their parts."""
+    import fnmatch
+    import random
+
+    from patchloom import constants as C
+
+    r = random.Random(3)
+    extra = ("*a?b*", "[xy]z*", "conf/*.Key", "a*b*c", "*", "Deep/er/Name.txt", "*mid*")
+    for globs in (C.SENSITIVE_GLOBS, (*C.SENSITIVE_GLOBS[:40], *extra, *C.SENSITIVE_GLOBS[40:])):
+        parts = [p for g in globs for p in (g, g.replace("*", ""), g.replace("*", "q"), g.replace("*", ".x."), g.split("*")[0], g.split("*")[-1]) if p]
+        paths = {r.choice(["", "/", "src/", "a/b/", ".aws/", "x.env/"]) + r.choice(["", "", "my", "."]) + r.choice(parts) + r.choice(["", "", ".bak", "x"]) for _ in range(3000)}
+        paths = sorted(p.upper() if r.random() < 0.1 else p for p in paths)
+        got = {x.path: x.s for x in spark.createDataFrame([(p,) for p in paths], "path string").select("path", filters.sensitive_pattern("path", globs).alias("s")).collect()}
+        for p in paths:
+            low = p.lower()
+            want = next((g for g in globs if (fnmatch.fnmatchcase(low, g.lower()) or fnmatch.fnmatchcase(low, f"*/{g.lower()}") if "/" in g else fnmatch.fnmatchcase(low.rsplit("/", 1)[-1], g.lower()))), None)
+            assert got[p] == want, (p, got[p], want)

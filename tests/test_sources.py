@@ -125,3 +125,18 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     assert sorted((r.path, r.language) for r in spark.read.parquet(str(tmp_path / "out" / "files")).collect()) == [(f"f{k}.py", "python") for k in range(3)]
     assert spark.read.parquet(str(tmp_path / "out" / "lines")).count() == 6
+
+
+def test_reports_of_any_size(spark, tmp_path):
+    """A report written by tasks equals the document gathered on the driver, in its order; parts are joined as files."""
+    n = 5000
+    found = spark.range(n).selectExpr("id AS ord", "concat('id', id) AS finding_id", "concat('what \"', id, '\" é') AS what", "element_at(array('Critical', 'High', 'Low'), CAST(id % 3 AS INT) + 1) AS severity", "CASE WHEN id % 4 > 0 THEN 'a.py' END AS file_path", "CASE WHEN id % 2 = 0 THEN 3 END AS line_start", "9 AS line_end").repartition(6)
+    errors = spark.createDataFrame([("x.py", "no \"answer\"", None), ("y.py", "late", "timeout")], "file_path string, error string, error_type string")
+    for rows, failed, suppressed in ((found, errors, 2), (found.limit(0), errors.limit(0), None), (found.limit(1), errors.limit(0), 0)):
+        at = tmp_path / "deep" / "report.json"
+        reports.write_report(rows, failed, {"branch": "b", "files": 2, "none": None}, "ord", "2026-01-01T00:00:00Z", str(at), suppressed)
+        assert json.loads(at.read_text("utf-8")) == reports.report(rows, failed, {"branch": "b", "files": 2, "none": None}, "ord", "2026-01-01T00:00:00Z", suppressed)
+        assert [p.name for p in at.parent.iterdir()] == ["report.json"]
+    reports.write_scan_cache(found.withColumn("cwe_id", F.lit(None).cast("string")), str(tmp_path / "cache.json"), "2026-01-01T00:00:00Z")
+    assert S.scan_cache(spark, str(tmp_path / "cache.json")).where("what = 'what \"7\" é' AND cwe_id IS NULL").count() == 1
+    assert S.scan_cache(spark, str(tmp_path / "cache.json")).count() == n
