@@ -201,8 +201,8 @@ def paragraphs(low: Column) -> Column:
     begins = sorted({" ".join(t.split()[:2]) for ts in TEMPLATES.values() for t in ts if not t.startswith("under the")} | {"this work is", "this program is", "this library is", "this file is", "copyright"})
     end = "\x01"
     steps = (
-        (r"\r\n?", "\n"), (rf"(^|\n){MARKS}(?:dnl|rem)\b", "$1"), (r"\n[\s/*#;%!>|<-]*\n", end), (r"([.!?][\"')\]]*[ \t]*(?:\*+/|-->)?[ \t]*)\n", f"$1{end}"),
-        (r"(spdx-license-identifier[^\n\x01]*)\n", f"$1{end}"), (rf"\n(?={MARKS}(?:{'|'.join(b.replace('-', '.') for b in begins)}))", end), (rf"\n{MARKS}", " "),
+        (r"\r\n?", "\n"), (rf"(^|\n){MARKS}(?:dnl|rem)\b", "$1"), (r"\n[\s/*#;%!>|<-]*\n", end), (r"([.!?][\"')\]]*+[ \t]*+(?:(?:\*++/|-->)[ \t]*+)?)\n", f"$1{end}"),
+        (r"(spdx-license-identifier[^\n\x01]*+)\n?", f"$1{end}"), (rf"\n(?={MARKS}(?:{'|'.join(b.replace('-', '.') for b in begins)}))", end), (rf"\n{MARKS}", " "),
     )
     for pattern, new in steps:
         low = F.regexp_replace(low, pattern, new)

@@ -56,16 +56,33 @@ def segments(turns: Column) -> Column:
     )))
 
 
-def mask(pieces: Column) -> Column:
-    """array<struct<start, end, train>> over the joined pieces, in one pass over them."""
-    run = "struct<start int, end int, train boolean>"
-    none = F.struct(F.array().cast(f"array<{run}>").alias("runs"), F.lit(0).alias("at"))
+#: Lengths that are added up one by one; sums of so many are added up by themselves.
+TOGETHER = 256
+
+
+def ends(lengths: Column) -> Column:
+    """Running sums of an array of int, in blocks: what a step copies is a block's sums or the sums of all blocks, never all sums before it."""
+    none = F.array().cast("array<int>")
+
+    def added(x: Column) -> Column:
+        return F.aggregate(x, none, lambda s, v: F.array_append(s, F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0)) + v))
 
-    def add(s: Column, p: Column) -> Column:
-        end = s["at"] + F.length(p["text"])
-        return F.struct(F.array_append(s["runs"], F.struct(s["at"].alias("start"), end.alias("end"), p["train"].alias("train"))).alias("runs"), end.alias("at"))
+    def blocks(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / TOGETHER).cast("int")), lambda b: added(F.slice(x, b * TOGETHER + 1, F.lit(TOGETHER))))
 
-    return F.aggregate(pieces, none, add, lambda s: s["runs"])
+    def shifted(t: Column) -> Column:
+        return F.flatten(F.transform(t["blocks"], lambda block, k: F.transform(block, lambda v: v + F.when(k > 0, F.element_at(t["before"], k)).otherwise(0))))
+
+    # A variable of a lambda is worked out once, so lengths, blocks and their sums are bound to one.
+    bound = F.transform(F.transform(F.array(lengths), blocks), lambda x: F.struct(x.alias("blocks"), added(F.transform(x, lambda block: F.element_at(block, -1))).alias("before")))
+    return F.when(F.size(lengths) == 0, none).otherwise(F.transform(bound, shifted)[0])
+
+
+def mask(pieces: Column) -> Column:
+    """array<struct<start, end, train>> over the joined pieces, in time that grows with their number."""
+    sums = ends(F.transform(pieces, lambda p: F.length(p["text"])))
+    trains = F.transform(pieces, lambda p: F.struct(F.length(p["text"]).alias("n"), p["train"].alias("train")))
+    return F.transform(F.arrays_zip(trains.alias("p"), sums.alias("end")), lambda x: F.struct((x["end"] - x["p"]["n"]).alias("start"), x["end"].alias("end"), x["p"]["train"].alias("train")))
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:

@@ -23,3 +23,15 @@ def test_line_ends_and_one_line_notices_next_to_each_other(spark):
     rows = [(1, ISC.replace("\n", "\r\n")), (2, TAGS), (3, f"/* {MIT} */\n{GPL.format(3)}\n{BSD}")]
     got = {r.doc_id: (r.licences, r.n_licences) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("isc", 1), 2: ("bsd,cc-by-nc,isc,mit", 4), 3: ("bsd,gpl-3.0,mit", 3)}
+
+
+def test_long_runs_take_linear_time(spark):
+    """A megabyte of blanks after a full stop, of tags on one line, and of marks: each in seconds."""
+    import time
+
+    texts = ["mit license." + " " * 1_000_000 + "x", "spdx-license-identifier mit " * 36_000, "mit license.\n" + "* # // " * 150_000, "mit license" + ".\"')" * 250_000, "mit license\n" + " \n" * 500_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for k in range(len(texts)):
+        began = time.perf_counter()
+        assert docs.where(f"doc_id = {k}").select(licences.F.size(licences.paragraphs(licences.F.lower("text")))).first()[0] > 0
+        assert time.perf_counter() - began < 12, k

@@ -266,3 +266,19 @@ def test_preferences_of_no_rows(spark):
 def test_preference_plan_has_no_python(spark):
     plan = _formatted(_turns(spark, CONVERSATIONS))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_masks_of_long_conversations(spark):
+    """100,000 turns are masked in seconds, and running sums are right at the edges of their blocks."""
+    import time
+
+    from patchloom.llm import preferences as P
+
+    for n in (0, 1, 255, 256, 257, 1000):
+        row = spark.range(1).select(P.ends(P.F.transform(P.F.sequence(P.F.lit(0), P.F.lit(n)), lambda k: k % 7)).alias("e"), P.ends(P.F.array().cast("array<int>")).alias("none")).first()
+        assert row["e"] == [sum(k % 7 for k in range(j + 1)) for j in range(n + 1)] and row["none"] == []
+    turns = spark.range(100_000).select(P.F.lit(1).alias("conv_id"), "id", P.F.lit("assistant").alias("role"), P.F.concat(P.F.lit("t"), "id").alias("text"))
+    pair = turns.groupBy("conv_id").agg(P.F.sort_array(P.F.collect_list(P.F.struct(P.F.col("id").alias("turn"), "role", "text"))).alias("chosen")).withColumn("rejected", P.F.slice("chosen", 1, 2))
+    began = time.perf_counter()
+    row = P.format_pairs(pair).select(P.F.size("chosen_mask").alias("n"), P.F.element_at("chosen_mask", -1)["end"].alias("end"), P.F.length("chosen_completion").alias("chars")).first()
+    assert row["n"] == 3 * 99_998 and row["end"] == row["chars"] and time.perf_counter() - began < 40
