@@ -70,7 +70,7 @@ def marked_lines(diffs: DataFrame) -> DataFrame:
     # Inside a block: files and hunks begun up to each line, and steps in the new file since the last mark.
     order = Window.partitionBy("diff_id", "block").orderBy("pos")
     rows = rows.withColumns({"nth": F.row_number().over(order) - 1, "f": F.sum(F.col("head").cast("long")).over(order), "h": F.sum(F.col("is_hunk").cast("long")).over(order), "s": F.sum("step").over(order)})
-    mark, start = F.col("head") | F.col("is_hunk"), F.when(F.col("is_hunk"), F.regexp_extract("line", HUNK, 3).cast("int"))
+    mark, start = F.col("head") | F.col("is_hunk"), F.when(F.col("is_hunk"), F.regexp_extract("line", HUNK, 3).try_cast("int"))
     rows = rows.withColumns({
         "h0": F.coalesce(F.max(F.when(F.col("head"), F.col("h"))).over(order), F.lit(0)), "s0": F.coalesce(F.max(F.when(mark, F.col("s"))).over(order), F.lit(0)),
         "marked": F.max(mark.cast("int")).over(order) == 1, "start": F.last(start, True).over(order),
@@ -149,7 +149,7 @@ def hunks(diffs: DataFrame) -> DataFrame:
     """One row per hunk: diff_id, file_no, hunk_no, old_start, old_count, new_start, new_count; a missing count is 1."""
     rows = _marked(diffs).where("kind = 'hunk'")
     number = [F.regexp_extract("line", HUNK, k) for k in range(1, 5)]
-    value = [number[0].cast("int"), F.coalesce(F.nullif(number[1], F.lit("")).cast("int"), F.lit(1)), number[2].cast("int"), F.coalesce(F.nullif(number[3], F.lit("")).cast("int"), F.lit(1))]
+    value = [number[0].try_cast("int"), F.coalesce(number[1].try_cast("int"), F.lit(1)), number[2].try_cast("int"), F.coalesce(number[3].try_cast("int"), F.lit(1))]  # Spark may take numbers of a line before it knows its kind
     return rows.select("diff_id", "file_no", "hunk_no", *[v.alias(n) for v, n in zip(value, ("old_start", "old_count", "new_start", "new_count"), strict=True)])
 
 

@@ -17,7 +17,7 @@ CASES: dict[str, list[Case]] = {
         ("const je = (a, b) => (\n  je1(a) || b\n);\n", [("arrow_function", "je", 1, 3, 1)], ["je1"]),
         ("// function no() {\n/* class No { */\nfunction* jf() { yield 1; }\nasync function jf2(u) { await u }\n", [("generator", "jf", 3, 3, 1), ("function", "jf2", 4, 4, 1)], []),
         ("const jh = function (n) {\n  if (n) { return jh1[n] }\n}\n", [("function", "jh", 1, 3, 1)], ["jh1"]),
-        ("function Ji(o) {\n  return <Jbox a={o} b=\"}\">it's {ji1} <b>}</b> don't</Jbox>;\n}\n", [("function", "Ji", 1, 3, 1)], ["Jbox", "b", "ji1"]),
+        ("function Ji(o) {\n  return <Jbox a={o} b=\"}\">it's {ji1} <jib>}</jib> don't</Jbox>;\n}\n", [("function", "Ji", 1, 3, 1)], ["Jbox", "jib", "ji1"]),
         ("if (jj1) /}/.exec(jj2);\njj3.then(function () { jj4() }, (w, z) => {\n  w(z)\n})\n", [("function", "<anonymous>", 2, 2, 1), ("arrow_function", "<anonymous>", 2, 4, 1)], ["jj1", "jj2", "jj3", "jj4"]),
         ("class Jk extends Jbase {\n  constructor(r) { super(r) }\n  static { jk1() }\n  [jk2]() { return { jk3: 1 } }\n}\n", [("class", "Jk", 1, 5, 1), ("method", "constructor", 2, 2, 2), ("method", "[jk2]", 4, 4, 2)], ["Jbase", "jk1", "jk2"]),
         ("let jl = 1, jl2 = jl3\nvar jl4 = { jl5: jl6, if: 2 }\njl.x = jl7\n", [], ["jl3", "jl6", "jl7"]),
@@ -45,7 +45,7 @@ CASES: dict[str, list[Case]] = {
         ("class Vf {\n    Object o = new Object() { public String toString() { return vf1.go(); } };\n    static { vf2(); }\n}\n", [("class", "Vf", 1, 4, 1), ("method", "toString", 2, 2, 2)], ["vf1", "vf2"]),
         ("// class No {\n@interface Vg { String value() default \"}\"; }\n", [("method", "value", 2, 2, 1)], []),
         ("class Vh {\n    Vh(int n) { this.n = n; }\n    abstract void nobody(String q);\n    class In { char c() { return '}'; } }\n}\n", [("class", "Vh", 1, 5, 1), ("constructor", "Vh", 2, 2, 2), ("method", "nobody", 3, 3, 2), ("class", "In", 4, 4, 2), ("method", "c", 4, 4, 3)], []),
-        ("class Vj {\n    void run() throws X {\n        try (Res r = vj1()) { vj2.stream().map(Vj3::new); }\n        catch (A | B e) { throw e; }\n        if (a < b && c > d) { int x = (int) vj4, y = 2; }\n    }\n}\n", [("class", "Vj", 1, 7, 1), ("method", "run", 2, 6, 2)], ["vj1", "vj2", "Vj3", "a", "b", "c", "d", "vj4"]),
+        ("class Vj {\n    void run() throws X {\n        try (Res r = vj1()) { vj2.stream().map(Vj3::new); }\n        catch (A | B e) { throw e; }\n        if (vj5 < vj6 && vj7 > vj8) { int x = (int) vj4, y = 2; }\n    }\n}\n", [("class", "Vj", 1, 7, 1), ("method", "run", 2, 6, 2)], ["vj1", "vj2", "Vj3", "vj5", "vj6", "vj7", "vj8", "vj4"]),
     ],
     "go": [
         ("type Ga func(int) string\n", [], []),
