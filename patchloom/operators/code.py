@@ -15,6 +15,7 @@ from patchloom import constants as C
 from patchloom.functions.text import camel_case, snake_case
 from patchloom.operators import code_names, symbols
 from patchloom.operators.code_parse import parse
+from patchloom.operators.filters import any_of
 
 PARSED = (
     "file_id long, path string, language string, scopes array<struct<scope_type string, name string, start_line int, end_line int, depth int>>, "
@@ -190,16 +191,12 @@ def is_first_party(language: Column, module: Column, is_relative: Column, exists
     exists: whether the module leads to a file of the project. project: struct<package, namespaces array, dependencies array>, the
     project's own name (npm name, base package, go.mod module, mix app), its PSR-4 prefixes or workspaces, and its gems or deps.
     """
-    vendored = F.lit(False)
-    for p in patterns:
-        vendored = vendored | F.contains(module, F.lit(p))
+    vendored = any_of([F.contains(module, F.lit(p)) for p in patterns])
     package, spaces, deps = project["package"], F.coalesce(project["namespaces"], F.array().cast("array<string>")), F.coalesce(project["dependencies"], F.array().cast("array<string>"))
     head = F.get(F.split(module, r"\."), F.lit(0))
     python = ~head.isin(*sorted(code_names.python_modules())) & exists & ~vendored
     script = (module == package) | F.array_contains(spaces, module) | F.startswith(module, F.concat(package, F.lit("/")))
-    platform = F.lit(False)
-    for p in code_names.JAVA_PREFIXES:
-        platform = platform | F.startswith(module, F.lit(p))
+    platform = any_of([F.startswith(module, F.lit(p)) for p in code_names.JAVA_PREFIXES])
     java = ~platform & (F.startswith(module, F.concat(package, F.lit("."))) | exists)
     go = F.contains(module, F.lit(".")) & ~vendored & ((module == package) | F.startswith(module, F.concat(package, F.lit("/"))))
     ruby = ~module.isin(*code_names.RUBY_MODULES) & ~vendored & ~F.array_contains(deps, module) & exists

@@ -17,7 +17,16 @@ def _col(c: Column | str) -> Column:
 
 
 def base_name(path: Column | str) -> Column:
-    return F.element_at(F.split(_col(path), "/"), -1)
+    return F.substring_index(_col(path), "/", -1)
+
+
+def any_of(tests: Sequence[Column]) -> Column:
+    """Whether any of the tests holds, as a balanced tree: a chain of many would nest too deep for the compiler of plans."""
+    tests = list(tests)
+    if len(tests) < 2:
+        return tests[0] if tests else F.lit(False)
+    half = len(tests) // 2
+    return any_of(tests[:half]) | any_of(tests[half:])
 
 
 def language(path: Column | str) -> Column:
@@ -35,10 +44,7 @@ def language(path: Column | str) -> Column:
 def is_vendored(path: Column | str, patterns: Sequence[str] = C.VENDOR_PATTERNS) -> Column:
     """Whether a path begins with a pattern or has it after a slash, so ``log/`` does not match ``blog/``."""
     path = _col(path)
-    out = F.lit(False)
-    for p in patterns:
-        out = out | F.startswith(path, F.lit(p)) | F.contains(path, F.lit(f"/{p}"))
-    return out
+    return any_of([t for p in patterns for t in (F.startswith(path, F.lit(p)), F.contains(path, F.lit(f"/{p}")))])
 
 
 def glob_regex(pattern: str) -> str:
@@ -60,11 +66,25 @@ def sensitive_pattern(path: Column | str, patterns: Sequence[str] = C.SENSITIVE_
     the name, of each length that occurs, in hashed sets. What each lookup finds is the place of a glob, and the least place wins. Only globs of other
     forms (two stars with something before or after, question marks, sets) are tested one by one, the usual two-star form by ``contains``.
     """
+    found = _lookups(path, patterns)
+    if not found:
+        return F.lit(None).cast("string")
+    places = [F.when(hit, place) for hit, place in found]
+    return F.get(F.array(*[F.lit(p) for p in patterns]), places[0] if len(places) == 1 else F.least(*places))
+
+
+def is_sensitive(path: Column | str, patterns: Sequence[str] = C.SENSITIVE_GLOBS) -> Column:
+    """Whether any glob matches a path: the tests of ``sensitive_pattern`` without their places."""
+    return any_of([hit for hit, _ in _lookups(path, patterns)])
+
+
+def _lookups(path: Column | str, patterns: Sequence[str]) -> list[tuple[Column, Column]]:
+    """(test, least place of a glob that it stands for)."""
     low = F.lower(_col(path))
-    name = F.element_at(F.split(low, "/"), -1)
+    name = F.substring_index(low, "/", -1)
     whole: dict[int, dict[str, int]] = {}  # parts of the path: text: place
     ends: dict[tuple[int, int], dict[str, int]] = {}  # lengths of beginning and end: text: place
-    found: list[Column] = []
+    found: list[tuple[Column, Column]] = []
     for place, pattern in enumerate(patterns):
         glob = pattern.lower()
         stars, plain = glob.count("*"), not set("?[") & set(glob)
@@ -74,24 +94,19 @@ def sensitive_pattern(path: Column | str, patterns: Sequence[str] = C.SENSITIVE_
             before, after = glob.split("*")
             ends.setdefault((len(before), len(after)), {}).setdefault(f"{before}*{after}", place)
         elif plain and stars == 2 and "/" not in glob and glob[0] == glob[-1] == "*":
-            found.append(F.when(F.contains(name, F.lit(glob[1:-1])), F.lit(place)))
+            found.append((F.contains(name, F.lit(glob[1:-1])), F.lit(place)))
         else:
-            found.append(F.when(low.rlike(glob_regex(pattern)), F.lit(place)))
+            found.append((low.rlike(glob_regex(pattern)), F.lit(place)))
 
-    def looked_up(key: Column, places: dict[str, int]) -> Column:
-        known = F.create_map(*[F.lit(x) for kv in places.items() for x in kv])
-        return F.when(key.isin(*places), F.try_element_at(known, key))
+    def looked_up(key: Column, places: dict[str, int], possible: Column | None = None) -> tuple[Column, Column]:
+        test = key.isin(*places)
+        return (test if possible is None else possible & test), F.try_element_at(F.create_map(*[F.lit(x) for kv in places.items() for x in kv]), key)
 
     for parts, places in whole.items():
-        key = name if parts == 1 else F.array_join(F.slice(F.split(low, "/"), F.lit(-parts), F.lit(parts)), "/")
-        found.append(looked_up(key, places) if parts == 1 else F.when(F.size(F.split(low, "/")) >= parts, looked_up(key, places)))
+        found.append(looked_up(F.substring_index(low, "/", -parts), places))
     for (a, b), places in ends.items():
-        key = F.concat(F.left(name, F.lit(a)), F.lit("*"), F.right(name, F.lit(b)))
-        found.append(F.when(F.char_length(name) >= a + b, looked_up(key, places)))
-    if not found:
-        return F.lit(None).cast("string")
-    least = found[0] if len(found) == 1 else F.least(*found)
-    return F.get(F.array(*[F.lit(p) for p in patterns]), least)
+        found.append(looked_up(F.concat(F.left(name, F.lit(a)), F.lit("*"), F.right(name, F.lit(b))), places, F.char_length(name) >= a + b))
+    return found
 
 
 def sensitive_split(files: DataFrame, patterns: Sequence[str] = C.SENSITIVE_GLOBS) -> DataFrame:
@@ -105,10 +120,7 @@ def _begins(lines: Column, marks: Sequence[str], first: int) -> Column:
 
 
 def _any(tests) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | t
-    return out
+    return any_of(list(tests))
 
 
 def is_generated(path: Column | str, lines: Column | str, language_: Column | str) -> Column:
@@ -147,7 +159,7 @@ def analyzable(files: DataFrame, vendor: Sequence[str] = C.VENDOR_PATTERNS, sens
     The cheap tests on the path come first in the plan; ``lines`` may be null for a file that can't be read.
     """
     kept = files.where(~F.col("is_binary") & ~F.col("is_deleted")).withColumn("language", language("path"))
-    kept = kept.where(F.col("language").isNotNull() & ~is_vendored("path", vendor) & sensitive_pattern("path", sensitive).isNull())
+    kept = kept.where(F.col("language").isNotNull() & ~is_vendored("path", vendor) & ~is_sensitive("path", sensitive))
     return kept.where(~is_generated("path", F.coalesce("lines", F.array().cast("array<string>")), "language"))
 
 

@@ -108,13 +108,13 @@ class Progress:
 
 
 def answers(
-    prompts: DataFrame, reviewer: Callable[[str], str], concurrent: int = 5, retries: int = 0, timeout: float = 120.0, keys: Sequence[str] = (), progress: Progress | None = None
+    prompts: DataFrame, reviewer: Callable[[str], str], concurrent: int = 5, retries: int = 0, timeout: float = 120.0, keys: Sequence[str] = (), progress: Progress | None = None, wait: float = 1.0
 ) -> DataFrame:
     """(keys, file_path, prompt) to (keys, file_path, raw, error, error_type): each task makes at most ``concurrent`` calls at once; a failed one has a null answer.
 
     A call's time runs from its own start, retries included. A late call counts as failed; its thread is left behind and another takes its
     place, so neither other calls nor the end of the task wait for it. After LATE times ``concurrent`` late calls a task calls no more: its other
-    prompts fail as late, so threads are bounded. ``progress`` hears of the files of each task that ends.
+    prompts fail as late, so threads are bounded. ``wait`` scales the pauses before calls that are tried again. ``progress`` hears of the files of each task that ends.
     """
     told = progress.reviewed if progress else None
 
@@ -128,7 +128,7 @@ def answers(
             except ReviewError as e:
                 if e.kind not in TRANSIENT or attempt == retries:
                     return None, str(e), "context_length" if is_too_long(str(e)) else e.kind
-                time.sleep(min(8.0, 2.0**attempt) * random.random() / 4)
+                time.sleep(wait * min(8.0, 2.0**attempt) * random.random() / 4)
             except Exception as e:
                 text = str(e) or type(e).__name__
                 return None, text, "context_length" if is_too_long(text, getattr(e, "code", None)) else type(e).__name__

@@ -446,4 +446,4 @@ def q_review_retries(spark: SparkSession, d: str) -> DataFrame:
     """Transient failures are tried again, twice here; others are not."""
     calls = _ids(spark, d).select("doc_id", F.posexplode(F.array(*[F.lit(f"{k} {n} __ID__") for k, n, _ in _FLAKY])).alias("n", "p"))
     calls = calls.select("doc_id", "n", F.lit("f").alias("file_path"), _filled(F.col("p")).alias("prompt"))
-    return review.answers(calls, Flaky(), concurrent=64, retries=2, keys=["doc_id", "n"]).select("doc_id", "n", "error")
+    return review.answers(calls, Flaky(), concurrent=64, retries=2, keys=["doc_id", "n"], wait=0.001).select("doc_id", "n", "error")

@@ -93,8 +93,9 @@ def _contexts(marked: DataFrame, files: DataFrame, sources: DataFrame, config: C
     scopes = scopes.select(*KEY, F.transform("s", lambda s: F.struct(s["type"].alias("type"), s["name"].alias("name"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), s["source"].alias("source"))).alias("scopes"))
 
     shifted = areas.join(parts.select(*KEY, "file_id", "shift"), KEY).select("file_id", (F.col("start_line") - F.col("shift")).alias("start_line"), (F.col("end_line") - F.col("shift")).alias("end_line"))
-    used = code.used_symbols(parsed, shifted)
+    used = keep(code.used_symbols(parsed, shifted), "used")
     homes = projects.nearest(parts.select(*VERSION, "path", "file_id", "language"), projects.projects(sources)).withColumnRenamed("path", "current")
+    homes = keep(homes, "homes")  # plain columns from here on: what manifests say stands in many tests below
     meant = keep(projects.meant_files(used, code.imports(parsed), homes, sources, config.third_party_patterns), "meant")
     targets = meant.select("place").distinct().join(sources.where("text IS NOT NULL").select(projects.place("path").alias("place"), "path", "text", "lines"), "place").withColumn("language", filters.language("path"))
     targets = keep(targets.where(~filters.is_vendored("path", config.third_party_patterns)), "targets")
