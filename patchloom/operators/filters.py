@@ -43,8 +43,11 @@ def language(path: Column | str) -> Column:
 
 def is_vendored(path: Column | str, patterns: Sequence[str] = C.VENDOR_PATTERNS) -> Column:
     """Whether a path begins with a pattern or has it after a slash, so ``log/`` does not match ``blog/``."""
-    path = _col(path)
-    return any_of([t for p in patterns for t in (F.startswith(path, F.lit(p)), F.contains(path, F.lit(f"/{p}")))])
+    if not patterns:
+        return F.lit(False)
+    # One expression over the patterns: written out, their negation becomes a chain too deep for the compiler of plans.
+    whole = F.concat(F.lit("/"), _col(path))
+    return F.exists(F.array(*[F.lit(f"/{p}") for p in patterns]), lambda p: F.contains(whole, p))
 
 
 def glob_regex(pattern: str) -> str:
