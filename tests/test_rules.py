@@ -225,3 +225,20 @@ def test_sensitive_names_by_lookup(spark):
             low = p.lower()
             want = next((g for g in globs if (fnmatch.fnmatchcase(low, g.lower()) or fnmatch.fnmatchcase(low, f"*/{g.lower()}") if "/" in g else fnmatch.fnmatchcase(low.rsplit("/", 1)[-1], g.lower()))), None)
             assert got[p] == want, (p, got[p], want)
+
+
+def test_equal_intervals_stay_in_one_region(spark):
+    """Many equal intervals at a file's end: regions are those of a loop over the sorted intervals."""
+    draw = random.Random(4)
+    rows = [(k, min(start, 90), min(start + draw.randrange(9), 90)) for k in range(40) for start in (draw.randrange(1, 200) for _ in range(30))]
+    want = []
+    for k in range(40):
+        mine: list[list[int]] = []
+        for start, end in sorted((a, b) for u, a, b in rows if u == k):
+            if mine and start <= mine[-1][1] + 1:
+                mine[-1][1] = max(mine[-1][1], end)
+            else:
+                mine.append([start, end])
+        want += [(k, a, b) for a, b in mine]
+    got = regions.merged(spark.createDataFrame(rows, "k int, start_line int, end_line int").repartition(7), ["k"])
+    assert sorted(map(tuple, got.collect())) == want
