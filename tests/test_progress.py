@@ -75,3 +75,31 @@ def test_threads_of_late_calls_are_bounded(spark):
     assert {r["error_type"]: r["count"] for r in got.groupBy("error_type").count().collect()} == {"timeout": 200}
     assert time.perf_counter() - began < 30
     assert got.select(F.max("raw")).first()[0] is None
+
+
+def test_each_prompt_is_asked_once(spark, tmp_path):
+    """Findings, broken answers and failures come from one pass of calls."""
+
+    def reviewer(prompt):
+        with open(f"{tmp_path}/asked", "a") as f:
+            f.write(prompt + "\n")
+        if prompt.endswith("3"):
+            raise review.ReviewError("auth")
+        return "no json" if prompt.endswith("5") else '{"findings": []}'
+
+    calls = spark.createDataFrame([(k, f"f{k}", f"p{k}") for k in range(30)], CALLS).repartition(4)
+    got = review.reviewed(calls, reviewer, ["k"]).collect()
+    assert sorted(r.error_type for r in got) == ["auth"] * 3 + ["malformed"] * 3
+    assert sorted((tmp_path / "asked").read_text().split()) == sorted(f"p{k}" for k in range(30))
+
+
+def test_calls_share_few_threads(spark):
+    """A task starts no thread for each call: 2,000 calls, three at once, come from a few threads and overlap."""
+
+    def reviewer(prompt):
+        time.sleep(0.0002)
+        return f"{threading.current_thread().name} {threading.active_count()}"
+
+    calls = spark.range(2000, numPartitions=1).selectExpr("id AS k", "'f' AS file_path", "string(id) AS prompt")
+    names = [r.raw.rsplit(" ", 1)[0] for r in review.answers(calls, reviewer, concurrent=3, keys=["k"]).collect()]
+    assert len(names) == 2000 and 1 < len(set(names)) <= 9
