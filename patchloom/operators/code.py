@@ -5,16 +5,18 @@ Sources are (file_id, path, language, text). Only ``parsed`` runs Python; all el
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom import constants as C
 from patchloom.functions.text import camel_case, snake_case
 from patchloom.operators import code_names, symbols
-from patchloom.operators.code_parse import parse
+from patchloom.operators.code_parse import Import, parse
 from patchloom.operators.filters import any_of
 
 PARSED = (
@@ -24,24 +26,56 @@ PARSED = (
 )
 
 
+#: Files, and characters of them, whose parse a task holds at once.
+FILES, CHARS = 256, 1 << 20
+#: Tasks of a parse for each core: a parse costs far more than moving its text, and a table may come in few files, or small ones that were joined.
+TASKS = 3
+_STRINGS = pa.list_(pa.string())
+_ALIASES = pa.list_(pa.struct([("original", pa.string()), ("alias", pa.string())]))
+_SCOPE = [("scope_type", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("depth", pa.int32())]
+_IMPORT = [("module", pa.string()), ("names", _STRINGS), ("alias", pa.string()), ("name_aliases", _ALIASES), ("is_star", pa.bool_()), ("is_relative", pa.bool_()), ("level", pa.int32())]
+_SYMBOL = [("line", pa.int32()), ("name", pa.string()), ("role", pa.string())]
+_TOP_LEVEL = [("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]
+
+
+def _structs(rows: list[list[tuple]], fields: list[tuple[str, pa.DataType]]) -> pa.Array:
+    """An array of structs for each file, built column by column."""
+    flat = [x for r in rows for x in r]
+    columns = list(zip(*flat, strict=True)) if flat else [()] * len(fields)
+    structs = pa.StructArray.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, fields, strict=True)], fields=[pa.field(n, t) for n, t in fields])
+    return pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(map(len, rows))], type=pa.int32()), structs)
+
+
+def _imported(i: Import) -> tuple:
+    return i.module, i.names, i.alias, [{"original": o, "alias": a} for o, a in i.name_aliases], i.is_star, i.is_relative, i.level
+
+
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most FILES files that end where CHARS are passed."""
+    at, chars = 0, 0
+    for k, n in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+        chars += n or 0
+        if k + 1 - at == FILES or chars > CHARS:
+            yield batch.slice(at, k + 1 - at)
+            at, chars = k + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def parsed(sources: DataFrame) -> DataFrame:
     """Each file with all that its parser finds; a file that can't be parsed has empty arrays, a null text counts as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                p = parse(r.language or "", r.text or "")
-                imports = [(i.module, i.names, i.alias, i.name_aliases, i.is_star, i.is_relative, i.level) for i in p.imports]
-                rows.append((r.file_id, r.path, r.language, p.scopes, [dict(zip(("module", "names", "alias", "name_aliases", "is_star", "is_relative", "level"), i, strict=True)) for i in imports], p.symbols, p.top_level))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in ("file_id", "path", "language", "scopes", "imports", "symbols", "top_level")])
-            out["scopes"] = [[dict(zip(("scope_type", "name", "start_line", "end_line", "depth"), s, strict=True)) for s in x] for x in out["scopes"]]
-            out["symbols"] = [[dict(zip(("line", "name", "role"), s, strict=True)) for s in x] for x in out["symbols"]]
-            out["top_level"] = [[dict(zip(("name", "start_line", "end_line"), s, strict=True)) for s in x] for x in out["top_level"]]
-            out["imports"] = [[i | {"name_aliases": [{"original": o, "alias": a} for o, a in i["name_aliases"]]} for i in x] for x in out["imports"]]
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in itertools.chain.from_iterable(map(_portions, batches)):
+            found = [parse(lang or "", text or "") for lang, text in zip(batch.column("language").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            columns = [
+                _structs([p.scopes for p in found], _SCOPE), _structs([[_imported(i) for i in p.imports] for p in found], _IMPORT),
+                _structs([p.symbols for p in found], _SYMBOL), _structs([p.top_level for p in found], _TOP_LEVEL),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("file_id", "path", "language")] + columns, ["file_id", "path", "language", "scopes", "imports", "symbols", "top_level"])
 
-    return sources.select("file_id", "path", "language", "text").mapInPandas(run, PARSED)
+    spread = sources.select(F.col("file_id").cast("long").alias("file_id"), "path", "language", "text")
+    return spread.repartition(TASKS * sources.sparkSession.sparkContext.defaultParallelism, "file_id").mapInArrow(run, PARSED)
 
 
 def scopes(parsed_: DataFrame) -> DataFrame:
@@ -61,10 +95,9 @@ def top_level(parsed_: DataFrame) -> DataFrame:
 
 def used_symbols(parsed_: DataFrame, regions: DataFrame, builtins: bool = False) -> DataFrame:
     """Distinct (file_id, symbol) used in a region (file_id, start_line, end_line) and not defined in the same one; built-in names only with ``builtins``."""
-    rows = parsed_.select("file_id", "language", F.inline("symbols")).join(regions, "file_id").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    keys = ["file_id", "language", "start_line", "end_line"]
-    named = rows.select(*keys, F.col("name").alias("symbol"), "role")
-    left = named.where("role = 'use'").drop("role").distinct().join(named.where("role = 'definition'").drop("role").distinct(), [*keys, "symbol"], "left_anti")
+    rows = parsed_.select("file_id", "language", "symbols").join(regions, "file_id").select("file_id", "language", "start_line", "end_line", F.inline("symbols"))
+    named = rows.where(F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("file_id", "language", "start_line", "end_line", F.col("name").alias("symbol"))
+    left = named.agg(F.max(F.col("role") == "use").alias("used"), F.max(F.col("role") == "definition").alias("defined")).where("used and not defined")
     left = left.select("file_id", "language", "symbol").distinct()
     if not builtins:
         left = left.where(~is_builtin(F.col("language"), F.col("symbol")))
@@ -116,10 +149,13 @@ def candidates(language: Column, module: Column, is_relative: Column, level: Col
     beside = F.when(dotted == "", up).otherwise(_under(up, dotted))
     python = F.when(is_relative, F.array(*each(beside, (".py", "/__init__.py")))).otherwise(F.array(*each(dotted, (".py", "/__init__.py")), *each(F.concat(F.lit("src/"), dotted), (".py", "/__init__.py"))))
     near = normal_path(_under(folder(current), module))
-    bare = F.regexp_replace(near, r"\.[^./]+$", "")
 
     def script(ends: tuple[str, ...]) -> Column:
-        return F.when(is_relative, F.array(near, *each(bare, ends), *each(near, tuple(f"/index{e}" for e in ends)))).otherwise(F.array().cast("array<string>"))
+        def around(path: Column, bare: Column) -> Column:
+            return F.array(path, *each(bare, ends), *each(path, tuple(f"/index{e}" for e in ends)))
+
+        known = F.transform(F.array(near), lambda p: F.struct(p.alias("path"), F.regexp_replace(p, r"\.[^./]+$", "").alias("bare")))  # worked out once for all candidates
+        return F.when(is_relative, F.get(F.transform(known, lambda k: around(k["path"], k["bare"])), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
     slashes = F.replace(module, F.lit("."), F.lit("/"))
     java = F.array(*[F.concat(F.lit(p), slashes, F.lit(".java")) for p in ("src/main/java/", "src/test/java/", "src/", "")])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from patchloom.operators import code, symbols
 from patchloom.plans.code_cases import CASES, HEADS
 from patchloom.plans.code_samples import SAMPLES
+from patchloom.shared import keep
 from patchloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,17 +112,17 @@ def _imports(language: str) -> tuple[Query, str]:
     return query, f"SELECT doc_id AS file_id, CAST(ord AS INT) AS ord, {_with_id('module')} AS module, {_with_id('names')} AS names, {_with_id('alias')} AS alias, {_with_id('aliases')} AS aliases, is_star, is_relative FROM documents, {_values(rows, 'ord, module, names, alias, aliases, is_star, is_relative')}"
 
 
-def _used(spark: SparkSession, d: str, language: str, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    parsed = code.parsed(sources)
+def _used(language: str, parsed: DataFrame, sources: DataFrame) -> DataFrame:
     first, last, _ = USED[language]
     shift = F.expr(SHIFT)
     regions = sources.select("file_id", (shift + first).alias("start_line"), (shift + last).alias("end_line"))
-    return parsed, code.used_symbols(parsed, regions)
+    return code.used_symbols(parsed, regions)
 
 
 def _symbols(language: str) -> tuple[Query, str]:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return _used(spark, d, language, _sources(spark, d, language))[1]
+        sources = _sources(spark, d, language)
+        return _used(language, code.parsed(sources), sources)
 
     return query, f"SELECT doc_id AS file_id, {_with_id('symbol')} AS symbol FROM documents, {_values([(s,) for s in USED[language][2]], 'symbol')}"
 
@@ -129,7 +130,8 @@ def _symbols(language: str) -> tuple[Query, str]:
 def _symbol_files(language: str) -> tuple[Query, str]:
     def query(spark: SparkSession, d: str) -> DataFrame:
         sources = _sources(spark, d, language)
-        parsed, used = _used(spark, d, language, sources)
+        parsed = keep(code.parsed(sources), "parsed")
+        used = _used(language, parsed, sources)
         there = F.explode(F.array(*[_filled(f) for f in FILES[language][0]])).alias("path")
         files = sources.select("path").unionByName(table(spark, d, "documents").select(there))
         return code.resolved_files(symbols.resolved_imports(used, code.imports(parsed)), parsed, files).select("file_id", "symbol", "original", "path")
@@ -167,11 +169,12 @@ def q_symbol_files_php(spark: SparkSession, d: str) -> DataFrame:
 
 def q_symbol_files_ruby(spark: SparkSession, d: str) -> DataFrame:
     """Ruby imports that lead to a file, and constants without an import in the folders that the framework loads."""
-    parsed = code.parsed(_sources(spark, d, "ruby"))
+    sources = _sources(spark, d, "ruby")
+    parsed = keep(code.parsed(sources), "parsed")
     files = table(spark, d, "documents").select(F.explode(F.array(*[_filled(f) for f in ("lib/help/h__ID__.rb", "app/models/helper__ID__.rb", "app/helper__ID__.rb")])).alias("path"))
     near = code.imports(parsed).where("is_relative").select("file_id", F.col("module").alias("symbol"), F.col("module").alias("original"), "module", "is_relative", "level")
     found = code.resolved_files(near, parsed, files).select("file_id", "symbol", "path")
-    used = _used(spark, d, "ruby", _sources(spark, d, "ruby"))[1].where("symbol rlike '^[A-Z]'")
+    used = _used("ruby", parsed, sources).where("symbol rlike '^[A-Z]'")
     return found.unionByName(code.framework_files(used, "rails", files))
 
 

@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,3 +333,22 @@ def test_broken_and_long_files(language):
         began = time.perf_counter()
         parse(language, head + mark * 3000)
         assert time.perf_counter() - began < 10 + once, mark
+
+
+def test_a_parse_holds_few_files():
+    """Portions end at a number of files and where their characters pass a bound, nulls included; together they are the batch."""
+    texts = ["x"] * (code.FILES + 3) + [None, "y" * (code.CHARS + 1), "z", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, type=pa.string())], ["text"])
+    parts = [p.column("text").to_pylist() for p in code._portions(batch)]
+    assert [len(p) for p in parts] == [code.FILES, 5, 2] and sum(parts, []) == texts
+    assert list(code._portions(batch.slice(0, 0))) == []
+
+
+def test_names_take_one_parse_in_many_tasks(spark):
+    """One task's files go to several, and uses and definitions come from one pass over the parse."""
+    rows = spark.range(0, 40, 1, 1).selectExpr("id AS file_id", "concat('f', id) AS path", "'python' AS language", "concat('def f(a):\n    return a + g', id, '(f)\n') AS text")
+    parsed = code.parsed(rows)
+    assert parsed.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    used = code.used_symbols(parsed, rows.selectExpr("file_id", "1 AS start_line", "2 AS end_line"))
+    assert sorted(map(tuple, used.collect())) == [(k, f"g{k}") for k in range(40)]
+    assert used._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
