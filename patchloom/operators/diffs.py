@@ -2,7 +2,7 @@
 
 A diff is cut into blocks of lines, so one diff of any size spreads over tasks. Running sums number the marks inside each block; a summary of
 each block says what it adds to those after it; the summaries, few, are summed up by diff; and each block is finished by itself with what
-its diff had before it. ``marked_lines`` does this once, and files, hunks and lines all come from its rows. Only C-quoted paths need Python.
+its diff had before it. ``marked_lines`` does this once, and files, hunks and lines all come from its rows. No step needs Python.
 """
 
 from __future__ import annotations
@@ -133,16 +133,31 @@ def diff_files(diffs: DataFrame) -> DataFrame:
     return found.withColumn("path", F.when(F.col("is_deleted"), F.col("old_path")).otherwise(F.col("new_path")))
 
 
-@F.pandas_udf(T.StringType())
-def _unquoted_line(line: pd.Series) -> pd.Series:
-    """A header or metadata line with its C-quoted paths decoded."""
+def _unquoted_line(line: Column) -> Column:
+    """A header or metadata line with its C-quoted paths decoded, as by ``unquote_c``; a quotation that does not end stays as it is.
 
-    def plain(text: str | None) -> str | None:
-        if text is None or '"' not in text:
-            return text
-        return re.sub(r'"(?:[^"\\]|\\[\s\S])*"', lambda m: unquote_c(m[0])[0], text)
+    The line is cut into escapes, quotes and the texts between them, which are gone through once: ``out`` is what is done, ``raw`` and ``text``
+    what an open quotation has so far, as it stands and decoded. Outside of quotations a backslash is a plain character.
+    """
 
-    return line.map(plain)
+    def decoded(t: Column) -> Column:
+        escape = F.substring(t, 2, 3)
+        byte = F.decode(F.unhex(F.lpad(F.conv(escape, 8, 16), 4, "0")), "UTF-16BE")
+        known = F.create_map(*[F.lit(x) for kv in _ESCAPES.items() for x in kv])
+        return F.when(~F.startswith(t, F.lit("\\")) | (F.length(t) == 1), t).when(F.length(t) == 4, byte).otherwise(F.coalesce(F.try_element_at(known, escape), escape))
+
+    def step(state: Column, t: Column) -> Column:
+        out, raw, text = state["out"], state["raw"], state["text"]
+        ends, begins = F.endswith(t, F.lit('"')), t == '\\"'
+        outside = F.when(ends, F.struct(F.when(begins, F.concat(out, F.lit("\\"))).otherwise(out).alias("out"), F.lit('"').alias("raw"), F.lit("").alias("text")))
+        outside = outside.otherwise(F.struct(F.concat(out, t).alias("out"), F.lit("").alias("raw"), F.lit("").alias("text")))
+        inside = F.when(t == '"', F.struct(F.concat(out, text).alias("out"), F.lit("").alias("raw"), F.lit("").alias("text")))
+        inside = inside.otherwise(F.struct(out.alias("out"), F.concat(raw, t).alias("raw"), F.concat(text, decoded(t)).alias("text")))
+        return F.when(raw == "", outside).otherwise(inside)
+
+    tokens = F.regexp_extract_all(line, F.lit(r'\\[0-7]{3}|\\[\s\S]|"|[^"\\]+|\\'), F.lit(0))
+    start = F.struct(F.lit("").alias("out"), F.lit("").alias("raw"), F.lit("").alias("text"))
+    return F.aggregate(tokens, start, step, lambda s: F.concat(s["out"], s["raw"]))
 
 
 def hunks(diffs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from patchloom.operators import diffs
 from patchloom.sources import files
@@ -143,3 +144,15 @@ def test_one_diff_spreads_over_tasks(spark, monkeypatch, tmp_path):
     assert read.select("block").distinct().count() > 5
     again = diffs.marked_lines(read).select("pos", "line", "file_no", "hunk_no", "kind", "line_num")
     assert again.exceptAll(marked.select("pos", "line", "file_no", "hunk_no", "kind", "line_num")).count() == 0 and again.count() == marked.count()
+
+
+def test_quotations_are_decoded_without_python(spark):
+    """Equal to a search for quotations and ``unquote_c`` of each, on texts of all kinds of marks; and files of a diff need no Python worker."""
+    marks = ['"', '"', "\\", '\\"', "\\\\", "\\n", "\\101", "\\303\\251", "\\777", "\\8", "a", " b/", "é", "😀", "\\😀", "1", "\t"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(marks, k=rng.randrange(12))) for _ in range(3000)] + ['diff --git "a/' + "\\303\\251" * 20_000 + '.py" "b/x.py"']
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").select("k", diffs._unquoted_line(F.col("t")).alias("u")).collect()
+    want = [re.sub(r'"(?:[^"\\]|\\[\s\S])*"', lambda m: diffs.unquote_c(m[0])[0], t) for t in texts]
+    assert [r["u"] for r in sorted(rows)] == want
+    plan = diffs.diff_files(spark.createDataFrame([(1, "diff --git a/x b/x\n")], "diff_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
