@@ -18,6 +18,7 @@ from patchloom.functions.text import camel_case, snake_case
 from patchloom.operators import code_names, symbols
 from patchloom.operators.code_parse import Import, parse
 from patchloom.operators.filters import any_of
+from patchloom.shared import merged_join
 
 PARSED = (
     "file_id long, path string, language string, scopes array<struct<scope_type string, name string, start_line int, end_line int, depth int>>, "
@@ -95,7 +96,7 @@ def top_level(parsed_: DataFrame) -> DataFrame:
 
 def used_symbols(parsed_: DataFrame, regions: DataFrame, builtins: bool = False) -> DataFrame:
     """Distinct (file_id, symbol) used in a region (file_id, start_line, end_line) and not defined in the same one; built-in names only with ``builtins``."""
-    rows = parsed_.select("file_id", "language", "symbols").join(regions, "file_id").select("file_id", "language", "start_line", "end_line", F.inline("symbols"))
+    rows = merged_join(parsed_.select("file_id", "language", "symbols"), regions, "file_id").select("file_id", "language", "start_line", "end_line", F.inline("symbols"))
     named = rows.where(F.col("line").between(F.col("start_line"), F.col("end_line"))).groupBy("file_id", "language", "start_line", "end_line", F.col("name").alias("symbol"))
     left = named.agg(F.max(F.col("role") == "use").alias("used"), F.max(F.col("role") == "definition").alias("defined")).where("used and not defined")
     left = left.select("file_id", "language", "symbol").distinct()
@@ -179,7 +180,7 @@ def elixir_path(module: Column) -> Column:
 
 def resolved_files(resolved: DataFrame, parsed_: DataFrame, files: DataFrame) -> DataFrame:
     """(file_id, symbol, original, path): for each resolved import the first of its candidates that is a file (path)."""
-    rows = resolved.join(parsed_.select("file_id", F.col("path").alias("current"), "language"), "file_id")
+    rows = merged_join(resolved, parsed_.select("file_id", F.col("path").alias("current"), "language"), "file_id")
     paths = candidates(F.col("language"), F.col("module"), F.col("is_relative"), F.col("level"), F.col("current"))
     return symbols.first_existing(rows, paths, files, ["file_id", "symbol", "original"])
 
@@ -189,7 +190,7 @@ def go_package_files(imports_: DataFrame, go_module: str, files: DataFrame) -> D
     own = imports_.where((F.col("module") == go_module) | F.startswith("module", F.lit(f"{go_module}/")))
     own = own.select("file_id", "module", F.substring("module", len(go_module) + 2, 1 << 30).alias("folder"))
     go = files.where(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go"))).select("path", folder(F.col("path")).alias("folder"))
-    return own.join(go, "folder").groupBy("file_id", "module").agg(F.min("path").alias("path"))
+    return merged_join(own, go, "folder").groupBy("file_id", "module").agg(F.min("path").alias("path"))
 
 
 def php_namespace_files(imports_: DataFrame, psr4: dict[str, str], files: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.operators.regions import scope_text
+from patchloom.shared import merged_join
 
 
 def free_symbols(used: DataFrame, defined: DataFrame, builtins: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,7 +33,7 @@ def resolved_imports(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """(file_id, symbol) with the first import in source order that binds it: module, ord, and the original name behind an alias."""
     more = [c for c in ("is_relative", "level") if c in imports.columns]
     bound = bound_names(imports).select("file_id", F.col("bound").alias("symbol"), F.struct("ord", "module", "name_aliases", *more).alias("i"))
-    first = symbols.join(bound, ["file_id", "symbol"]).groupBy("file_id", "symbol").agg(F.min_by("i", "i.ord").alias("i"))
+    first = merged_join(symbols, bound, ["file_id", "symbol"]).groupBy("file_id", "symbol").agg(F.min_by("i", "i.ord").alias("i"))
     original = F.get(F.filter(F.coalesce("i.name_aliases", F.array().cast("array<struct<original:string,alias:string>>")), lambda a: a["alias"] == F.col("symbol")), F.lit(0))["original"]
     return first.select("file_id", "symbol", "i.module", "i.ord", *[f"i.{c}" for c in more], F.coalesce(original, F.col("symbol")).alias("original"))
 
@@ -40,7 +41,7 @@ def resolved_imports(symbols: DataFrame, imports: DataFrame) -> DataFrame:
 def first_existing(wanted: DataFrame, candidates: Column, files: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, path): for each row the first of its candidate paths that is among ``files``; rows without one are left out."""
     rows = wanted.select(*keys, F.posexplode(candidates).alias("at", "path"))
-    found = rows.join(files.select("path").distinct(), "path")
+    found = merged_join(rows, files.select("path").distinct(), "path")
     return found.groupBy(*keys).agg(F.min_by("path", "at").alias("path"))
 
 
@@ -51,6 +52,6 @@ def definitions(resolved: DataFrame, top_level: DataFrame, lines_of: DataFrame,
     are left out.
     """
     node = top_level.groupBy("path", "name").agg(F.min(F.struct("start_line", "end_line")).alias("n"))
-    out = resolved.join(node, (resolved["path"] == node["path"]) & (resolved["original"] == node["name"])).select("file_id", "symbol", resolved["path"], "n")
-    out = out.join(lines_of.select("path", "lines"), "path")
+    out = merged_join(resolved, node, (resolved["path"] == node["path"]) & (resolved["original"] == node["name"])).select("file_id", "symbol", resolved["path"], "n")
+    out = merged_join(out, lines_of.select("path", "lines"), "path")
     return out.select("file_id", "symbol", "path", scope_text(F.col("lines"), F.col("n.start_line"), F.col("n.end_line"), limit).alias("code"))

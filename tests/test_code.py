@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from patchloom.operators import code, components
 from patchloom.operators.code_parse import parse
+from patchloom.plans import code_catalog
 from patchloom.plans.code_cases import CASES, HEADS
 
 PYTHON = """import os.path, json as j
@@ -352,3 +353,12 @@ def test_names_take_one_parse_in_many_tasks(spark):
     used = code.used_symbols(parsed, rows.selectExpr("file_id", "1 AS start_line", "2 AS end_line"))
     assert sorted(map(tuple, used.collect())) == [(k, f"g{k}") for k in range(40)]
     assert used._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("language", ["javascript"])
+def test_no_table_of_files_goes_through_the_driver(spark, language):
+    """What grows with the files is dealt to tasks and merged there, however few bytes it has; joins that Spark chose were sent to all, through the driver."""
+    found = code_catalog.queries()[f"q_symbol_files_{language}"](spark, "/root/testdata/sf0.001")
+    assert found.count() == 200 * len(code_catalog.FILES[language][1])
+    found.collect()
+    assert "SortMergeJoin" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "Broadcast" not in plan
