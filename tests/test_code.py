@@ -355,7 +355,7 @@ def test_names_take_one_parse_in_many_tasks(spark):
     assert used._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
-@pytest.mark.parametrize("language", ["javascript"])
+@pytest.mark.parametrize("language", ["javascript", "python"])
 def test_no_table_of_files_goes_through_the_driver(spark, language):
     """What grows with the files is dealt to tasks and merged there, however few bytes it has; joins that Spark chose were sent to all, through the driver."""
     found = code_catalog.queries()[f"q_symbol_files_{language}"](spark, "/root/testdata/sf0.001")
