@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchloom.functions.text import lines
+from patchloom.shared import merged_join
 
 #: Lines to a block: what one window of the first level holds.
 BLOCK = 1 << 16
@@ -91,7 +92,7 @@ def marked_lines(diffs: DataFrame) -> DataFrame:
         "diff_id", "block", "c_lines", "c_files", "c_start", (F.coalesce(F.lag("hunks").over(up_to), F.lit(0)) - F.coalesce("hunks0", F.lit(0))).alias("c_hunks"),
         (F.coalesce(F.lag("walked").over(up_to), F.lit(0)) - F.coalesce("walked0", F.lit(0))).alias("c_steps"),
     )
-    rows = rows.join(carried, ["diff_id", "block"])
+    rows = merged_join(rows, carried, ["diff_id", "block"])
     file_no, hunk_no = F.col("c_files") + F.col("f"), F.col("hunk") + F.when(F.col("f") == 0, F.col("c_hunks")).otherwise(0)
     rows = rows.select("diff_id", (F.col("c_lines") + F.col("nth")).alias("pos"), "line", file_no.alias("file_no"), hunk_no.alias("hunk_no"), "sign", "head", "is_hunk", "step", F.col("steps") + F.when(F.col("marked"), 0).otherwise(F.col("c_steps")), F.coalesce("start", "c_start").alias("new_start"))
     rows = rows.toDF("diff_id", "pos", "line", "file_no", "hunk_no", "sign", "head", "is_hunk", "step", "steps", "new_start").where("file_no > 0")

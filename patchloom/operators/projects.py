@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions.text import camel_case
 from patchloom.operators import code, symbols
+from patchloom.shared import merged_join
 from patchloom.sources import files as M
 
 VERSION = ["repo", "revision"]
@@ -60,8 +61,8 @@ def nearest(files: DataFrame, found: DataFrame) -> DataFrame:
     above = files.select(*keys).distinct().withColumn("family", family(F.col("language"))).withColumn("depth", F.explode(F.sequence(F.lit(0), F.size(parts) - 1)))
     above = above.withColumn("root", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
     facts = F.struct("root", "package", "namespaces", "dependencies", "prefixes", "framework")
-    best = above.join(found.withColumn("facts", facts), [*VERSION, "family", "root"]).groupBy(*keys).agg(F.max_by("facts", "depth").alias("project"))
-    out = files.join(best, keys, "left")
+    best = merged_join(above, found.withColumn("facts", facts), [*VERSION, "family", "root"]).groupBy(*keys).agg(F.max_by("facts", "depth").alias("project"))
+    out = merged_join(files, best, keys, "left")
     top = F.struct(F.lit(""), *[F.lit(None).cast(kind) for kind in ("string", "array<string>", "array<string>", "map<string,string>", "string")]).cast(f"struct<{', '.join(x.replace(' ', ':', 1) for x in FACTS.split(', '))}>")
     return out.withColumn("project", F.coalesce("project", top))
 
@@ -102,14 +103,14 @@ def meant_files(used: DataFrame, imports: DataFrame, files: DataFrame, sources:
     binds it and of its candidates the first that exists; a Go package means its first file by name, tests aside; names without an
     import are looked for in the folders that a framework loads. Names of other projects than the file's own lead nowhere.
     """
-    lang = imports.join(files.select("file_id", "language"), "file_id")
+    lang = merged_join(imports, files.select("file_id", "language"), "file_id")
     last = F.element_at(F.split("module", "/"), -1)
     # A file of Ruby binds the class that it is named after.
     names = F.when((F.col("language") == "ruby") & F.col("names").isNull(), F.array(last, camel_case(last))).otherwise(F.col("names"))
     bound = symbols.resolved_imports(used, lang.withColumn("names", names).where("NOT (language = 'go' AND coalesce(alias, '') IN ('_', '.'))").drop("language"))
     bound = bound.select("file_id", "symbol", "module", "is_relative", "level", "original")
-    free = used.join(bound.select("file_id", "symbol"), ["file_id", "symbol"], "left_anti").select("file_id", "symbol", F.lit(None).cast("string").alias("module"), F.lit(False).alias("is_relative"), F.lit(0).alias("level"), F.col("symbol").alias("original"))
-    rows = bound.unionByName(free).join(files, "file_id")
+    free = merged_join(used, bound.select("file_id", "symbol"), ["file_id", "symbol"], "left_anti").select("file_id", "symbol", F.lit(None).cast("string").alias("module"), F.lit(False).alias("is_relative"), F.lit(0).alias("level"), F.col("symbol").alias("original"))
+    rows = merged_join(bound.unionByName(free), files, "file_id")
     rows = rows.where("module IS NOT NULL OR language = 'elixir' OR project.framework IS NOT NULL")
     rows = rows.withColumn("original", F.when(F.col("language") == "elixir", F.coalesce("module", "symbol")).otherwise(F.col("original")))
     project, module = F.col("project"), F.col("module")
@@ -122,5 +123,5 @@ def meant_files(used: DataFrame, imports: DataFrame, files: DataFrame, sources:
     folder = F.when(module == package, project["root"]).otherwise(_under(project["root"], F.substr(module, F.char_length(package) + 2)))
     go = rows.where("language = 'go'").select("file_id", "symbol", "original", *VERSION, folder.alias("folder"))
     listed = there.where(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go"))).groupBy(*VERSION, code.folder(F.col("path")).alias("folder")).agg(F.min("path").alias("path"))
-    go = go.join(listed, [*VERSION, "folder"]).select("file_id", "symbol", "original", place("path").alias("path"))
+    go = merged_join(go, listed, [*VERSION, "folder"]).select("file_id", "symbol", "original", place("path").alias("path"))
     return found.unionByName(go).withColumnRenamed("path", "place")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.shared import merged_join
+
 
 def expanded(new_start: Column | str, new_count: Column | str, expansion: int, file_length: Column | str | None = None) -> Column:
     """struct<start_line, end_line> of a hunk with ``expansion`` lines on each side, within the file; (1, 0) for an empty file."""
@@ -32,7 +34,7 @@ def file_regions(files: DataFrame, hunks: DataFrame, keys: list[str], expansion:
     """Regions of each file (keys, file_length, is_new_file, is_deleted, is_binary): a new file is one region, a deleted or binary one has none, others have their merged hunks."""
     alive = files.where(~F.col("is_deleted") & ~F.col("is_binary"))
     new = alive.where("is_new_file and file_length > 0").select(*keys, F.lit(1).alias("start_line"), F.col("file_length").cast("int").alias("end_line"))
-    rest = hunks.join(alive.where("not is_new_file").select(*keys, "file_length"), keys)
+    rest = merged_join(hunks, alive.where("not is_new_file").select(*keys, "file_length"), keys)
     rest = rest.withColumn("r", expanded("new_start", "new_count", expansion, "file_length")).select(*keys, "r.start_line", "r.end_line")
     return new.unionByName(merged(rest, keys))
 
@@ -57,7 +59,7 @@ def innermost(lines: DataFrame, scopes: DataFrame, keys: list[str], width: int =
     listed = scopes.where("end_line >= start_line").select(*keys, band.alias("band"), F.struct("depth", "start_line", "scope_type", "name", "end_line").alias("scope"))
     inside = F.col("line_num").between(F.col("scope.start_line"), F.col("scope.end_line"))
     rows = lines.where("line_num >= 1").withColumn("band", F.floor(F.col("line_num") / width))
-    found = rows.join(listed, [*keys, "band"]).where(inside)
+    found = merged_join(rows, listed, [*keys, "band"]).where(inside)
     found = found.groupBy(*lines.columns).agg(F.max("scope").alias("scope"))
     return found.select(*lines.columns, "scope.scope_type", "scope.name", "scope.start_line", "scope.end_line", "scope.depth")
 

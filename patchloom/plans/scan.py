@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from patchloom.functions.text import finding_id
 from patchloom.operators import code, components, diffs, filters, findings, projects, prompts, regions, review, symbols
 from patchloom.operators.projects import VERSION, versioned
-from patchloom.shared import keep
+from patchloom.shared import keep, merged_join
 from patchloom.shipping import ship
 from patchloom.sources.files import Config, SourceError
 
@@ -48,7 +48,8 @@ def reviewed_files(marked: DataFrame, versions: DataFrame, sources: DataFrame, c
 
     versions: diff_id, repo, revision. sources: repo, revision, path, text, lines, error.
     """
-    files = diffs.diff_files(marked).join(versions, "diff_id").join(sources.select(*VERSION, "path", "text", "lines", "error"), [*VERSION, "path"], "left")
+    files = merged_join(diffs.diff_files(marked), versions, "diff_id")
+    files = merged_join(files, sources.select(*VERSION, "path", "text", "lines", "error"), [*VERSION, "path"], "left")
     return filters.analyzable(files, config.third_party_patterns, config.sensitive())
 
 
@@ -80,34 +81,36 @@ def _contexts(marked: DataFrame, files: DataFrame, sources: DataFrame, config: C
     files = files.where("error IS NULL")
     length = F.coalesce(F.size("lines"), F.lit(0))
     areas = regions.file_regions(files.select(*KEY, length.alias("file_length"), "is_new_file", "is_deleted", "is_binary"), diffs.hunks(marked), KEY, config.hunk_expansion_lines)
-    areas, changed = keep(areas, "areas"), diffs.diff_lines(marked).join(files.select(*KEY), KEY, "left_semi")
+    areas, changed = keep(areas, "areas"), merged_join(diffs.diff_lines(marked), files.select(*KEY), KEY, "left_semi")
     parts = _code_parts(files)
-    parsed = keep(code.parsed(parts).join(parts.select("file_id", "shift", *KEY), "file_id"), "parsed")
+    parsed = keep(merged_join(code.parsed(parts), parts.select("file_id", "shift", *KEY), "file_id"), "parsed")
 
     found = parsed.select(*KEY, "shift", F.inline("scopes"))
     found = found.select(*KEY, "scope_type", "name", (F.col("start_line") + F.col("shift")).alias("start_line"), (F.col("end_line") + F.col("shift")).alias("end_line"), "depth")
     inner = regions.innermost(changed.where("change_type <> ' '").select(*KEY, "pos", "line_num"), found, KEY)
-    scopes = regions.distinct_scopes(inner, KEY, "pos").join(files.select(*KEY, "lines", "is_new_file"), KEY)
+    scopes = merged_join(regions.distinct_scopes(inner, KEY, "pos"), files.select(*KEY, "lines", "is_new_file"), KEY)
     text = regions.scope_text(F.col("lines"), F.col("start_line"), F.col("end_line"), config.scope_size_limit, F.col("is_new_file"))
     scopes = scopes.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first_seen", F.col("scope_type").alias("type"), "name", "start_line", "end_line", text.alias("source")))).alias("s"))
     scopes = scopes.select(*KEY, F.transform("s", lambda s: F.struct(s["type"].alias("type"), s["name"].alias("name"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), s["source"].alias("source"))).alias("scopes"))
 
-    shifted = areas.join(parts.select(*KEY, "file_id", "shift"), KEY).select("file_id", (F.col("start_line") - F.col("shift")).alias("start_line"), (F.col("end_line") - F.col("shift")).alias("end_line"))
+    shifted = merged_join(areas, parts.select(*KEY, "file_id", "shift"), KEY).select("file_id", (F.col("start_line") - F.col("shift")).alias("start_line"), (F.col("end_line") - F.col("shift")).alias("end_line"))
     used = keep(code.used_symbols(parsed, shifted), "used")
     homes = projects.nearest(parts.select(*VERSION, "path", "file_id", "language"), projects.projects(sources)).withColumnRenamed("path", "current")
     homes = keep(homes, "homes")  # plain columns from here on: what manifests say stands in many tests below
     meant = keep(projects.meant_files(used, code.imports(parsed), homes, sources, config.third_party_patterns), "meant")
-    targets = meant.select("place").distinct().join(sources.where("text IS NOT NULL").select(projects.place("path").alias("place"), "path", "text", "lines"), "place").withColumn("language", filters.language("path"))
+    targets = merged_join(meant.select("place").distinct(), sources.where("text IS NOT NULL").select(projects.place("path").alias("place"), "path", "text", "lines"), "place").withColumn("language", filters.language("path"))
     targets = keep(targets.where(~filters.is_vendored("path", config.third_party_patterns)), "targets")
     tops = code.top_level(code.parsed(targets.select(F.xxhash64("place").alias("file_id"), F.col("place").alias("path"), "language", "text")))
     defined = symbols.definitions(meant.withColumnRenamed("place", "path"), tops, targets.select(F.col("place").alias("path"), "lines"), config.scope_size_limit)
-    defined = defined.withColumn("path", F.element_at(F.split("path", "\x00"), -1)).join(parts.select("file_id", *KEY), "file_id")
+    defined = merged_join(defined.withColumn("path", F.element_at(F.split("path", "\x00"), -1)), parts.select("file_id", *KEY), "file_id")
     defined = defined.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("symbol").alias("name"), F.col("path").alias("file"), "code"))).alias("symbols"))
 
-    around = regions.envelope(areas, KEY).join(regions.line_count(areas, KEY), KEY)
+    around = merged_join(regions.envelope(areas, KEY), regions.line_count(areas, KEY), KEY)
     shown = changed.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "line_num", "change_type", "content"))).alias("d"))
     shown = shown.select(*KEY, F.transform("d", lambda d: F.struct(d["line_num"].alias("line_num"), d["change_type"].alias("change_type"), d["content"].alias("content"))).alias("diff_lines"))
-    out = files.select(*KEY, "path", "lines").join(around, KEY, "left").join(shown, KEY, "left").join(scopes, KEY, "left").join(defined, KEY, "left")
+    out = files.select(*KEY, "path", "lines")
+    for more in (around, shown, scopes, defined):
+        out = merged_join(out, more, KEY, "left")
 
     def kept(name: str, kind: str):
         return F.coalesce(F.col(name), F.array().cast(f"array<{kind}>")).alias(name)
@@ -132,7 +135,7 @@ def scan(spark: SparkSession, changes: DataFrame, sources: DataFrame, reviewer:
     reviewed = keep(reviewed_files(marked, _versions(changes), sources, config), "files")
     about = keep(_contexts(marked, reviewed, sources, config), "contexts")
     keyed = about.withColumn("context_id", F.concat_ws(":", "diff_id", "file_no"))
-    asked = prompts.prompts(keyed, "context_id", "file_no", max_tokens).join(keyed.select("context_id", *KEY, "path"), "context_id")
+    asked = merged_join(prompts.prompts(keyed, "context_id", "file_no", max_tokens), keyed.select("context_id", *KEY, "path"), "context_id")
     asked = keep(asked.select(*KEY, F.col("path").alias("file_path"), "path", "prompt", "tokens"), "prompts") if on_progress else asked.withColumn("file_path", F.col("path"))
     options = {"concurrent": config.max_concurrent_api_calls, "timeout": float(config.timeout)}
     calls = asked.select(*KEY, "file_path", "prompt")

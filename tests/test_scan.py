@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions.text import lines
 from patchloom.operators import review
-from patchloom.plans import scan
+from patchloom.plans import review_catalog, scan
 from patchloom.sources.files import Config, SourceError
 
 APP = "from lib.db import query as q\n\n\nclass Api:\n    def get(self, user):\n        token = 1\n        return q(user)\n"
@@ -103,3 +103,17 @@ def test_long_definitions_are_cut(spark):
     sources = spark.createDataFrame(rows, "path string, text string, error string").select("path", "text", lines("text").alias("lines"), "error")
     got = {r.path: r for r in scan.contexts(spark.createDataFrame([(1, DIFF)], "diff_id long, text string"), sources, Config(scope_size_limit=10)).collect()}
     assert got["app.py"].symbols[0].code.endswith("... (truncated 41 lines)")
+
+
+@pytest.mark.parametrize("query", ["q_scan_contexts"])
+def test_no_table_of_a_review_goes_through_the_driver(spark, query):
+    """No step of a review of many small diffs sends a table to all executors, however few bytes it has."""
+    def executed() -> dict[int, str]:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return {r.executionId(): r.physicalPlanDescription() for r in map(runs.apply, range(runs.size()))}
+
+    before = max(executed(), default=-1)
+    assert review_catalog.queries()[query](spark, "/root/testdata/sf0.001").collect()
+    plans = [plan for k, plan in executed().items() if k > before]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
