@@ -105,7 +105,7 @@ def test_long_definitions_are_cut(spark):
     assert got["app.py"].symbols[0].code.endswith("... (truncated 41 lines)")
 
 
-@pytest.mark.parametrize("query", ["q_scan_contexts"])
+@pytest.mark.parametrize("query", ["q_scan_contexts", "q_scan_results"])
 def test_no_table_of_a_review_goes_through_the_driver(spark, query):
     """No step of a review of many small diffs sends a table to all executors, however few bytes it has."""
     def executed() -> dict[int, str]:
