@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from patchloom.llm import sign_blocks
 from patchloom.llm.common import keep, map_arrow, whole_groups
 from patchloom.llm.components import connected_components
+from patchloom.llm.id_bits import maybe
 from patchloom.llm.sign_blocks import BITS
 from patchloom.llm.simhash import leaders, shingles
 
@@ -35,8 +36,6 @@ SHINGLE, SIMILAR, SEED = 5, (4, 5), 7
 #: Bounds on differing bits in the first 64 and the first 128 of a fingerprint.
 FIRST, BOTH = 22, 36
 RECALL, CROWD, BLOCKS_AT_MOST = 0.999, 512, 192
-#: Bits of the map of ids that texts are tested against.
-ID_BITS = 1 << 26
 #: Members of a chunk of a block, shingles in a chunk of a component, and guests in each chunk.
 BUCKET, FILL, GUESTS = 4096, 1 << 18, 8
 _RNG = np.random.default_rng(SEED)
@@ -279,12 +278,7 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     A bitmap of ID_BITS hashed ids, 8 MB whatever the tables, goes to all executors, so no text moves to be tested.
     """
-    page, hashed = 1 << 15, F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
-    place = F.struct(F.floor(hashed / page).cast("int").alias("page"), (hashed % page).cast("int").alias("bit"))
-    pages = keep(ids.select(place.alias("p")).groupBy("p.page").agg(F.bitmap_construct_agg("p.bit").alias("bits")), "bitmap")  # ID_BITS / page rows at most
-    bit = F.expr("shiftright(cast(conv(hex(substring(bits, p.bit div 8 + 1, 1)), 16, 10) AS int), p.bit % 8) & 1 = 1")
-    near = docs.withColumn("p", place).withColumn("page", F.col("p.page")).join(F.broadcast(pages), "page")
-    return near.where(bit).select(*docs.columns)
+    return maybe(docs, ids, {"among": F.lit(True)}).where("among").select(*docs.columns)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

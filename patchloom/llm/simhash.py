@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from patchloom.llm.common import keep, load, map_arrow, star_edges, whole_groups
 from patchloom.llm.components import connected_components
+from patchloom.llm.id_bits import maybe
+from patchloom.shared import merged_join
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
 BUCKET = 1024
@@ -146,12 +148,20 @@ def one_of_each_group(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def leaders(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The documents that have the id of their group in (doc_id, component_id), or no id; of repeated ids one row stays."""
-    go = keep(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "gone")
-    out = docs.join(go, docs["doc_id"] == go["gone"], "left_anti")
-    if groups.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
-        return out
-    known = out.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(out.where("doc_id is null"))
+    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("go"), F.count("*").alias("n"))
+    ids = keep(ids, "leaders")
+    free = "_" * max(map(len, docs.columns))  # longer than any name that is there
+    go, stay, again = f"{free}g", f"{free}s", f"{free}n"
+    # Bitmaps tell most rows' fate where they lie. Only texts of ids that may be of both kinds, or that may come again, move.
+    rows = maybe(docs, ids, {go: F.col("go"), stay: ~F.col("go"), again: ~F.col("go") & (F.col("n") > 1)})
+    known = F.col("doc_id").isNotNull()
+    sure = rows.where(~known | ~F.col(go) & ~F.col(again)).select(*docs.columns)
+    rest = rows.where(known & F.col(stay) & (F.col(go) | F.col(again))).select(*docs.columns)
+    gone = ids.where("go").select(F.col("doc_id").alias(go))
+    rest = merged_join(rest, gone, rest["doc_id"] == gone[go], "left_anti")
+    if not ids.where("not go and n > 1").isEmpty():
+        rest = rest.dropDuplicates(["doc_id"])
+    return sure.unionByName(rest)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

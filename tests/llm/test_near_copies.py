@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from patchloom.llm import near_copies, sign_blocks
+from patchloom.llm import id_bits, near_copies, sign_blocks, simhash
 
 DATA = "/root/testdata/sf0.01"
 
@@ -120,3 +121,35 @@ def test_bitmap_of_ids_keeps_all_of_them(spark):
     ids = docs.where("doc_id % 7 = 0").select("doc_id").limit(2500)
     got = near_copies.among(docs, ids)
     assert got.columns == docs.columns and ids.exceptAll(got.select("doc_id")).isEmpty() and got.count() <= ids.count() + 20
+
+
+def _shuffled(plan) -> int:
+    """Bytes that the shuffles of a plan that has run have written."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _shuffled(plan.executedPlan())
+    own = plan.getRuntimeStatistics().sizeInBytes().toLong() if plan.nodeName() == "ShuffleQueryStage" else 0
+    return own + sum(_shuffled(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def test_texts_of_leaders_do_not_move(spark):
+    """What is too large to be sent to all: rows stay where they lie all the same, but for a few, and ids that come again are told apart."""
+    docs = spark.range(6000, numPartitions=3).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 20), k -> sha2(concat(id, '-', k), 256))) AS text", "id AS p", "id AS page")
+    docs = docs.unionByName(docs.where("doc_id IN (7, 5007)")).unionByName(docs.where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long")))
+    groups = docs.selectExpr("doc_id", "doc_id % 1000 AS component_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = simhash.leaders(docs, groups)
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out.columns == docs.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in rows) == [-1, -1, -1, *range(1000)]
+    assert all(r.p == r.page and (r.doc_id is None or r.p == r.doc_id) and len(r.text) == 1299 for r in rows)
+    assert _shuffled(out._jdf.queryExecution().executedPlan()) < 300_000
+
+
+def test_leaders_whose_bits_are_shared(spark, monkeypatch):
+    """With few bits most ids share one with an id of another kind, and the join of what is left decides."""
+    monkeypatch.setattr(id_bits, "ID_BITS", 1 << 10)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "cast(id AS string) AS text").unionByName(spark.createDataFrame([(7, "x")], "doc_id long, text string"))
+    got = simhash.leaders(docs, docs.selectExpr("doc_id", "doc_id % 500 AS component_id"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(500))
